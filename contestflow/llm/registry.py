@@ -1,6 +1,10 @@
 """Queries of this subpackage and their SQL."""
 
-from . import quality
+from . import chat, quality, urls
 
-QUERIES = {"op7_quality_rules": quality.op7_quality_rules}
-ORACLES = {"op7_quality_rules": quality.OP7_SQL}
+QUERIES = {
+    "op7_quality_rules": quality.op7_quality_rules,
+    "op8_url_filter": urls.op8_url_filter,
+    "op10_chat_format": chat.op10_chat_format,
+}
+ORACLES = {"op7_quality_rules": quality.OP7_SQL, "op10_chat_format": chat.OP10_SQL}
