@@ -1,8 +1,10 @@
 """Queries of this subpackage and their SQL."""
 
-from . import chat, quality, urls
+from . import chat, packing, quality, shards, urls
 
 QUERIES = {
+    "op3_packing": packing.op3_packing,
+    "op4_token_shards": shards.op4_token_shards,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_url_filter": urls.op8_url_filter,
     "op10_chat_format": chat.op10_chat_format,
