@@ -1,12 +1,15 @@
 """Queries of this subpackage and their SQL."""
 
-from . import chat, packing, quality, shards, urls
+from . import chat, mixing, packing, quality, shards, urls, vectors, warc
 
 QUERIES = {
+    "op1_embedding_dedup": vectors.op1_embedding_dedup,
+    "op2_mixing": mixing.op2_mixing,
     "op3_packing": packing.op3_packing,
     "op4_token_shards": shards.op4_token_shards,
+    "op5_warc": warc.op5_warc,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_url_filter": urls.op8_url_filter,
     "op10_chat_format": chat.op10_chat_format,
 }
-ORACLES = {"op7_quality_rules": quality.OP7_SQL, "op10_chat_format": chat.OP10_SQL}
+ORACLES = {"op1_embedding_dedup": vectors.OP1_SQL, "op7_quality_rules": quality.OP7_SQL, "op10_chat_format": chat.OP10_SQL}
