@@ -31,13 +31,12 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame
     """
 
     def run(batches):
-        part, place, enc, end = TaskContext.get().partitionId(), 0, None, None
+        part, place, enc = TaskContext.get().partitionId(), 0, None
         for batch in batches:
             enc = enc or encoder(vocabulary)
-            end = np.array([end_id], enc.dtype).tobytes()
-            for start, stop in text_chunks(batch, "text"):
+            for start, stop in text_chunks(batch, "text", 1 << 19):
                 rows = batch.slice(start, stop - start)
-                ids = [x + end for x in enc.encode(rows.column("text").to_pylist())]
+                ids = enc.encode(rows.column("text").to_pylist(), end_id)
                 n = np.array([len(x) // enc.width for x in ids], np.int64)
                 places = place + np.cumsum(n) - n
                 place += int(n.sum())

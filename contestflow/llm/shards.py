@@ -140,12 +140,12 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str = BYTE_BPE, end_id:
             if out is None:
                 enc, (store, base) = encoder(vocabulary), pafs.FileSystem.from_uri(name)
                 store.create_dir(base.rpartition("/")[0], recursive=True)
-                out, end = store.open_output_stream(f"{base}.ids"), np.array([end_id], enc.dtype).tobytes()
+                out = store.open_output_stream(f"{base}.ids")
             column = batch.column("doc_id")
             nulls += column.null_count
             keys.append(column.drop_null().to_numpy(zero_copy_only=False))
-            for start, stop in text_chunks(batch, "text"):
-                ids = [x + end for x in enc.encode(batch.column("text").slice(start, stop - start).to_pylist())]
+            for start, stop in text_chunks(batch, "text", 1 << 19):
+                ids = enc.encode(batch.column("text").slice(start, stop - start).to_pylist(), end_id)
                 lengths.append(np.array([len(x) // enc.width for x in ids], np.int64))
                 out.write(b"".join(ids))
         if out is not None:

@@ -3,6 +3,7 @@
 Both pre-tokenizers in use never join text across the start of a white-space run, so a text's
 ids are the concatenation of the ids of its pieces (white space plus the run after it). Pieces
 repeat; new ones are encoded together in one call, told apart by a byte that no merge contains.
+Inside a chunk of texts equal pieces are matched by a 64-bit hash of their bytes and length.
 """
 
 from __future__ import annotations
@@ -12,10 +13,19 @@ import os
 import re
 
 import numpy as np
+import pandas as pd
+
+from .rolling import Rolling
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 _find = re.compile(r"\s*\S+|\s+").findall
 _BREAK = "\x00"
+#: White space beyond ASCII's six; the joint path knows those only.
+_spaces = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+_ASCII_SPACE = np.zeros(256, bool)
+_ASCII_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Characters beyond which a text is encoded by itself.
+LONG = 1 << 21
 #: Outside these, lower() and split() of a text agree with the vocabulary's own normalizer.
 _unusual = re.compile("[\x1c-\x1f\x85\xa0\u0130-\U0010ffff]").search
 
@@ -37,7 +47,7 @@ class Encoder:
     not one id of its own, whole texts are encoded.
     """
 
-    def __init__(self, path: str, cache_pieces: int = 300_000):
+    def __init__(self, path: str, cache_pieces: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -77,21 +87,65 @@ class Encoder:
     def split(self, text: str) -> list[str]:
         return text.lower().split() if self.words and not _unusual(text) else _find(text)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def _listed(self, text: str) -> bytes:
+        """Ids of one text by its list of pieces; any white space, any length."""
+        pieces = self.split(text)
+        new = [p for p in dict.fromkeys(pieces) if p not in self.cache]
+        if new:
+            self._learn(new)
+        return b"".join(map(self.cache.__getitem__, pieces))
+
+    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
+        """Ids of each text and then ``end_id``."""
+        if not texts:
+            return []
+        end = np.array([end_id], self.dtype)
         if not self.pieces:
-            return [i.tobytes() for i in self._ids([t or "" for t in texts])]
+            return [i.tobytes() + end.tobytes() for i in self._ids([t or "" for t in texts])]
         if len(self.cache) > self.limit:
             self.old, self.cache = self.cache, {}
-        get, out = self.cache.get, []
-        for text in texts:
-            pieces = self.split(text) if text else []
-            found = list(map(get, pieces))
-            if None in found:
-                self._learn([p for p in dict.fromkeys(p for p, f in zip(pieces, found, strict=True) if f is None)])
-                found = map(get, pieces)
-            out.append(b"".join(found))
+        odd = {k for k, t in enumerate(texts) if t and (len(t) > LONG or (_unusual if self.words else _spaces)(t))}
+        plain = ["" if k in odd else t or "" for k, t in enumerate(texts)]
+        out = self._joined(plain, end)
+        for k in odd:
+            out[k] = self._listed(texts[k]) + end.tobytes()
         return out
 
+    def _joined(self, texts: list[str], end: np.ndarray) -> list[bytes]:
+        """Many texts at once: pieces are found and matched by hash, only distinct ones looked up."""
+        raw = [(t.lower() if self.words else t).encode() for t in texts]
+        joined = b"\n".join([*raw, b""])
+        data, stops = np.frombuffer(joined, np.uint8), np.cumsum([len(r) + 1 for r in raw]) - 1
+        inside = ~_ASCII_SPACE[data]
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        edge = np.concatenate([[0] * bool(inside[:1].any()), edge]).astype(np.int64)
+        starts, ends = edge[::2], edge[1::2]  # runs of other characters; the last byte is a space
+        text = np.searchsorted(stops, starts, "right")
+        begins = np.concatenate([[0], stops[:-1] + 1])
+        if not self.words:  # a piece has the white space before it; what is left at the end is a piece
+            n = np.bincount(text, minlength=len(raw))
+            last = np.where(n > 0, ends[np.cumsum(n) - 1] if ends.size else 0, begins)
+            rest = np.flatnonzero(last < stops)
+            starts = np.where(np.concatenate([[True], text[1:] != text[:-1]])[: text.size], begins[text], np.concatenate([[0], ends[:-1]])[: text.size]) if text.size else starts
+            starts, ends, text = np.concatenate([starts, last[rest]]), np.concatenate([ends, stops[rest]]), np.concatenate([text, rest])
+            order = np.argsort(starts, kind="stable")
+            starts, ends, text = starts[order], ends[order], text[order]
+        codes, distinct = pd.factorize(Rolling(data).of(starts, ends))
+        first = np.zeros(distinct.size, np.int64)
+        first[codes[::-1]] = np.arange(codes.size)[::-1]
+        words = [joined[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        found = list(map(self.cache.get, words))
+        if None in found:
+            self._learn([w for w, f in zip(words, found, strict=True) if f is None])
+            found = [self.cache[w] if f is None else f for w, f in zip(words, found, strict=True)]
+        flat = np.frombuffer(b"".join(found), self.dtype)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.width
+        size_of, at = size[codes], (np.cumsum(size) - size)[codes]
+        upto = np.cumsum(size_of)
+        ids = flat[np.repeat(at - (upto - size_of), size_of) + np.arange(size_of.sum())]
+        cuts = np.concatenate([[0], upto])[np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(raw)))])].tolist()
+        return [ids[a:b].tobytes() + end.tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
 
 @functools.cache
 def encoder(name: str) -> Encoder:
