@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import chat, mixing, packing, quality, shards, urls, vectors, warc
+from . import chat, minhash, mixing, packing, quality, shards, urls, vectors, warc
 
 QUERIES = {
     "op1_embedding_dedup": vectors.op1_embedding_dedup,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_token_shards": shards.op4_token_shards,
     "op5_warc": warc.op5_warc,
+    "op6_minhash_dedup": minhash.op6_minhash_dedup,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_url_filter": urls.op8_url_filter,
     "op10_chat_format": chat.op10_chat_format,
