@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import chat, minhash, mixing, packing, quality, shards, urls, vectors, warc
+from . import chat, minhash, mixing, packing, quality, shards, suffixes, urls, vectors, warc
 
 QUERIES = {
     "op1_embedding_dedup": vectors.op1_embedding_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_minhash_dedup": minhash.op6_minhash_dedup,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_url_filter": urls.op8_url_filter,
+    "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_chat_format": chat.op10_chat_format,
 }
 ORACLES = {"op1_embedding_dedup": vectors.OP1_SQL, "op7_quality_rules": quality.OP7_SQL, "op10_chat_format": chat.OP10_SQL}
