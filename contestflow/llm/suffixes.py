@@ -353,8 +353,9 @@ def spans_of(pairs: list[tuple[int, int]], length: int) -> list[tuple[int, int]]
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row (and kept_text on request).
+def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; on request its text, its
+    kept_text and the columns to carry.
 
     A byte goes if a ``length``-byte string over it also starts anywhere else, the same text
     included; overlaps count, matches never cross texts, all is judged on the input. A null text
@@ -362,9 +363,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False)
     that a cut leaves undecodable at its edges loses those bytes. Other columns are ignored; no
     rows give no rows. ``length`` is even and at least 32.
     """
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *carry).withColumn("th", F.xxhash64("text"))
     found = materialize(anchors(keyed.filter(F.octet_length("text") >= length), length), "segments")
-    marked = _matched(keyed, marks(found))
+    marked = _matched(keyed.select("doc_id", "th", "text"), marks(found))
     marked = materialize(marked, "marked")
     suffixes = materialize(runs(bodies(marked, length), length), "suffixes")
     verdicts = sorted_verdicts(suffixes, length)
@@ -388,12 +389,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False)
     schema = "doc_id long, th long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
     done = map_rows(ready.select("doc_id", "th", "text", "marks", "proved"), cut, schema)
     done = done.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(*[F.max(c).alias(f"_{c}") for c in ("n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text)])
-    base = keyed.select("doc_id", "th", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"), *(["text"] if with_text else []))
+    base = keyed.select("doc_id", "th", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"), *(["text"] if with_text else []), *carry)
     out = base.join(done, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left")
     zero = F.lit(0).cast("long")
     return out.select(
         "doc_id", "n_bytes", F.coalesce("_n_removed", zero).alias("n_removed"), F.coalesce("_n_spans", zero).alias("n_spans"),
-        F.coalesce("_kept_sha256", "whole").alias("kept_sha256"), *([F.coalesce("_kept_text", "text").alias("kept_text")] if with_text else []),
+        F.coalesce("_kept_sha256", "whole").alias("kept_sha256"), *(["text", F.coalesce("_kept_text", "text").alias("kept_text")] if with_text else []), *carry,
     )
 
 

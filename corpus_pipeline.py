@@ -1,4 +1,72 @@
-STAGES = []
-ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""From raw documents to packed sequences: five stages, each calling one operator.
+
+Every function takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read
+again as the next one's docs. All but the last keep the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from contestflow.llm import minhash, mixing, packing, quality, suffixes
+from contestflow.llm.common import materialize, table, words_of
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep."""
+    return quality.judge(docs, prefix="_q_").filter("_q_kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the bytes of passages that occur elsewhere."""
+    cut = suffixes.remove_repeats(docs, with_text=True, carry=("lang", "source", "n_chars"))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    chars = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.select("doc_id", text.alias("text"), "lang", "source", chars.alias("n_chars"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; the one at the end of the budget in part."""
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    taken = mixing.mix(rows, row="_row").filter("taken > 0").select("_row", "size", "taken")
+    # A document of n words taken k times and r words more is given k times and cut to r words once.
+    whole = F.array_repeat(F.col("size"), F.floor(F.col("taken") / F.col("size")).cast("int"))
+    rest = F.col("taken") % F.col("size")
+    parts = F.explode(F.when(rest > 0, F.concat(whole, F.array(rest))).otherwise(whole)).alias("_words")
+    drawn = rows.join(taken.select("_row", "size", parts), "_row")
+    cut = F.array_join(F.slice(words_of(F.col("text")), F.lit(1), F.col("_words").cast("int")), " ")
+    text = F.when(F.col("_words") < F.col("size"), cut).otherwise(F.col("text"))
+    out = drawn.withColumn("_text", text)
+    chars = F.when(F.col("_words") < F.col("size"), F.char_length("_text").cast("long")).otherwise(F.col("n_chars"))
+    return out.select("doc_id", F.col("_text").alias("text"), "lang", "source", chars.alias("n_chars"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 ids, with the ids."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("mixing sources", source_mix),
+    ("packing", packed),
+]
+ORACLE_SQL = None  # signatures, suffix runs, hash order and ids are beyond SQL
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, "stage")
+    return docs
