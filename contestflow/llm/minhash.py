@@ -24,6 +24,8 @@ REGISTERS, ROWS = 128, 4  # 32 bands of 4: a pair at 0.8 shares none with probab
 LEAST_AGREEMENT = 77
 #: Members of one bucket that meet in a task; larger buckets meet in pairs of chunks.
 BUCKET_ROWS = 4096
+#: Bytes of the texts that meet in a task when members are verified in place.
+BUCKET_BYTES = 8 << 20
 
 
 def bag_minhash(text: np.ndarray, key: np.ndarray, weight: np.ndarray, texts: int, registers: int = REGISTERS) -> np.ndarray:
@@ -37,7 +39,7 @@ def bag_minhash(text: np.ndarray, key: np.ndarray, weight: np.ndarray, texts: in
     earliest, clock, step = np.full(texts * registers, np.inf), np.zeros(text.size), 0
     while text.size:
         step += 1
-        draw = mix(seed + np.uint64(step) * np.uint64(0xE7037ED1A0B428DB))
+        draw = mix(seed + np.uint64(step * 0xE7037ED1A0B428DB % 2**64))
         clock = clock - np.log((draw >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54) / width
         draw = mix(draw)
         register = (draw & np.uint64(0xFFFFFFFF)).astype(np.int64) % registers
@@ -117,29 +119,90 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return map_rows(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), step, "a long, b long")
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Likely pairs of different components inside the buckets of (band, hash, rep, comp, sig)."""
+def _earlier_band(a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
+    """Whether signatures also meet in a bucket of an earlier band."""
+    return (a[..., : band * ROWS] == b[..., : band * ROWS]).reshape(len(b), band, ROWS).all(-1).any(-1)
+
+
+def _meetings(rows: DataFrame, size: Column, most: int) -> DataFrame:
+    """Rows of a bucket in chunks of about ``most`` (of what ``size`` sums up), which meet in pairs."""
     bucket = ["band", "hash"]
-    mixed = members.groupBy(*bucket).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
-    rows = members.join(mixed.select(*bucket, F.ceil(F.col("size") / BUCKET_ROWS).cast("int").alias("chunks")), bucket)
+    crowded = rows.groupBy(*bucket).agg(F.ceil(F.sum(size) / most).cast("int").alias("chunks")).filter("chunks > 1")
+    chunked = rows.join(crowded, bucket, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    dealt = rows.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    dealt = dealt.withColumns({"left": F.least("own", "other"), "right": F.greatest("own", "other")})
+    dealt = chunked.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    return dealt.withColumns({"left": F.least("own", "other"), "right": F.greatest("own", "other")})
+
+
+def _partners(i: int, left: int, right: int, band: int, own: np.ndarray, comp: np.ndarray, sig: np.ndarray, big: np.ndarray) -> np.ndarray:
+    """Members that row i is to be compared with here: of other components, likely, and in no
+    earlier bucket together; each pair is met from one side only."""
+    j = np.flatnonzero((own == right) & (comp != comp[i]) & ((np.arange(own.size) > i) | big | (left != right)))
+    j = j[_agreement(sig[i], sig[j]) >= LEAST_AGREEMENT]
+    return j[~_earlier_band(sig[i], sig[j], band)] if band else j
 
-    def step(keys, group):
-        left, right = keys[2].as_py(), keys[3].as_py()
-        own, rep, comp, sig = group.column("own").to_numpy(), group.column("rep").to_numpy(), group.column("comp").to_numpy(), _sigs(group.column("sig"))
-        a, b, found = np.flatnonzero(own == left), np.flatnonzero(own == right), []
-        labels, sizes = np.unique(comp, return_counts=True)
-        a = a[comp[a] != labels[sizes.argmax()]] if left == right else a
-        for i in a.tolist():
-            j = b[comp[b] != comp[i]]
-            j = j[_agreement(sig[i], sig[j]) >= LEAST_AGREEMENT]
-            found.append(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])]))
-        a, b = np.concatenate(found, 1) if found else np.empty((2, 0), np.int64)
-        return pa.table({"a": a, "b": b}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    return dealt.groupBy(*bucket, "left", "right").applyInArrow(step, "a long, b long").distinct()
+def _sides(keys, group):
+    """Columns of a meeting, the rows to go through, and members of its largest component."""
+    band, left, right = keys[0].as_py(), keys[2].as_py(), keys[3].as_py()
+    own, rep, comp, sig = group.column("own").to_numpy(), group.column("rep").to_numpy(), group.column("comp").to_numpy().copy(), _sigs(group.column("sig"))
+    labels, sizes = np.unique(comp, return_counts=True)
+    big = (comp == labels[sizes.argmax()]) & (left == right)
+    return band, left, right, own, rep, comp, sig, big, np.flatnonzero((own == left) & ~big)
+
+
+def _across(members: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Links between different components inside the buckets of (band, hash, rep, comp, sig).
+
+    The first pass finds members with a likely partner by signatures alone; only these meet
+    again with their texts. There every likely pair is verified in the first bucket that it
+    shares, and a spanning forest of the links leaves the task: templates that resemble each
+    other just below the threshold cost comparisons in memory, but no rows.
+    """
+    bucket, at = ["band", "hash"], ["band", "hash", "left", "right"]
+    mixed = members.groupBy(*bucket).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select(*bucket)
+    rows = members.join(mixed, bucket).select(*bucket, "rep", "comp", "sig")
+
+    def flag(keys, group):
+        band, left, right, own, rep, comp, sig, big, through = _sides(keys, group)
+        hit = np.zeros(rep.size, bool)
+        for i in through.tolist():
+            j = _partners(i, left, right, band, own, comp, sig, big)
+            hit[j] = True
+            hit[i] |= bool(j.size)
+        rep = rep[hit]
+        return pa.table({"band": pa.array(np.full(rep.size, band, np.int32)), "hash": pa.array(np.full(rep.size, keys[1].as_py(), np.int64)), "rep": rep})
+
+    flagged = _meetings(rows, F.lit(1), BUCKET_ROWS).groupBy(*at).applyInArrow(flag, "band int, hash long, rep long").distinct()
+    flagged = materialize(flagged, "flagged")
+    full = flagged.join(rows, [*bucket, "rep"]).join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+
+    def connect(keys, group):
+        band, left, right, own, rep, comp, sig, big, through = _sides(keys, group)
+        text, key, count = shingles(group.column("text").to_pylist(), words)
+        distinct, code = np.unique(key, return_inverse=True)
+        total = np.bincount(text, count, rep.size)
+        n = np.bincount(text, minlength=rep.size)
+        first, held, found = np.cumsum(n) - n, np.zeros(distinct.size, np.int64), []
+        for i in through.tolist():
+            j = _partners(i, left, right, band, own, comp, sig, big)
+            if not j.size:
+                continue
+            mine = slice(first[i], first[i] + n[i])
+            held[code[mine]] = count[mine]
+            ends = np.cumsum(n[j])
+            where = np.arange(ends[-1]) + np.repeat(first[j] - (ends - n[j]), n[j])
+            overlap = np.bincount(np.repeat(np.arange(j.size), n[j]), np.minimum(held[code[where]], count[where]), j.size)
+            held[code[mine]] = 0
+            for k in j[overlap >= similarity * (total[i] + total[j] - overlap) - 1e-9].tolist():
+                if comp[k] != comp[i]:
+                    found.append((min(rep[i], rep[k]), max(rep[i], rep[k])))
+                    comp[comp == comp[k]] = comp[i]
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    met = _meetings(full, F.octet_length("text").cast("long"), BUCKET_BYTES)
+    return met.select(*at, "own", "rep", "comp", "sig", "text").groupBy(*at).applyInArrow(connect, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
@@ -152,7 +215,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5) ->
 
     Copies collapse into one representative before anything is banded. In a bucket every member
     is first verified against the least one; then only members of different components are
-    compared, so a bucket of g near copies costs g verifications, not all pairs.
+    compared, inside the bucket's tasks, so a bucket of g near copies costs g rows, not all pairs.
     """
     sigs = materialize(signatures(docs, words), "signatures")
     same = ["n", "f1", "f2"]
@@ -171,9 +234,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5) ->
     links = materialize(verify(stars, texts, similarity, words), "links")
     found = components(links)
     members = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).join(reps.select("rep", "sig"), "rep")
-    more = materialize(_across(members.select(*bucket, "rep", "comp", "sig")), "pairs")
-    links = links.union(verify(more.join(stars, ["a", "b"], "left_anti"), texts, similarity, words))
-    found = components(links).withColumnRenamed("node", "rep")
+    more = materialize(_across(members.select(*bucket, "rep", "comp", "sig"), texts, similarity, words), "links")
+    found = components(links.union(more)).withColumnRenamed("node", "rep")
     placed = sigs.select("doc_id", *same).join(reps.select(*same, "rep"), same, "left").join(found, "rep", "left")
     linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     out = placed.select("doc_id", F.when(linked, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"), "component", linked.alias("linked"), "rep")

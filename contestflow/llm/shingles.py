@@ -28,7 +28,7 @@ def shingles(texts: list[str | None], words: int = 5) -> tuple[np.ndarray, np.nd
     first = np.cumsum(n) - n
     total = np.zeros(word.size, np.uint64)
     for k in range(words):
-        value = mix(word + np.uint64(k + 1) * np.uint64(0xA0761D6478BD642F))
+        value = mix(word + np.uint64((k + 1) * 0xA0761D6478BD642F % 2**64))
         same = text[k:] == text[: word.size - k]
         total[: word.size - k] += np.where(same, value[k:], np.uint64(0))
     place = np.arange(word.size) - first[text]
