@@ -27,10 +27,10 @@ class Ladder:
     k_region: float | None = None
 
 
-def play(games, ladder: Ladder):
+def play(games, ladder: Ladder, start: tuple[dict, dict] = ({}, {})):
     """Yield (p, difference) of (blue, red, blue region, red region, cross, y) in turn; the last
     item is the state. Sides are lists of members; predict first, then update."""
-    member, region = defaultdict(lambda: ladder.base), defaultdict(lambda: ladder.base)
+    member, region = (defaultdict(lambda: ladder.base, s) for s in start)
 
     def strength(side, where):
         own = sum(member[m] for m in side) / len(side)

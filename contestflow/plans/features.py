@@ -10,6 +10,11 @@ from ..operators import temporal as T
 from ..sources.tables import union_all
 from . import matchmodel as M
 
+def rounded(c, n):
+    """Rounded a little off the half, since engines sum doubles in different orders."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + F.lit(10.0 ** -(n + 3)), n)
+
+
 def month():
     return F.date_trunc("month", F.col("date"))
 
@@ -20,7 +25,7 @@ def _events(spark, d):
 
 def scan_clean_rows(spark, d):
     """Equality, membership and both range policies on nulls; lenient number; casts."""
-    o = M.table(spark, d, "orders").withColumn("price", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")))
+    o = M.table(spark, d, "orders").withColumn("price", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_totalprice")))
     o = o.filter(F.col("o_orderstatus").isin("F", "O") & (F.col("price").isNull() | (F.col("price") > 900))).dropna(subset=["o_custkey", "o_orderdate"])
     patch = X.lenient_number(F.concat(F.substring("o_orderpriority", 1, 1), F.lit(".10")))
     return o.select("o_orderkey", F.col("o_orderstatus").alias("status"), F.round("price", 2).alias("price"), patch.alias("patch"), F.year("o_orderdate").cast("long").alias("year"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
@@ -29,21 +34,21 @@ def scan_clean_rows(spark, d):
 SCAN_SQL = """
 SELECT o_orderkey, o_orderstatus AS status, round(price, 2) AS price, try_cast(substring(o_orderpriority, 1, 1) || '.10' AS DOUBLE) AS patch,
        year(o_orderdate)::BIGINT AS year, strftime(o_orderdate, '%Y-%m-%d') AS day
-FROM (SELECT *, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS price FROM orders)
+FROM (SELECT *, CASE WHEN o_orderpriority <> '5-LOW' THEN o_totalprice END AS price FROM orders)
 WHERE o_orderstatus IN ('F', 'O') AND (price IS NULL OR price > 900) AND o_custkey IS NOT NULL AND o_orderdate IS NOT NULL"""
 
 
 def null_dropping_range(spark, d):
     """The other policy: an unknown length is dropped; safe negation keeps unknown members."""
-    o = M.table(spark, d, "orders").withColumn("price", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")))
+    o = M.table(spark, d, "orders").withColumn("price", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_totalprice")))
     return o.filter(F.col("price") > 900).agg(F.count("*").alias("kept_known")).crossJoin(
-        o.withColumn("s", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderstatus"))).filter(X.safe_not(F.col("s").isin("F"))).agg(F.count("*").alias("kept_not_f"))
+        o.withColumn("s", F.nullif("o_orderstatus", F.lit("P"))).filter(X.safe_not(F.col("s").isin("F"))).agg(F.count("*").alias("kept_not_f"))
     )
 
 
 NULL_SQL = """
-SELECT (SELECT count(*) FROM orders WHERE o_orderkey % 7 <> 0 AND o_totalprice > 900) AS kept_known,
-       (SELECT count(*) FROM orders WHERE NOT coalesce(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END IN ('F'), false)) AS kept_not_f"""
+SELECT (SELECT count(*) FROM orders WHERE o_orderpriority <> '5-LOW' AND o_totalprice > 900) AS kept_known,
+       (SELECT count(*) FROM orders WHERE NOT coalesce(nullif(o_orderstatus, 'P') IN ('F'), false)) AS kept_not_f"""
 
 
 def union_years(spark, d):
@@ -169,22 +174,22 @@ def trailing_mean_player(spark, d):
 
 def trailing_mean_team(spark, d):
     t = T.trailing_mean(M.teams(M.players(spark, d)), ["revenue", "avg_quantity", "avg_discount"], ["team"], ["date", "gameid", "side"], 10, 5)
-    return t.select("gameid", "side", "team", *[F.round(f"roll_{c}", 4).alias(f"roll_{c}") for c in ("revenue", "avg_quantity", "avg_discount")])
+    return t.select("gameid", "side", "team", *[rounded(f"roll_{c}", 4).alias(f"roll_{c}") for c in ("revenue", "avg_quantity", "avg_discount")])
 
 
-_TEAM_ROLL = ", ".join(f"round(CASE WHEN count({c}) OVER f >= 5 THEN avg({c}) OVER f END, 4) AS roll_{c}" for c in ("revenue", "avg_quantity", "avg_discount"))
+_TEAM_ROLL = ", ".join(f"round(CASE WHEN count({c}) OVER f >= 5 THEN avg({c}) OVER f END + 1e-7, 4) AS roll_{c}" for c in ("revenue", "avg_quantity", "avg_discount"))
 TEAM_SQL = M.sql(f"SELECT gameid, side, team, {_TEAM_ROLL} FROM teams WINDOW f AS (PARTITION BY team ORDER BY date, gameid, side ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)")
 
 
 def trailing_mean_events(spark, d):
     """The same operator on another entity and clock, with nulls in the value."""
-    e = _events(spark, d).withColumn("v", F.when(F.col("event_id") % 3 != 0, F.col("value")))
+    e = _events(spark, d).withColumn("v", F.when(F.col("value") < 50, F.col("value")))
     return T.trailing_mean(e, ["v"], ["user_id"], ["ts", "event_id"], 10, 5).select("event_id", F.round("roll_v", 6).alias("roll_v"))
 
 
 EVENT_ROLL_SQL = """
 SELECT event_id, round(CASE WHEN count(v) OVER f >= 5 THEN avg(v) OVER f END, 6) AS roll_v
-FROM (SELECT *, CASE WHEN event_id % 3 <> 0 THEN value END AS v FROM events)
+FROM (SELECT *, CASE WHEN value < 50 THEN value END AS v FROM events)
 WINDOW f AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)"""
 
 
@@ -266,7 +271,7 @@ def roster_continuity(spark, d):
     return T.overlap_with_previous(t, F.col("lineup"), ["team"], ["date", "gameid", "side"], "continuity").select("gameid", "side", "team", "continuity")
 
 
-CONTINUITY = "cont AS (SELECT gameid, side, team, len(list_intersect(lineup, lag(lineup) OVER (PARTITION BY team ORDER BY date, gameid, side)))::BIGINT AS continuity FROM teams)"
+CONTINUITY = "cont AS (SELECT gameid, side, team, CASE WHEN before IS NOT NULL THEN len(list_intersect(lineup, before))::BIGINT END AS continuity FROM (SELECT *, lag(lineup) OVER (PARTITION BY team ORDER BY date, gameid, side) AS before FROM teams))"
 
 
 def prior_games_coverage(spark, d):
@@ -299,11 +304,11 @@ SPLIT_SQL = M.sql(
 
 def recent_form(spark, d):
     f = T.recent_form(M.players(spark, d), ["player"], ["date", "gameid", "side", "position"], 10, ["quantity", "revenue"])
-    return f.select("player", F.round("form_quantity", 6).alias("form_quantity"), F.round("form_revenue", 4).alias("form_revenue"), "games")
+    return f.select("player", F.round("form_quantity", 6).alias("form_quantity"), rounded("form_revenue", 4).alias("form_revenue"), "games")
 
 
 FORM_SQL = M.sql(
-    "SELECT player, round(avg(quantity) FILTER (rn <= 10), 6) AS form_quantity, round(avg(revenue) FILTER (rn <= 10), 4) AS form_revenue, count(*) AS games FROM (SELECT *, row_number() OVER (PARTITION BY player ORDER BY date DESC, gameid DESC, side DESC, position DESC) AS rn FROM players) GROUP BY player"
+    "SELECT player, round(avg(quantity) FILTER (rn <= 10), 6) AS form_quantity, round(avg(revenue) FILTER (rn <= 10) + 1e-7, 4) AS form_revenue, count(*) AS games FROM (SELECT *, row_number() OVER (PARTITION BY player ORDER BY date DESC, gameid DESC, side DESC, position DESC) AS rn FROM players) GROUP BY player"
 )
 
 
@@ -326,7 +331,7 @@ _FEATURE_CTES = (
 
 
 def master_features(spark, d):
-    return features(spark, d).select("gameid", F.round("diff_roll_revenue", 4).alias("diff_roll_revenue"), F.round("diff_roll_avg_quantity", 6).alias("diff_roll_avg_quantity"), "min_continuity", "target")
+    return features(spark, d).select("gameid", rounded("diff_roll_revenue", 4).alias("diff_roll_revenue"), F.round("diff_roll_avg_quantity", 6).alias("diff_roll_avg_quantity"), "min_continuity", "target")
 
 
 def continuity_bands(spark, d):
@@ -338,7 +343,7 @@ def impute_median(spark, d):
     """Median (mean of the middle two) in place of nulls, per feature."""
     f = features(spark, d).select("gameid", "diff_roll_revenue", "min_continuity")
     med = f.agg(F.median("diff_roll_revenue").alias("mr"), F.median("min_continuity").alias("mc"))
-    return f.crossJoin(F.broadcast(med)).select("gameid", F.round(F.coalesce("diff_roll_revenue", "mr"), 4).alias("x"), F.coalesce("min_continuity", "mc").cast("double").alias("c"))
+    return f.crossJoin(F.broadcast(med)).select("gameid", rounded(F.coalesce("diff_roll_revenue", "mr"), 4).alias("x"), F.coalesce("min_continuity", "mc").cast("double").alias("c"))
 
 
 def standard_scale(spark, d):
@@ -384,9 +389,9 @@ QUERIES = {
     "prior_games_coverage": (prior_games_coverage, M.sql("SELECT count(*) AS games, round(avg(CASE WHEN blue_prior >= 10 AND red_prior >= 10 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS coverage FROM wide", PRIOR.strip())),
     "temporal_split": (temporal_split, SPLIT_SQL),
     "recent_form": (recent_form, FORM_SQL),
-    "master_features": (master_features, M.sql("SELECT gameid, round(diff_roll_revenue, 4) AS diff_roll_revenue, round(diff_roll_avg_quantity, 6) AS diff_roll_avg_quantity, min_continuity, target FROM feats", *_FEATURE_CTES)),
+    "master_features": (master_features, M.sql("SELECT gameid, round(diff_roll_revenue + 1e-7, 4) AS diff_roll_revenue, round(diff_roll_avg_quantity, 6) AS diff_roll_avg_quantity, min_continuity, target FROM feats", *_FEATURE_CTES)),
     "continuity_bands": (continuity_bands, M.sql("SELECT CASE WHEN min_continuity <= 0 THEN '0' WHEN min_continuity = 1 THEN '1' WHEN min_continuity >= 2 THEN '2+' ELSE 'first' END AS band, count(*) AS n, round(avg(target), 6) AS blue_rate FROM feats GROUP BY 1", *_FEATURE_CTES)),
-    "impute_median": (impute_median, M.sql("SELECT gameid, round(coalesce(diff_roll_revenue, (SELECT median(diff_roll_revenue) FROM feats)), 4) AS x, coalesce(min_continuity::DOUBLE, (SELECT median(min_continuity) FROM feats))::DOUBLE AS c FROM feats", *_FEATURE_CTES)),
+    "impute_median": (impute_median, M.sql("SELECT gameid, round(coalesce(diff_roll_revenue, (SELECT median(diff_roll_revenue) FROM feats)) + 1e-7, 4) AS x, coalesce(min_continuity::DOUBLE, (SELECT median(min_continuity) FROM feats))::DOUBLE AS c FROM feats", *_FEATURE_CTES)),
     "standard_scale": (standard_scale, M.sql("SELECT gameid, round((diff_roll_avg_quantity - (SELECT avg(diff_roll_avg_quantity) FROM feats)) / (SELECT stddev_pop(diff_roll_avg_quantity) FROM feats), 6) AS z FROM feats", *_FEATURE_CTES)),
     "average_rank": (average_rank, "SELECT event_id, event_type, rank() OVER (PARTITION BY event_type ORDER BY round(value, 1)) + (count(*) OVER (PARTITION BY event_type, round(value, 1)) - 1) / 2.0 AS rank FROM events"),
 }

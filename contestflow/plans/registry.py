@@ -1,5 +1,5 @@
 """All queries of the rating engine: name -> (function of (spark, dir), SQL or None)."""
 
-from . import features
+from . import evaluation, features
 
-QUERIES = {**features.QUERIES}
+QUERIES = {**features.QUERIES, **evaluation.QUERIES}
