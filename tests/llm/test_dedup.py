@@ -134,7 +134,7 @@ def test_loser_tree_merges_front_coded_runs():
     coded = [suffixes.front_code(r)[0] for r in runs]
     merged = [(item[0], shared) for item, shared in suffixes.LoserTree(suffixes.decoded(c, len(r), k) for k, (c, r) in enumerate(zip(coded, runs, strict=True)))]
     assert [m[0] for m in merged] == sorted(sum(runs, []))
-    assert all(s == suffixes.common_prefix(a[0], b[0]) for a, (b, s) in zip(merged[:-1], merged[1:], strict=True))
+    assert all(s == suffixes.common_prefix(a[0], b) for a, (b, s) in zip(merged[:-1], merged[1:], strict=True))
 
 
 def test_vectors_equal_brute_force(spark, monkeypatch):
