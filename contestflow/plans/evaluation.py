@@ -284,7 +284,8 @@ FROM (SELECT asked, (SELECT max(team) FROM catalog WHERE team = asked) AS exact,
 def matchup_features(spark, d):
     """Serve-time rows: latest roster of every team with form of the last ten rows and ratings.
 
-    Ratings are those after the last pool; players unseen in it have the base.
+    Ratings are those after the last pool; players unseen in it have the base. That is what the
+    SQL asks for; ``matchup_features_history`` has the ratings after all games.
     """
     serving.check_request("Brand#11", "Brand#12", 10)
     form = Q.recent_form(spark, d)
@@ -371,3 +372,6 @@ QUERIES = {
     "name_resolve": (name_resolve, RESOLVE_SQL), "matchup_features": (matchup_features, MATCHUP_SQL),
     "logreg_holdout": (logreg_holdout, None), "gbt_holdout": (gbt_holdout, None), "feature_importance": (feature_importance, None), "walk_forward": (walk_forward, None),
 }
+#: Registered as NAME_history as well, with ratings that are carried through all games.
+CARRIED = ["matchup_features"]
+QUERIES |= {f"{k}_history": (M.over_history(QUERIES[k][0]), M.history_sql(QUERIES[k][1])) for k in CARRIED}

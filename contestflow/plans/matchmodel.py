@@ -6,6 +6,9 @@ first line is the player, the brand of a side's first role its team.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from ..operators.pairing import first_rows, modal, pair_sides, pivot_first
 ROLES = ("A", "N", "R")
 MAJOR = ("AFRICA", "AMERICA", "ASIA", "EUROPE")
 STATS = ("quantity", "price", "discount", "tax", "revenue")
+#: Whether plans built now rate all games as one ordered history instead of one pool per year and event.
+WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -62,7 +67,7 @@ def games(t: DataFrame) -> DataFrame:
         "blue_lineup", "red_lineup", region("blue_league").alias("blue_region"), region("red_league").alias("red_region"),
         crosses(F.col("blue_league"), F.col("red_league"), MAJOR).alias("cross_region"),
         (F.col("blue_revenue") >= F.col("red_revenue")).cast("int").alias("target"),
-        F.concat_ws("/", F.year("blue_date"), "blue_event").alias("pool"),
+        (F.lit("all") if WHOLE.get() else F.concat_ws("/", F.year("blue_date"), "blue_event")).alias("pool"),
     )
 
 
@@ -81,6 +86,19 @@ def ladder_games(g: DataFrame, by_player: bool = False) -> DataFrame:
     return g.select("pool", "date", "gameid", cast[0].alias("blue"), cast[1].alias("red"), "blue_region", "red_region", F.col("cross_region").alias("cross"), "target")
 
 
+def over_history(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with ratings that are carried through all games in order of (date, gameid)."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        token = WHOLE.set(True)
+        try:
+            return query(spark, d)
+        finally:
+            WHOLE.reset(token)
+
+    return run
+
+
 _MAJOR = ", ".join(f"'{m}'" for m in MAJOR)
 SQL = f"""
 li AS (
@@ -113,3 +131,10 @@ games AS (
 
 def sql(body: str, *ctes: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join([SQL.strip(), *ctes]) + "\n" + body
+
+
+def history_sql(text: str) -> str:
+    """The SQL of ``over_history``: all games in one pool."""
+    pool = "year(b.date) || '/' || b.event AS pool"
+    assert pool in text
+    return text.replace(pool, "'all' AS pool")
