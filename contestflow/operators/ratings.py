@@ -1,8 +1,9 @@
 """Order-dependent ratings, replayed per pool.
 
-A fold is sequential within one rating pool (a season of one competition here) and pools are
-independent, so Spark runs pools, and points of a parameter grid, side by side. The per-group
-function is a short loop over the games of its pool.
+A fold is sequential within one rating pool and pools are independent, so Spark runs pools, and
+points of a parameter grid, side by side. A pool is cut into slices of ``SLICE`` games in order;
+each hands the ratings of its members on in a written table, so a task holds one slice of one
+pool and the ratings of those who play in it, however long the pool is.
 """
 
 from __future__ import annotations
@@ -10,10 +11,17 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..sources.tables import written
+
+#: Games of one pool that one task replays.
+SLICE = 50_000
 
 
 @dataclass(frozen=True)
@@ -62,47 +70,88 @@ def _rows(pdf: pd.DataFrame):
 COLUMNS = ("pool", "date", "gameid", "blue", "red", "blue_region", "red_region", "cross", "target")
 
 
-def replay(games: DataFrame, ladder: Ladder) -> DataFrame:
-    """pool, gameid, p, diff, target of every game; diff is without the home bonus."""
+def sliced(games: DataFrame, size: int) -> DataFrame:
+    """Games with ``slice``: their position in the pool's order of (date, gameid) by ``size``.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, rows = _rows(pdf)
-        out = list(play(rows, ladder))[:-1]
-        return pd.DataFrame({"pool": pdf["pool"].to_numpy(), "gameid": pdf["gameid"].to_numpy(), "p": [o[0] for o in out], "diff": [o[1] for o in out], "target": pdf["target"].to_numpy()})
+    Rows are range-partitioned and written once; each part numbers its own rows, and prefix sums
+    over one row per part and pool are added, so no task sees a whole pool.
+    """
+    n = int(games.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["pool", "date", "gameid"]
+    ranged = written(games.select(*COLUMNS).repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    earlier = Window.partitionBy("pool").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("pool", "_part").agg(F.count("*").alias("_n"))
+    bases = totals.select("pool", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    own = F.row_number().over(Window.partitionBy("pool", "_part").orderBy("date", "gameid")) - 1
+    placed = ranged.withColumn("_own", own).join(bases, ["pool", "_part"])
+    return written(placed.select(*COLUMNS, F.floor((F.col("_base") + F.col("_own")) / size).cast("int").alias("slice")), "sliced")
 
-    return games.select(*COLUMNS).groupBy("pool").applyInPandas(run, "pool string, gameid long, p double, diff double, target int")
 
+STATE = "pool string, point int, kind string, name string, rating double"
 
-def final_ratings(games: DataFrame, ladder: Ladder) -> DataFrame:
-    """pool, kind (member or region), name, rating after the last game."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+def _fold(games: DataFrame, ladders: Sequence[Ladder], tell, size: int | None) -> tuple[DataFrame, DataFrame]:
+    """What ``tell(pdf, rows, played)`` gives of every slice of every pool and ladder, as rows of
+    (name, gameid, p, diff, target), and the ratings after the last game."""
+    spark, size = games.sparkSession, size or SLICE
+    games = sliced(games, size)
+    last = games.agg(F.max("slice")).first()[0]
+    points = F.explode(F.sequence(F.lit(0), F.lit(len(ladders) - 1)))  # the grid is a parameter, not data
+    schema = f"{STATE}, gameid long, p double, diff double, target int"
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def run(key, pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         pdf, rows = _rows(pdf)
-        member, region = list(play(rows, ladder))[-1]
-        names = [("member", str(n), r) for n, r in member.items()] + [("region", str(n), r) for n, r in region.items()]
-        return pd.DataFrame([(pdf["pool"].iloc[0], *n) for n in names], columns=["pool", "kind", "name", "rating"])
+        held = [dict(zip(s["name"], s["rating"], strict=True)) for s in (state[state["kind"] == k] for k in ("member", "region"))]
+        *played, after = play(rows, ladders[key[1]], tuple(held))
+        ratings = pd.DataFrame([(kind, str(n), r) for kind, s in zip(("member", "region"), after, strict=True) for n, r in s.items()], columns=["kind", "name", "rating"])
+        out = pd.concat([tell(pdf, rows, played).assign(kind="told"), ratings])
+        return out.assign(pool=key[0], point=key[1]).reindex(columns=columns).astype({"gameid": "Int64", "target": "Int32"})
+
+    state, told = spark.createDataFrame([], STATE), []
+    for k in range((-1 if last is None else last) + 1):
+        now = games.filter(F.col("slice") == k)
+        members = F.transform(F.array_union("blue", "red"), lambda x: F.struct(F.lit("member").alias("kind"), x.alias("name")))
+        regions = F.transform(F.array("blue_region", "red_region"), lambda x: F.struct(F.lit("region").alias("kind"), x.alias("name")))
+        playing = now.select("pool", F.explode(F.concat(members, regions)).alias("_x")).select("pool", "_x.*").distinct()
+        known = state.join(playing, ["pool", "kind", "name"], "left_semi").select("pool", "point", "kind", "name", "rating")
+        keyed = now.select(*COLUMNS, points.alias("point"))
+        out = written(keyed.groupBy("pool", "point").cogroup(known.groupBy("pool", "point")).applyInPandas(run, schema), "slice")
+        told.append(out.filter("kind = 'told'").drop("kind", "rating"))
+        moved = out.filter("kind <> 'told'").select("pool", "point", "kind", "name", "rating")
+        state = written(state.join(moved, ["pool", "point", "kind", "name"], "left_anti").select(moved.columns).union(moved), "state") if k else moved
+    empty = spark.createDataFrame([], "pool string, point int, name string, gameid long, p double, diff double, target int")
+    return reduce(DataFrame.union, told, empty), state
+
+
+def replay(games: DataFrame, ladder: Ladder, size: int | None = None) -> DataFrame:
+    """pool, gameid, p, diff, target of every game; diff is without the home bonus."""
+
+    def tell(pdf, rows, played):
+        return pd.DataFrame({"gameid": pdf["gameid"].to_numpy(), "p": [o[0] for o in played], "diff": [o[1] for o in played], "target": pdf["target"].to_numpy()})
+
+    return _fold(games, [ladder], tell, size)[0].select("pool", "gameid", "p", "diff", "target")
 
-    return games.select(*COLUMNS).groupBy("pool").applyInPandas(run, "pool string, kind string, name string, rating double")
+
+def final_ratings(games: DataFrame, ladder: Ladder, size: int | None = None) -> DataFrame:
+    """pool, kind (member or region), name, rating after the last game."""
+    return _fold(games, [ladder], lambda pdf, rows, played: pd.DataFrame({"gameid": []}), size)[1].select("pool", "kind", "name", "rating")
 
 
-def grid(games: DataFrame, ladders: Sequence[Ladder], score_from: str | None = None, cross_only: bool = False) -> DataFrame:
+def grid(games: DataFrame, ladders: Sequence[Ladder], score_from: str | None = None, cross_only: bool = False, size: int | None = None) -> DataFrame:
     """Mean log-loss of every ladder over all pools, best first; ties go to the earlier one."""
     spark = games.sparkSession
     points = spark.createDataFrame([(i, l.k, l.home, l.beta, -1.0 if l.k_region is None else l.k_region) for i, l in enumerate(ladders)], "point int, k double, home double, beta double, k_region double")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def tell(pdf, rows, played):
         import math
 
-        one = pdf.iloc[0]
-        ladder = Ladder(one["k"], one["home"], 1500.0, one["beta"], None if one["k_region"] < 0 else one["k_region"])
-        pdf, rows = _rows(pdf)
         loss, n = 0.0, 0
-        for (p, _), row in zip(list(play(rows, ladder))[:-1], rows, strict=True):
+        for (p, _), row in zip(played, rows, strict=True):
             if row[4] or not cross_only:
                 p = min(max(p, 1e-15), 1 - 1e-15)
                 loss, n = loss - math.log(p if row[5] else 1 - p), n + 1
-        return pd.DataFrame({"point": [one["point"]], "loss": [loss], "n": [n]})
+        return pd.DataFrame({"p": [loss], "gameid": [n]})
 
-    keyed = games.select(*COLUMNS).crossJoin(F.broadcast(points))  # the grid is a parameter, not data
-    sums = keyed.groupBy("pool", "point").applyInPandas(run, "point int, loss double, n long").groupBy("point").agg(F.sum("loss").alias("loss"), F.sum("n").alias("games"))
+    sums = _fold(games, ladders, tell, size)[0].groupBy("point").agg(F.sum("p").alias("loss"), F.sum("gameid").alias("games"))
     return sums.join(F.broadcast(points), "point").select("point", "k", "home", "beta", "k_region", "games", (F.col("loss") / F.col("games")).alias("log_loss"))

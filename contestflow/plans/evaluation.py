@@ -370,8 +370,11 @@ QUERIES = {
     "teams_by_region": (teams_by_region, M.sql("SELECT home, string_agg(team, ',' ORDER BY team) AS teams FROM homes GROUP BY home")),
     "team_counts": (team_counts, M.sql("SELECT team, count(*) AS games FROM (SELECT blue_team AS team FROM games UNION ALL SELECT red_team FROM games) GROUP BY team")),
     "name_resolve": (name_resolve, RESOLVE_SQL), "matchup_features": (matchup_features, MATCHUP_SQL),
-    "logreg_holdout": (logreg_holdout, None), "gbt_holdout": (gbt_holdout, None), "feature_importance": (feature_importance, None), "walk_forward": (walk_forward, None),
+    "logreg_holdout": (M.over_history(logreg_holdout), None), "gbt_holdout": (M.over_history(gbt_holdout), None), "feature_importance": (M.over_history(feature_importance), None), "walk_forward": (M.over_history(walk_forward), None),
 }
 #: Registered as NAME_history as well, with ratings that are carried through all games.
-CARRIED = ["matchup_features"]
+CARRIED = (
+    "elo_replay player_elo region_elo region_player_elo elo_diff elo_grid region_grid elo_leaderboard region_rank point_metrics metrics_by_bucket constant_baseline auc_by_group class_report "
+    "calibration_bins mcnemar bootstrap_ci paired_ci cumulative_accuracy season_summary season_by_league season_timeline recent_games_log matchup_features"
+).split()
 QUERIES |= {f"{k}_history": (M.over_history(QUERIES[k][0]), M.history_sql(QUERIES[k][1])) for k in CARRIED}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,5 +49,14 @@ def load_state(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written once to a new folder that driver and executors share, and read again."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/tables"
+    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def as_json(df: DataFrame, into: str = "json") -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias(into))
