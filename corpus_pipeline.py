@@ -19,9 +19,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates: the one with the smallest doc_id.
+
+    The operator runs on a key of the rows, so repeated rows, rows without doc_id and different
+    texts under one doc_id are documents of their own; of rows with the same doc_id the one with
+    the least key stays, and null doc_ids come last.
+    """
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    keyed = rows.select(F.col("_row").alias("doc_id"), "text")
+    groups = minhash.near_duplicates(keyed).select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    stay = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min(first)["_row"].alias("_row"))
+    return rows.join(stay.select("_row"), "_row", "left_semi").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,3 +57,22 @@ def test_run_and_odd_tables(spark, prose, tmp_path):
     assert pipeline.run(spark, folder([], "none")).collect() == []
     rows = [(None, first, None, None, None), (1, None, "en", "web", None), (2, second, "en", None, 5), (4, second + " end", "en", "web", 5), (5, second, "en", "web", 5), (3, "", "en", "web", 0)]
     assert pipeline.run(spark, folder(rows, "odd")).select("doc_id").distinct().count() == 2
+
+
+def test_repeated_rows_and_rows_without_id(spark, prose):
+    def text(seed):
+        return "\n".join(" ".join(f"the {w}" for w in prose(seed + k, 9).split()) + "." for k in range(12))
+
+    texts = [text(s) for s in (0, 50, 100, 150, 200)]
+    rows = [(7, texts[0])] * 2 + [(None, texts[1])] * 3 + [(9, texts[2]), (9, texts[3]), (None, texts[4]), (12, texts[4]), (11, texts[4])]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    alone = [(7, texts[0]), (None, texts[1]), (9, texts[2]), (9, texts[3]), (11, texts[4])]
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        docs = materialize(stage(spark, docs, ""), "stage")
+        got = docs.collect()
+        if k in (1, 2):
+            assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(alone, key=str)
+        if k == 3:
+            assert {(r.doc_id, t) for r in got for i, t in alone if i == r.doc_id and t.startswith(r.text)} == set(alone)
+    starts = sorted((r.doc_id is None, r.doc_id) for r in got)
+    assert {i for _, i in starts} == {7, 9, 11, None}
