@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import shared_dir, table, text_chunks
-from .tokens import WORD_BPE, encoder
+from .tokens import ENCODE_BYTES, WORD_BPE, encoder
 
 #: One offset per partition is broadcast up to this many partitions (16 bytes each), joined beyond.
 BROADCAST_PARTITIONS = 500_000
@@ -34,7 +34,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame
         part, place, enc = TaskContext.get().partitionId(), 0, None
         for batch in batches:
             enc = enc or encoder(vocabulary)
-            for start, stop in text_chunks(batch, "text", 1 << 19):
+            for start, stop in text_chunks(batch, "text", ENCODE_BYTES):
                 rows = batch.slice(start, stop - start)
                 ids = enc.encode(rows.column("text").to_pylist(), end_id)
                 n = np.array([len(x) // enc.width for x in ids], np.int64)

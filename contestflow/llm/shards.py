@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import materialize, shared_dir, table, text_chunks
-from .tokens import BYTE_BPE, encoder
+from .tokens import BYTE_BPE, ENCODE_BYTES, encoder
 
 MAGIC = b"IDSHARD1"
 
@@ -144,7 +144,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str = BYTE_BPE, end_id:
             column = batch.column("doc_id")
             nulls += column.null_count
             keys.append(column.drop_null().to_numpy(zero_copy_only=False))
-            for start, stop in text_chunks(batch, "text", 1 << 19):
+            for start, stop in text_chunks(batch, "text", ENCODE_BYTES):
                 ids = enc.encode(batch.column("text").slice(start, stop - start).to_pylist(), end_id)
                 lengths.append(np.array([len(x) // enc.width for x in ids], np.int64))
                 out.write(b"".join(ids))

@@ -18,6 +18,8 @@ import pandas as pd
 from .rolling import Rolling
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+#: Bytes of the texts that are encoded together; more of them share pieces, arrays fit the caches less.
+ENCODE_BYTES = 2 << 20
 _find = re.compile(r"\s*\S+|\s+").findall
 _BREAK = "\x00"
 #: White space beyond ASCII's six; the joint path knows those only.
