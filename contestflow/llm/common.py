@@ -19,16 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that this process has asked for and not yet discarded.
+_folders: list[str] = []
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent (local tests) one temporary folder per session is set.
+    Where the setting is absent a local session (tests) gets a temporary folder; on several
+    hosts there is no folder that all of them see, so the setting is required.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="llm-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _folders.append(f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    return _folders[-1]
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
@@ -38,7 +46,27 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     """
     path = shared_dir(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _folders.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again (what used them is written itself)."""
+    for df in tables:
+        _delete(df.sparkSession, df.folder)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete every folder that is left; to be called once the results of all queries are stored."""
+    for path in list(_folders):
+        _delete(spark, path)
 
 
 def map_rows(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -1,14 +1,16 @@
 """Repeated byte strings by a common-prefix-aware distributed merge sort of suffixes.
 
-Which suffixes can repeat is found first. Every ``length``-byte string belongs to the minimizer
-(the least hash of the k-byte strings inside it); neighbouring strings with one minimizer form
-a segment, and equal strings always have equal minimizers. A minimizer that occurs once rules
-its segment out. Segments whose minimizers repeat are candidates; within such a bucket the
-starts whose string hash repeats are cut into runs that all partners share, and the suffixes
-at the runs' starts are sorted: tasks sort local runs and front-code them, ranges of them are
-exchanged, and loser trees merge them without comparing a known common prefix again. The
-prefix that neighbours in the order share decides. Segments that are equal as a whole (128 bits
-of hashes) need one suffix for all.
+Every removal comes from the sorted order: tasks sort local runs of suffixes and front-code
+them, ranges of them are exchanged, and loser trees merge them without comparing a known common
+prefix again. The prefix that neighbours in the order share is the verdict.
+
+Hashes only choose which suffixes are worth sorting. Every ``length``-byte string belongs to the
+minimizer (the least hash of the k-byte strings inside it); neighbouring strings with one
+minimizer form a segment, and equal strings always have equal minimizers, so a minimizer that
+occurs once rules its segment out. Of the segments that look equal as a whole, the first and the
+last place are sorted, neighbouring ones as one piece; the others follow once the first is
+proved. Segments that share only a minimizer with others give the suffixes of those starts that
+look repeated.
 """
 
 from __future__ import annotations
@@ -20,17 +22,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, table, text_chunks
+from .common import discard, map_rows, materialize, table, text_chunks
 from .rolling import Rolling, mix
 
 #: Texts are scanned in pieces of this many bytes, so memory does not follow a text's length.
 SCAN_BYTES = 4 << 20
-#: Segments of one bucket that meet in a task; larger buckets meet in pairs of chunks.
+#: Segments of one minimizer that meet in a task; those of commoner ones are matched by a shuffle of their strings' hashes.
 BUCKET_ROWS = 1500
-#: Suffixes in one sorted run.
-RUN_ROWS = 30_000
-#: Sampled suffix starts that place the ranges; they balance the merge and never change results.
-SAMPLE = 2048
+#: Starts in one piece of segments in a row.
+PIECE_STARTS = 4096
+#: Suffixes, and bytes of them, in one sorted run.
+RUN_ROWS, RUN_BYTES = 30_000, 24 << 20
+#: Bytes of suffixes in one range of the merge.
+RANGE_BYTES = 32 << 20
+#: Sampled suffix starts per range (2048 at least) that place the ranges; they balance the merge and never change results.
+SAMPLE = 8
+KEY = ["doc", "th"]
 
 
 def segments(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -58,9 +65,9 @@ def segments(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int
     return text[first], first - begins[text[first]], last - begins[text[first]], grams[at[first]], rolling.of(first, last + length)
 
 
-def anchors(docs: DataFrame, length: int) -> DataFrame:
-    """Segments of every text: doc_id, th, s, e, h1, h2, n; those that repeat inside one text are
-    given once with their number, and their other places with h1 null."""
+def anchors(keyed: DataFrame, length: int) -> DataFrame:
+    """Segments of every text: doc, th, s, e, h1, h2, n, s2. One that repeats inside a text is given
+    once with its number n and its last place s2, and its other places with n = 0."""
 
     def scan(column):
         for start, stop in text_chunks(pa.record_batch([column], ["text"]), "text", 1 << 20):
@@ -84,101 +91,149 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
             text, s, e, h1, h2 = (a[order] for a in (text, s, e, h1, h2))
             new = np.ones(text.size, bool)
             new[1:] = (text[1:] != text[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-            count = np.zeros(text.size, np.int64)
             heads = np.flatnonzero(new)
-            count[heads] = np.diff(np.append(heads, text.size))
-            again = np.repeat(count[heads] > 1, count[heads])
-            own, keep = np.flatnonzero(again), heads
-            rows = np.concatenate([keep, own])
-            null = np.concatenate([np.zeros(keep.size, bool), np.ones(own.size, bool)])
-            pick = pa.array(text[rows])
+            ends = np.append(heads[1:], text.size)
+            count, last = np.zeros(text.size, np.int32), s.copy()
+            count[heads], last[heads] = ends - heads, s[ends - 1]
+            pick = pa.array(text)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").take(pick), batch.column("th").take(pick), pa.array(s[rows].astype(np.int32)), pa.array(e[rows].astype(np.int32)),
-                    pa.array(h1[rows].view(np.int64), mask=null), pa.array(h2[rows].view(np.int64), mask=null), pa.array(count[rows].astype(np.int32)),
+                    batch.column("doc").take(pick), batch.column("th").take(pick), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)),
+                    pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(count), pa.array(last.astype(np.int32)),
                 ],
-                ["doc_id", "th", "s", "e", "h1", "h2", "n"],
+                ["doc", "th", "s", "e", "h1", "h2", "n", "s2"],
             )
 
-    return map_rows(docs.select("doc_id", "th", "text"), step, "doc_id long, th long, s int, e int, h1 long, h2 long, n int")
+    return map_rows(keyed.select(*KEY, "text"), step, "doc long, th long, s int, e int, h1 long, h2 long, n int, s2 int")
 
 
-FULL, PART, PARTNER = 0, 1, 2
-
-
-def marks(found: DataFrame) -> DataFrame:
-    """Candidate segments per text: (doc_id, th, marks of (s, e, kind, h1))."""
-    known = found.filter(F.col("h1").isNotNull())
+def typed(found: DataFrame) -> DataFrame:
+    """Segments whose minimizer repeats, with the total of equal ones, whether others share the
+    minimizer, and the first and last place of the equal ones where this row is one of them."""
+    known = found.filter("n > 0")
     repeated = known.groupBy("h1").agg(F.sum("n").alias("total"), F.min("h2").alias("lo"), F.max("h2").alias("hi")).filter("total > 1")
     hits = materialize(known.join(repeated.select("h1", (F.col("lo") != F.col("hi")).alias("mixed")), "h1"), "hits")
-    chosen = F.xxhash64("doc_id", "th", "s")
-    kinds = hits.filter("mixed").groupBy("h1", "h2").agg(F.sum("n").alias("total"), F.min(chosen).alias("chosen"))
-    typed = hits.filter("mixed").join(kinds, ["h1", "h2"])
-    kind = F.when(F.col("total") == 1, PART).when(F.col("chosen") == chosen, PARTNER).otherwise(FULL)
-    columns = ("doc_id", "th", "s", "e", "kind", "h1")
-    own = found.filter(F.col("h1").isNull()).withColumn("kind", F.lit(FULL))
-    whole = hits.filter(~F.col("mixed")).withColumn("kind", F.lit(FULL))
-    every = own.select(*columns).union(whole.select(*columns)).union(typed.withColumn("kind", kind).select(*columns))
-    return every.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e", "kind", "h1")).alias("marks"))
+    here, there = F.struct(*KEY, "s"), F.struct(*KEY, F.col("s2").alias("s"))
+    groups = hits.groupBy("h1", "h2").agg(F.sum("n").alias("total"), F.min(here).alias("first"), F.max(there).alias("last"))
+    rows = hits.join(groups, ["h1", "h2"])
+    first, last = F.when((F.col("total") > 1) & (F.col("last") == there), F.col("first")), F.when((F.col("total") > 1) & (F.col("first") == here), F.col("last"))
+    out = materialize(rows.select(*KEY, "s", "e", "s2", "h1", "h2", "mixed", "total", first.alias("first"), last.alias("last")), "typed")
+    discard(hits)
+    return out
+
+
+FIRST, LAST, PART = 0, 1, 2
 
 
-def bodies(marked: DataFrame, length: int) -> DataFrame:
-    """The bytes of every segment that shares its minimizer with different segments."""
+def bodies(keyed: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """Bytes to look at: (doc, th, s, judged, body, h1, groups).
+
+    With h1 null the body is a piece: equal segments in a row, at their first place (judged, with
+    the groups (h1, h2, e) that it stands for) or at their last. Both are cut alike, since what
+    ends a piece (a gap, another partner, its size) shows on both sides. With h1 a body is a segment
+    that shares its minimizer with others: judged if no other equals it, else the first place.
+    """
+    null, away = F.lit(None), F.col("e") - F.col("s")
+    mark = lambda kind, s, other: F.struct(
+        s.alias("s"), (s + away).cast("int").alias("e"), F.lit(kind).alias("kind"), "h1", "h2", "mixed",
+        other["doc"].alias("doc"), other["th"].alias("th"), other["s"].alias("at"),
+    )
+    nothing = F.struct(null.cast("long").alias("doc"), null.cast("long").alias("th"), null.cast("int").alias("s"))
+    one = F.when(F.col("total") == 1, mark(PART, F.col("s"), nothing))
+    first, last = F.when(F.col("last").isNotNull(), mark(FIRST, F.col("s"), F.col("last"))), F.when(F.col("first").isNotNull(), mark(LAST, F.col("s2"), F.col("first")))
+    marks = rows.filter("total = 1 or first is not null or last is not null").select(F.col("doc").alias("_d"), F.col("th").alias("_t"), F.explode(F.array_compact(F.array(one, first, last))).alias("m"))
+    per_text = marks.groupBy("_d", "_t").agg(F.collect_set("m").alias("marks"))
+    texts = keyed.select(*KEY, "text").join(per_text, (F.col("doc") == F.col("_d")) & (F.col("th") == F.col("_t")))
+    group = pa.list_(pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("e", pa.int32())]))
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), group)
+
+    def pieces(raw, marks):
+        chains = sorted((m["kind"], m["doc"], m["th"], m["at"] - m["s"], m["s"], m["e"], m["h1"], m["h2"]) for m in marks)
+        held = []
+        for m in [*chains, None]:
+            if held and (m is None or m[:4] != held[-1][:4] or m[4] != held[-1][5] + 1 or m[5] - held[0][4] >= PIECE_STARTS):
+                judged, s = held[0][0] == FIRST, held[0][4]
+                yield s, judged, raw[s : held[-1][5] + length], None, [{"h1": x[6], "h2": x[7], "e": x[5]} for x in held] if judged else []
+                held = []
+            held.append(m)
 
     def step(batch):
         for k in range(0, batch.num_rows, 200):
-            rows, out = batch.slice(k, 200), []
-            for doc, th, text, found in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "th", "text", "marks")), strict=True):
-                found = [m for m in found if m["kind"] != FULL]
-                raw = text.encode() if found else b""
-                out += [(m["h1"], doc, th, m["s"], m["kind"], raw[m["s"] : m["e"] + length]) for m in found]
+            part, out = batch.slice(k, 200), []
+            for doc, th, text, marks in zip(*(part.column(c).to_pylist() for c in (*KEY, "text", "marks")), strict=True):
+                raw = text.encode()
+                out += [(doc, th, *x) for x in pieces(raw, [m for m in marks if m["kind"] != PART])]
+                out += [(doc, th, m["s"], m["kind"] == PART, raw[m["s"] : m["e"] + length], m["h1"], []) for m in marks if m["kind"] == PART or (m["kind"] == FIRST and m["mixed"])]
             if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
-                    ["h1", "doc_id", "th", "s", "kind", "body"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [*KEY, "s", "judged", "body", "h1", "groups"])
+
+    schema = "doc long, th long, s int, judged boolean, body binary, h1 long, groups array<struct<h1:long,h2:long,e:int>>"
+    return map_rows(texts.select(*KEY, "text", "marks"), step, schema)
 
-    return map_rows(marked.select("doc_id", "th", "text", "marks"), step, "h1 long, doc_id long, th long, s int, kind int, body binary")
+
+_SUFFIX = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("p", pa.int32()), ("judged", pa.bool_()), ("body", pa.binary())])
+
+
+def _cut_runs(place: np.ndarray, partners: np.ndarray) -> list[tuple[int, int]]:
+    """First and last of neighbouring places that occur in the same segments."""
+    new = np.ones(place.size, bool)
+    new[1:] = (np.diff(place) != 1) | (partners[1:] != partners[:-1])
+    first = np.flatnonzero(new)
+    return list(zip(place[first].tolist(), place[np.append(first[1:], place.size) - 1].tolist(), strict=True))
 
 
 def runs(parts: DataFrame, length: int) -> DataFrame:
-    """Suffixes worth sorting: (doc_id, th, p, body) where the strings at p, p+1, ... occur in the
-    same segments, so that all of these have a suffix that starts at the same place."""
-    crowded = parts.groupBy("h1").agg(F.count("*").alias("size")).filter(F.col("size") > BUCKET_ROWS)
-    rows = parts.join(crowded.select("h1", F.ceil(F.col("size") / BUCKET_ROWS).cast("int").alias("chunks")), "h1", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    own = F.pmod(F.xxhash64("doc_id", "th", "s"), F.col("chunks")).cast("int")
-    dealt = rows.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    dealt = dealt.withColumns({"left": F.least("own", "other"), "right": F.greatest("own", "other")})
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("p", pa.int32()), ("part", pa.bool_()), ("body", pa.binary())])
-
-    def step(group):
+    """Suffixes worth sorting: (doc, th, p, judged, body) where the strings at p, p+1, ... look as if
+    they occur in the same segments, so that all of these have a suffix that starts at the same place."""
+    crowded = parts.groupBy("h1").agg(F.count("*").alias("size")).filter(F.col("size") > BUCKET_ROWS).select("h1")
+
+    def meet(group):
         body = group.column("body").to_pylist()
         size = np.array([len(b) for b in body])
-        ends = np.cumsum(size)
-        begin = ends - size
-        joined = b"".join(body)
-        many = size - length + 1
+        begin, many = np.cumsum(size) - size, size - length + 1
         row = np.repeat(np.arange(size.size), many)
         place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        at = begin[row] + place
-        prints = Rolling(np.frombuffer(joined, np.uint8)).every(length)[at]
+        prints = Rolling(np.frombuffer(b"".join(body), np.uint8)).every(length)[begin[row] + place]
         _, inverse, count = np.unique(prints, return_inverse=True, return_counts=True)
         partners = np.zeros(count.size, np.uint64)
         np.add.at(partners, inverse, mix(row.astype(np.uint64) + np.uint64(1)))
-        alive, partners = count[inverse] > 1, partners[inverse]
-        new = np.ones(row.size, bool)
-        new[1:] = (row[1:] != row[:-1]) | (partners[1:] != partners[:-1]) | (alive[1:] != alive[:-1])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], row.size) - 1
-        first, last = first[alive[first]], last[alive[first]]
-        pick = pa.array(row[first])
-        p = group.column("s").to_numpy()[row[first]] + place[first]
-        suffix = [joined[a:b] for a, b in zip(at[first].tolist(), (at[last] + length).tolist(), strict=True)]
-        part = group.column("kind").to_numpy()[row[first]] == PART
-        return pa.table([group.column("doc_id").take(pick), group.column("th").take(pick), pa.array(p, pa.int32()), pa.array(part), pa.array(suffix, pa.binary())], schema=schema)
-
-    out = dealt.select("h1", "left", "right", "doc_id", "th", "s", "kind", "body")
-    return out.groupBy("h1", "left", "right").applyInArrow(step, "doc_id long, th long, p int, part boolean, body binary")
+        alive = np.flatnonzero(count[inverse] > 1)
+        row, place, partners = row[alive], place[alive], partners[inverse[alive]]
+        edges, out = np.flatnonzero(np.diff(row, prepend=-1, append=-1)), []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            r = int(row[a])
+            out += [(r, x, body[r][x : y + length]) for x, y in _cut_runs(place[a:b], partners[a:b])]
+        pick = pa.array([r for r, _, _ in out], pa.int64())
+        p = pa.array(group.column("s").to_numpy()[pick.to_numpy()] + np.array([x for _, x, _ in out], np.int64), pa.int32())
+        return pa.table([group.column("doc").take(pick), group.column("th").take(pick), p, group.column("judged").take(pick), pa.array([b for _, _, b in out], pa.binary())], schema=_SUFFIX)
+
+    def strings(batch):
+        for k in range(0, batch.num_rows, 500):
+            rows = batch.slice(k, 500)
+            bodies_ = rows.column("body").to_pylist()
+            prints = [Rolling(np.frombuffer(b, np.uint8)).every(length) for b in bodies_]
+            pick = pa.array(np.repeat(np.arange(len(prints)), [x.size for x in prints]))
+            place = np.concatenate([np.arange(x.size, dtype=np.int32) for x in prints])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c).take(pick) for c in (*KEY, "s")), pa.array(place), pa.array(np.concatenate(prints).view(np.int64))], [*KEY, "s", "place", "print"])
+
+    def common(batch):
+        for k in range(0, batch.num_rows, 500):
+            rows, out = batch.slice(k, 500), []
+            for doc, th, s, judged, body, found in zip(*(rows.column(c).to_pylist() for c in (*KEY, "s", "judged", "body", "found")), strict=True):
+                found = sorted((f["place"], f["partners"]) for f in found)
+                place, partners = (np.array(x) for x in zip(*found, strict=True))
+                out += [(doc, th, s + x, judged, body[x : y + length]) for x, y in _cut_runs(place, partners)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SUFFIX, strict=True)], schema=_SUFFIX)
+
+    schema = "doc long, th long, p int, judged boolean, body binary"
+    few = parts.join(crowded, "h1", "left_anti").select("h1", *KEY, "s", "judged", "body").groupBy("h1").applyInArrow(meet, schema)
+    many = parts.join(crowded, "h1", "left_semi").select(*KEY, "s", "judged", "body")
+    each = map_rows(many, strings, "doc long, th long, s int, place int, print long")
+    who = F.xxhash64(*KEY, "s")
+    halves = [F.sum(x) for x in (who.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(who, 32))]
+    repeated = each.groupBy("print").agg(F.count("*").alias("n"), F.xxhash64(*halves).alias("partners")).filter("n > 1")
+    found = each.join(repeated, "print").groupBy(*KEY, "s").agg(F.collect_set(F.struct("place", "partners")).alias("found"))
+    return few.union(map_rows(many.join(found, [*KEY, "s"]), common, schema))
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -264,25 +319,26 @@ def decoded(block: bytes, n: int, index: int):
 
 
 def sorted_verdicts(suffixes: DataFrame, length: int) -> DataFrame:
-    """(doc_id, th, p, last): starts p..last repeat, by the sorted order of the suffixes.
+    """(doc, th, p, last): starts p..last repeat, by the sorted order of the suffixes.
 
     In a local run equal suffixes decide each other and one of them goes on, so a string that
-    very many texts share costs one suffix a run.
+    very many texts share costs one suffix a run. The number of ranges follows the bytes.
     """
-    prefix = F.substring("body", 1, 16)
-    sample = [bytes(r[0]) for r in suffixes.select(prefix.alias("x"), F.xxhash64("body", "doc_id", "p").alias("o")).orderBy("o").limit(SAMPLE).collect()]
-    ranges = max(1, int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    total = suffixes.agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0
+    ranges = max(int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // RANGE_BYTES)
+    most = max(2048, SAMPLE * ranges)
+    prefix, draw = F.substring("body", 1, 64), F.xxhash64("body", *KEY, "p")
+    sample = [bytes(r[0]) for r in suffixes.select(prefix.alias("x"), draw.alias("o")).orderBy("o").limit(most).collect()]
     sample.sort()
     splits = sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
-    names = ["range", "run", "block", "doc_id", "th", "p", "last"]
-    many = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    kinds = [pa.int64(), pa.string(), pa.binary(), *many]
+    names = ["range", "run", "block", *KEY, "p", "last"]
+    kinds = [pa.int64(), pa.string(), pa.binary(), *[pa.list_(pa.int64())] * 4]
 
     def local(batches):
         import bisect
         import uuid
 
-        held = []
+        held, size = [], 0
 
         def run():
             held.sort(key=lambda r: r[0])
@@ -292,11 +348,13 @@ def sorted_verdicts(suffixes: DataFrame, length: int) -> DataFrame:
                     for x in (kept[-1], r):
                         if x[4]:
                             done.append((x[1], x[2], x[3], x[3] + len(x[0]) - length))
+                    if r[4] and not kept[-1][4]:
+                        kept[-1] = r
                 else:
                     kept.append(r)
             held.clear()
             name, out = uuid.uuid4().hex, []
-            cuts = [0, *(bisect.bisect_left(kept, s, key=lambda r: r[0][:16]) for s in splits), len(kept)]
+            cuts = [0, *(bisect.bisect_left(kept, s, key=lambda r: r[0][:64]) for s in splits), len(kept)]
             for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if a < b:
                     block, _ = front_code([r[0] for r in kept[a:b]])
@@ -308,17 +366,21 @@ def sorted_verdicts(suffixes: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
-            held += zip(*(batch.column(c).to_pylist() for c in ("body", "doc_id", "th", "p", "part")), strict=True)
-            if len(held) >= RUN_ROWS:
-                yield from run()
+            for k in range(0, batch.num_rows, 1000):
+                rows = list(zip(*(batch.slice(k, 1000).column(c).to_pylist() for c in ("body", *KEY, "p", "judged")), strict=True))
+                held += rows
+                size += sum(len(r[0]) for r in rows)
+                if len(held) >= RUN_ROWS or size >= RUN_BYTES:
+                    yield from run()
+                    size = 0
         if held:
             yield from run()
 
-    lists = "doc_id array<long>, th array<long>, p array<long>, last array<long>"
-    coded = materialize(suffixes.select("body", "doc_id", "th", "p", "part").mapInArrow(local, f"range long, run string, block binary, {lists}"), "suffix-runs")
+    lists = "doc array<long>, th array<long>, p array<long>, last array<long>"
+    coded = materialize(suffixes.select("body", *KEY, "p", "judged").mapInArrow(local, f"range long, run string, block binary, {lists}"), "suffix-runs")
 
     def merge(group):
-        block, ids = group.column("block").to_pylist(), [group.column(c).to_pylist() for c in ("doc_id", "th", "p", "last")]
+        block, ids = group.column("block").to_pylist(), [group.column(c).to_pylist() for c in (*KEY, "p", "last")]
         tree = LoserTree(decoded(b, len(p), k) for k, (b, p) in enumerate(zip(block, ids[2], strict=True)))
         out, before, before_shared = [], None, 0
 
@@ -335,10 +397,10 @@ def sorted_verdicts(suffixes: DataFrame, length: int) -> DataFrame:
         if before is not None:
             decide(before, before_shared)
         cols = list(zip(*out, strict=True)) or [[]] * 4
-        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "th", "p", "last"])
+        return pa.table([pa.array(c, pa.int64()) for c in cols], names=[*KEY, "p", "last"])
 
-    merged = coded.filter("range >= 0").groupBy("range").applyInArrow(merge, "doc_id long, th long, p long, last long")
-    local_ones = coded.filter("range < 0").select(F.explode(F.arrays_zip("doc_id", "th", "p", "last")).alias("r")).select("r.*")
+    merged = coded.filter("range >= 0").groupBy("range").applyInArrow(merge, "doc long, th long, p long, last long")
+    local_ones = coded.filter("range < 0").select(F.explode(F.arrays_zip(*KEY, "p", "last")).alias("r")).select("r.*")
     return merged.union(local_ones)
 
 
@@ -361,48 +423,50 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False,
     included; overlaps count, matches never cross texts, all is judged on the input. A null text
     is an empty one. Rows that share doc_id and text are two places of their strings. Kept text
     that a cut leaves undecodable at its edges loses those bytes. Other columns are ignored; no
-    rows give no rows. ``length`` is even and at least 32.
+    rows give no rows. ``length`` is even and at least 32. A text is one value of a row and so
+    fits in a task; what is scanned, sorted and merged of it is bounded by the sizes above.
     """
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *carry).withColumn("th", F.xxhash64("text"))
+    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *carry)
+    keyed = source.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "th": F.xxhash64("doc_id", "text")})
     found = materialize(anchors(keyed.filter(F.octet_length("text") >= length), length), "segments")
-    marked = _matched(keyed.select("doc_id", "th", "text"), marks(found))
-    marked = materialize(marked, "marked")
-    suffixes = materialize(runs(bodies(marked, length), length), "suffixes")
-    verdicts = sorted_verdicts(suffixes, length)
-    per_text = verdicts.groupBy("doc_id", "th").agg(F.collect_set(F.struct("p", "last")).alias("proved"))
-    ready = marked.join(per_text.withColumnsRenamed({"doc_id": "_d", "th": "_t"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left")
+    rows = typed(found)
+    look = materialize(bodies(keyed, rows, length), "bodies")
+    pieces = look.filter("h1 is null").select(*KEY, F.col("s").alias("p"), "judged", "body")
+    suffixes = materialize(pieces.union(runs(look.filter("h1 is not null"), length)), "suffixes")
+    verdicts = materialize(sorted_verdicts(suffixes, length), "verdicts")
+    stands = look.filter("h1 is null and judged").select(*KEY, F.col("s").alias("p"), F.explode("groups").alias("g"))
+    proved = stands.join(verdicts, [*KEY, "p"]).filter("last >= g.e").select("g.h1", "g.h2").distinct()
+    following = rows.filter("total > 1").select(*KEY, "s", "e", "h1", "h2").union(found.filter("n = 0").select(*KEY, "s", "e", "h1", "h2"))
+    followed = following.join(proved, ["h1", "h2"]).select(*KEY, F.col("s").cast("long").alias("p"), F.col("e").cast("long").alias("last"))
+    per_text = verdicts.select(*KEY, "p", "last").union(followed).groupBy(F.col("doc").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set(F.struct("p", "last")).alias("spans"))
+    whole = keyed.withColumns({"n_bytes": F.octet_length("text").cast("long"), "whole": F.sha2("text", 256)})
+    ready = whole.join(per_text, (F.col("doc") == F.col("_d")) & (F.col("th") == F.col("_t")), "left")
+    texts = ["text"] * with_text
 
     def cut(batch):
-        names = ["doc_id", "th", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
-        for k in range(0, batch.num_rows, 200):
-            rows, out = batch.slice(k, 200), []
-            for doc, th, text, found, proved in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "th", "text", "marks", "proved")), strict=True):
-                raw, at, kept = text.encode(), 0, []
-                spans = spans_of([(m["s"], m["e"]) for m in found if m["kind"] != PART] + [(v["p"], v["last"]) for v in proved or ()], length)
-                for a, b in spans:
-                    kept.append(raw[at:a])
-                    at = b
-                kept = b"".join([*kept, raw[at:]])
-                out.append((doc, th, len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore"))[: len(names)])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.string()] * 2, strict=False)], names)
-
-    schema = "doc_id long, th long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    done = map_rows(ready.select("doc_id", "th", "text", "marks", "proved"), cut, schema)
-    done = done.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(*[F.max(c).alias(f"_{c}") for c in ("n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text)])
-    base = keyed.select("doc_id", "th", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"), *(["text"] if with_text else []), *carry)
-    out = base.join(done, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left")
-    zero = F.lit(0).cast("long")
-    return out.select(
-        "doc_id", "n_bytes", F.coalesce("_n_removed", zero).alias("n_removed"), F.coalesce("_n_spans", zero).alias("n_spans"),
-        F.coalesce("_kept_sha256", "whole").alias("kept_sha256"), *(["text", F.coalesce("_kept_text", "text").alias("kept_text")] if with_text else []), *carry,
-    )
-
-
-def _matched(keyed: DataFrame, found: DataFrame) -> DataFrame:
-    """Texts with candidate segments and those; texts without any are left out."""
-    right = found.withColumnsRenamed({"doc_id": "_d", "th": "_t"})
-    return keyed.join(right, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).drop("_d", "_t")
+        columns = [batch.column(c) for c in ("doc_id", "n_bytes", *texts, *carry)]
+        hit = np.flatnonzero(batch.column("spans").is_valid().to_numpy(zero_copy_only=False))
+        removed, n_spans = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+        sha, left = batch.column("whole").to_pylist(), [None] * batch.num_rows
+        for k in hit.tolist():
+            raw, at, kept = batch.column("text")[k].as_py().encode(), 0, []
+            spans = spans_of([(v["p"], v["last"]) for v in batch.column("spans")[k].as_py()], length)
+            for a, b in spans:
+                kept.append(raw[at:a])
+                at = b
+            kept = b"".join([*kept, raw[at:]])
+            removed[k], n_spans[k], sha[k] = len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()
+            left[k] = kept.decode(errors="ignore") if with_text else None
+        made = [pa.array(removed), pa.array(n_spans), pa.array(sha, pa.string())] + [pa.array(left, pa.string())] * with_text
+        yield pa.RecordBatch.from_arrays([*columns, *made], ["doc_id", "n_bytes", *texts, *carry, "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text)
+
+    types = dict(source.dtypes)
+    extra = "".join(f", `{c}` {types[c]}" for c in (*texts, *carry))
+    schema = f"doc_id {types['doc_id']}, n_bytes long{extra}, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+    done = map_rows(ready.select("doc_id", "n_bytes", "text", *carry, "whole", "spans"), cut, schema)
+    kept = [F.coalesce("kept_text", "text").alias("kept_text")] * with_text
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *texts, *kept, *carry)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=True).drop("text")

@@ -107,6 +107,7 @@ def removed(rows, length):
 def test_passages_equal_brute_force(documents, prose, monkeypatch, length):
     monkeypatch.setattr(suffixes, "BUCKET_ROWS", 6)
     monkeypatch.setattr(suffixes, "RUN_ROWS", 20)
+    monkeypatch.setattr(suffixes, "PIECE_STARTS", 300)
     passage, other = prose(900, 90), "é☃" * 300
     rows = [(k, prose(k, 60) + passage[k : len(passage) - 3 * k] + prose(50 + k, 40)) for k in range(12)]
     rows += [(50, None), (51, ""), (52, "z" * 1000), (53, "ab" * 30), (54, other), (55, "x" + other + "y"), (56, passage * 3), (57, prose(7, 20)), (57, prose(7, 20))]
