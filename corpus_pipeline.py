@@ -1,7 +1,10 @@
 """From raw documents to packed sequences: five stages, each calling one operator.
 
 Every function takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read
-again as the next one's docs. All but the last keep the columns of documents.
+again as the next one's docs. All but the last return the columns of documents; columns beyond
+these end with the first stage that rewrites texts. No rows give no rows. Rows are told apart by
+keys of their own, never by doc_id, which may be null or repeated. A text is one value of a row,
+of any length that fits in a task; no stage looks at a prefix of it.
 """
 
 from __future__ import annotations
@@ -12,9 +15,17 @@ from pyspark.sql import functions as F
 from contestflow.llm import minhash, mixing, packing, quality, suffixes
 from contestflow.llm.common import materialize, table, words_of
 
+#: Bytes of a passage that goes when it repeats: fifty words of four bytes, so that every passage
+#: of over fifty words is long enough, whatever its language.
+PASSAGE_BYTES = 200
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep.
+
+    Null, empty and short texts (under 50 words) fail the base rule and go, as do repetitive ones;
+    a null source or lang plays no part. Repeated rows stay or go together. No tie can arise.
+    """
     return quality.judge(docs, prefix="_q_").filter("_q_kept").select(*docs.columns)
 
 
@@ -23,7 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     The operator runs on a key of the rows, so repeated rows, rows without doc_id and different
     texts under one doc_id are documents of their own; of rows with the same doc_id the one with
-    the least key stays, and null doc_ids come last.
+    the least key stays, and null doc_ids come last. Null and wordless texts resemble nothing and
+    all stay. Copies are collapsed before they meet, so large groups cost a row each.
     """
     rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     keyed = rows.select(F.col("_row").alias("doc_id"), "text")
@@ -34,15 +46,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of passages that occur elsewhere."""
-    cut = suffixes.remove_repeats(docs, with_text=True, carry=("lang", "source", "n_chars"))
+    """All documents, without the bytes of passages of ``PASSAGE_BYTES`` that occur elsewhere.
+
+    Every occurrence goes, those inside one text included; a text that is all passage stays as an
+    empty one. A null text comes back as an empty one. Repeated rows are two places and lose
+    their texts (the stage before leaves none).
+    """
+    cut = suffixes.remove_repeats(docs, length=PASSAGE_BYTES, with_text=True, carry=("lang", "source", "n_chars"))
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     chars = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
     return cut.select("doc_id", text.alias("text"), "lang", "source", chars.alias("n_chars"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the one at the end of the budget in part."""
+    """Documents as often as the mix takes them; the one at the end of the budget in part.
+
+    Documents without words (null and empty texts) are taken 0 times and go. A null source is a
+    source of its own, last in order. Equal hashes are told apart by doc_id and then by the row.
+    A text cut at the budget's end is its first words with single spaces.
+    """
     rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     taken = mixing.mix(rows, row="_row").filter("taken > 0").select("_row", "size", "taken")
     # A document of n words taken k times and r words more is given k times and cut to r words once.
@@ -58,7 +80,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 ids, with the ids."""
+    """Pieces of the documents in sequences of 2048 ids, with the ids.
+
+    A null or empty text is its end id alone; repeated rows are packed each on their own.
+    """
     return packing.pack(docs)
 
 
