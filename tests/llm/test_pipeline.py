@@ -27,7 +27,7 @@ def test_stages_equal_plain_versions(spark, tmp_path):
     ids = sorted(bags)
     comp = components(ids, [(a, b) for a in ids for b in ids if a < b and similar(bags[a], bags[b])])
     assert sorted(r.doc_id for r in alone) == [k for k in ids if comp[k] == k]
-    gone = {r[0]: r[2] for r in removed([(r.doc_id, r.text) for r in alone], 400)}
+    gone = {r[0]: r[2] for r in removed([(r.doc_id, r.text) for r in alone], pipeline.PASSAGE_BYTES)}
     before = {r.doc_id: r for r in alone}
     assert len(cut) == len(alone)
     for r in cut:
@@ -59,6 +59,14 @@ def test_run_and_odd_tables(spark, prose, tmp_path):
     assert pipeline.run(spark, folder(rows, "odd")).select("doc_id").distinct().count() == 2
 
 
+def test_every_passage_of_over_fifty_words_goes(spark, prose):
+    passage = " ".join(w[:4] for w in prose(1, 51).split())  # 51 words of four bytes at most
+    texts = [f"{prose(10 + k, 80)} {passage} {prose(20 + k, 80)}" for k in range(3)] + [prose(40, 200)]
+    docs = spark.createDataFrame([(k, t, "en", "web", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r.text for r in pipeline.repeated_passages(spark, docs, "").collect()}
+    assert all(passage[2:-2] not in out[k] and prose(10 + k, 80)[:-9] in out[k] and prose(20 + k, 80)[9:] in out[k] for k in range(3)) and out[3] == texts[3]
+
+
 def test_repeated_rows_and_rows_without_id(spark, prose):
     def text(seed):
         return "\n".join(" ".join(f"the {w}" for w in prose(seed + k, 9).split()) + "." for k in range(12))
