@@ -9,8 +9,10 @@ Inside a chunk of texts equal pieces are matched by a 64-bit hash of their bytes
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,11 @@ _ASCII_SPACE = np.zeros(256, bool)
 _ASCII_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Characters beyond which a text is encoded by itself.
 LONG = 1 << 21
+#: A word of Latin letters and the punctuation after it. Both splits in use part them, and such
+#: letters have no other composed form, so the vocabulary's model can be asked for the word alone.
+_latin = re.compile("( ?)([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([!-/:-@\\[-`{-~]*)").fullmatch
+#: The splits for which that holds.
+_SPLITS = ("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+", None)  # words; the byte level's own
 #: Outside these, lower() and split() of a text agree with the vocabulary's own normalizer.
 _unusual = re.compile("[\x1c-\x1f\x85\xa0\u0130-\U0010ffff]").search
 
@@ -49,7 +56,7 @@ class Encoder:
     not one id of its own, whole texts are encoded.
     """
 
-    def __init__(self, path: str, cache_pieces: int = 200_000):
+    def __init__(self, path: str, cache_pieces: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -61,18 +68,52 @@ class Encoder:
         self.words = bool(self.tokenizer.model.end_of_word_suffix)  # lower case, white space dropped
         self.joint = f" {_BREAK} " if self.words else _BREAK
         self.mark = self._ids([_BREAK])[0]
+        self.model, self.alone = self.tokenizer.model, self._splits_words()
         self.pieces = self.mark.size == 1 and self._ids([f"a,{self.joint} b"])[0].tolist().count(int(self.mark[0])) == 1
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _splits_words(self) -> bool:
+        """Whether words of Latin letters are split off, mapped by bytes and given to the model alone."""
+        known = json.loads(self.tokenizer.to_str())
+        steps = known["pre_tokenizer"] or {}
+        steps = steps.get("pretokenizers", [steps])
+        split = steps[0]["pattern"].get("Regex") if steps[0].get("type") == "Split" else None
+        last = steps[-1]
+        level = last.get("type") == "ByteLevel" and not last["add_prefix_space"] and last["use_regex"] == (split is None)
+        return level and len(steps) == 1 + (split is not None) and split == _SPLITS[0 if self.words else 1] and known["model"]["type"] == "BPE"
+
+    def _word(self, space: str, word: str) -> bytes:
+        found = self.cache.get(space + word)
+        if found is None:
+            seen = space + word
+            if not word.isascii() or space:
+                seen = "".join(map(_byte_letters().__getitem__, seen.encode()))
+            found = array("H" if self.width == 2 else "I", [t.id for t in self.model.tokenize(seen)]).tobytes()
+            self.cache[space + word] = found
+        return found
+
     def _learn(self, new: list[str]) -> None:
         if self.old:
             self.cache.update((x, self.old[x]) for x in new if x in self.old)
             new = [x for x in new if x not in self.cache]
-        plain = [x for x in new if _BREAK not in x and not x.isspace()]
-        if len(plain) < len(new):
-            odd = [x for x in new if _BREAK in x or x.isspace()]
+        if self.alone:
+            left = []
+            for x in new:
+                if (m := _latin(x)) and not (self.words and (x[0] == " " or x != x.lower())):
+                    space, word, tail = m.groups()
+                    ids = self._word(space, word)
+                    if tail:
+                        if tail not in self.cache:
+                            self.cache[tail] = self._ids([tail])[0].tobytes()
+                        self.cache[x] = ids + self.cache[tail]
+                else:
+                    left.append(x)
+            new = left
+        plain = [x for x in new if _BREAK not in x and x[0] != "'" and not x.isspace()]
+        if len(plain) < len(new):  # after the separating byte, 's and the like would not be split off
+            odd = [x for x in new if _BREAK in x or x[0] == "'" or x.isspace()]
             self.cache.update((x, i.tobytes()) for x, i in zip(odd, self._ids(odd), strict=True))
         for k in range(0, len(plain), 512):
             part = plain[k : k + 512]
@@ -149,6 +190,14 @@ class Encoder:
         return [ids[a:b].tobytes() + end.tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+@functools.cache
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte: itself where printable, else the next one from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(0x100, 0x200))
+    return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
+
+
 @functools.cache
 def encoder(name: str) -> Encoder:
     """One encoder per Python worker and vocabulary."""

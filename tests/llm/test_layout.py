@@ -10,7 +10,7 @@ from pyarrow import fs as pafs
 
 from contestflow.llm import mixing, packing, shards, tokens, warc
 
-ODD = [(None, "no key"), (5, None), (6, ""), (7, " \t\n "), (8, "a\x00b  c\x00"), (9, "tab\tand\nline\r\n end "), (10, "é☃ 漢字 🙂 \u00a0x\u2003y"), (11, "x" * 3000), (12, "Mixed CASE Words, and-punctuation! 12345")]
+ODD = [(None, "no key"), (5, None), (6, ""), (7, " \t\n "), (8, "a\x00b  c\x00"), (9, "tab\tand\nline\r\n end "), (10, "é☃ 漢字 🙂 \u00a0x\u2003y"), (11, "x" * 3000), (12, "Mixed CASE Words, and-punctuation! 12345"), (13, "Hello World, 漢字 Éa it's ÀÉ''s don't''t a_b x²y ªº ŉ ß.. end"), (15, "'d start"), (14, "Hello, é.è it's ʼn Ǆ")]
 
 
 def counted(text):
