@@ -3,9 +3,11 @@
 Unit vectors within cosine c lie within squared distance 2 - 2c. After a rotation that spreads
 the energy, a pair within that distance is, in at least one block of coordinates, within the
 block's share of it. Each block is range-joined on a grid: a vector stays in its home cell and
-visits the greater neighbour cells that its radius touches. Each task verifies its candidates
-exactly; a pair counts only in the first block whose share it meets, so nothing is counted
-twice and no pair leaves the task: it returns link counts and a spanning forest.
+visits the greater neighbour cells that its radius touches. What is spread over the cells is an
+id and eight coordinates of one byte; only vectors with a candidate there bring their components
+to the cell, where candidates are verified exactly. A pair counts only in the first block whose
+share it meets, so nothing is counted twice and no pair leaves the task: it returns link counts
+and a spanning forest. Equal vectors collapse into one with a multiplicity beforehand.
 """
 
 from __future__ import annotations
@@ -14,14 +16,16 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from .common import map_rows, materialize, table
 from .graph import components
 
-#: Rows of one cell that meet in a task; a larger cell is split into chunks that meet pairwise.
-CELL_ROWS = 2048
+#: Rows of one cell that meet in a task, as coordinates and as vectors; a larger cell is split
+#: into chunks that meet pairwise.
+SPREAD_ROWS, CELL_ROWS = 8192, 2048
 #: Slack for rounding to 32 bits, relative to the squared distance.
 SLACK = 1e-5
 
@@ -32,53 +36,45 @@ def rotation(dim: int, seed: int = 20) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """One row per key that can link: a label, and a vector without nulls, NaN, infinity, not zero."""
-    x = F.transform(F.col(vector), lambda v: v.cast("double"))
+    """(id, label, x, f1, f2) of rows that can link: a key, a label, and a vector without nulls,
+    NaN or infinity that is not zero. f1 and f2 are 128 bits of hashes of label and vector."""
+    x = F.col(vector)
     good = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(x, lambda v: v != 0)
-    rows = vectors.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & F.col(vector).isNotNull() & good)
-    first = rows.groupBy(F.col(key).alias("id")).agg(F.min(F.struct(F.col(label).cast("string").alias("label"), x.alias("x"))).alias("r"))
-    return first.select("id", "r.label", "r.x")
+    rows = vectors.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & x.isNotNull() & good)
+    prints = [F.xxhash64(F.lit(seed), F.col("label"), F.col("x")).alias(f"f{seed}") for seed in (1, 2)]
+    return rows.select(F.col(key).alias("id"), F.col(label).cast("string").alias("label"), x.alias("x")).select("*", *prints)
 
 
-def _cells(z: np.ndarray, width: float, radius: float, dims: int):
+def _cells(y: np.ndarray, width: float, radius: float):
     """(row, cell, visits) of one block: home cells, then greater neighbours within the radius."""
-    g = z[:, :dims].astype(np.float64)
-    home = np.floor(g / width).astype(np.int64)
-    low, high = np.floor((g - radius) / width).astype(np.int64) - home, np.floor((g + radius) / width).astype(np.int64) - home
-    yield np.arange(len(z)), home, False
-    for step in itertools.product((-1, 0, 1), repeat=dims):
-        if step > (0,) * dims:
-            s = np.array(step)
-            rows = np.flatnonzero(((s >= low) & (s <= high)).all(1))
+    home = np.floor(y / width).astype(np.int64)
+    gap = {-1: (y - home * width) ** 2, 0: np.zeros_like(y), 1: ((home + 1) * width - y) ** 2}
+    yield np.arange(len(y)), home, False
+    for step in itertools.product((-1, 0, 1), repeat=y.shape[1]):
+        if step > (0,) * y.shape[1]:
+            rows = np.flatnonzero(sum(gap[s][:, k] for k, s in enumerate(step)) <= radius**2 * (1 + 1e-9))
             if rows.size:
-                yield rows, home[rows] + s, True
+                yield rows, home[rows] + np.array(step), True
 
 
-def link(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = 8, grid: int = 4) -> DataFrame:
-    """(id, n, root): per task and linked vector the number of its links and the least id linked.
+def _chunked(rows: DataFrame, cell: list[str], most: int) -> DataFrame:
+    """Rows of cells with own, left, right: chunks of at most about ``most`` rows meet in pairs."""
+    crowded = rows.groupBy(*cell).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(*cell, F.ceil(F.col("n") / most).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    chunked = rows.join(crowded, cell, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", own)
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    return chunked.select("*", other).withColumns({"left": F.least("own", "other"), "right": F.greatest("own", "other")}).drop("chunks", "other")
+
 
-    Vectors of different length or label never meet. ``block`` is the least number of
-    coordinates in a block, ``grid`` how many of them the cells use.
+def link(prepared: DataFrame, cosine: float = 0.98, block: int = 8, grid: int = 4) -> DataFrame:
+    """(id, n, root): per task and linked vector the number of its links (multiplicities counted)
+    and the least id linked.
+
+    ``prepared`` has id (unique), label, dim, x (components as bytes), many. Vectors of different
+    length or label never meet. ``block`` is the least number of coordinates in a block, ``grid``
+    how many of them the cells use.
     """
     budget = 2 - 2 * cosine
-    ready = usable(vectors, key, vector, label)
-
-    def prepare(batch):
-        x = batch.column("x")
-        sizes = np.diff(x.offsets.to_numpy())
-        flat, at = x.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)])
-        for dim in np.unique(sizes).tolist():
-            rows = np.flatnonzero(sizes == dim)
-            a = np.stack([flat[at[r] : at[r + 1]] for r in rows])
-            a = a / np.abs(a).max(1, keepdims=True)
-            z = ((a / np.linalg.norm(a, axis=1, keepdims=True)) @ rotation(dim)).astype(np.float32)
-            pick = pa.array(rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pick), batch.column("label").take(pick), pa.array(np.full(rows.size, dim, np.int32)), pa.array([r.tobytes() for r in a], pa.binary()), pa.array([r.tobytes() for r in z], pa.binary())],
-                ["id", "label", "dim", "x", "z"],
-            )
-
-    prepared = materialize(map_rows(ready, prepare, "id long, label string, dim int, x binary, z binary"), "vectors")
 
     def blocks(dim: int) -> list[np.ndarray]:
         return np.array_split(np.arange(dim), max(1, dim // block))
@@ -86,59 +82,81 @@ def link(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id", vector:
     def share(dim: int, columns: np.ndarray) -> float:
         return budget * columns.size / dim * (1 + SLACK) + 1e-9
 
+    def step_of(dim: int) -> float:  # of the one-byte coordinates, which are clipped at four deviations
+        return min(1.0, 4 / dim**0.5) / 127
+
     def spread(batch):
-        dims = batch.column("dim").to_numpy()
+        dims, part = batch.column("dim").to_numpy(), batch.column("part").to_numpy()
         for dim in np.unique(dims).tolist():
             rows = np.flatnonzero(dims == dim)
-            z = np.stack([np.frombuffer(b, np.float32) for b in batch.column("z").take(pa.array(rows)).to_pylist()])
+            z = _turned(batch.column("x").take(pa.array(rows)), dim)
             for b, columns in enumerate(blocks(dim)):
-                radius = share(dim, columns) ** 0.5
-                for at, cell, visits in _cells(z[:, columns], 4 * radius, radius, min(grid, columns.size)):
-                    packed = np.zeros(at.size, np.int64)
+                radius, y = share(dim, columns) ** 0.5, z[:, columns]
+                coarse = np.zeros((rows.size, 8), np.int8)
+                coarse[:, : columns.size] = np.clip(np.rint(y[:, :8] / step_of(dim)), -127, 127)
+                for at, cell, visits in _cells(y[:, :grid], 4 * radius, radius):
+                    packed = part[rows[at]].copy()
                     for axis in cell.T:
-                        packed = packed * 4096 + (axis + 2048)
-                    kept = batch.take(pa.array(rows[at]))
+                        packed = packed * np.int64(0x5851F42D4C957F2D) + axis
                     yield pa.RecordBatch.from_arrays(
-                        [*kept.columns, pa.array(np.full(at.size, b, np.int32)), pa.array(packed), pa.array(np.full(at.size, visits))],
-                        ["id", "label", "dim", "x", "z", "block", "cell", "visits"],
+                        [batch.column("id").take(pa.array(rows[at])), pa.array(np.full(at.size, dim, np.int32)), pa.array(np.full(at.size, b, np.int32)), pa.array(packed), pa.array(np.full(at.size, visits)), pa.array(coarse[at].view(np.int64).ravel())],
+                        ["id", "dim", "block", "cell", "visits", "y"],
                     )
 
-    cell = ["label", "dim", "block", "cell"]
-    met = map_rows(prepared, spread, "id long, label string, dim int, x binary, z binary, block int, cell long, visits boolean")
-    crowded = met.groupBy(*cell).agg(F.count("*").alias("n")).filter(F.col("n") > CELL_ROWS).withColumn("chunks", F.ceil(F.col("n") / CELL_ROWS).cast("int"))
-    chunked = met.join(crowded.drop("n"), cell, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    dealt = chunked.select("*", own.alias("own"), other).withColumns({"left": F.least("own", "other"), "right": F.greatest("own", "other")})
+    cell = ["dim", "block", "cell"]
+    part = prepared.select("id", F.xxhash64("label").alias("part"), "dim", "x")
+    met = _chunked(map_rows(part, spread, "id long, dim int, block int, cell long, visits boolean, y long"), cell, SPREAD_ROWS)
+
+    def near(keys, group):
+        dim, b, left, right = keys[0].as_py(), keys[1].as_py(), keys[3].as_py(), keys[4].as_py()
+        ids, visits, mine = group.column("id").to_numpy(), group.column("visits").to_numpy(zero_copy_only=False), group.column("own").to_numpy()
+        y = np.ascontiguousarray(group.column("y").to_numpy()).view(np.int8).reshape(-1, 8).astype(np.float32)
+        used = min(8, blocks(dim)[b].size)
+        limit = ((share(dim, blocks(dim)[b]) ** 0.5 / step_of(dim) + used**0.5) ** 2) + 1e-2
+        square, hit = (y * y).sum(1), np.zeros(ids.size, bool)
+        a_rows, b_rows = np.flatnonzero(mine == left), np.flatnonzero(mine == right)
+        other, side = y[b_rows].T.copy(), visits[b_rows]
+        for k in range(0, a_rows.size, 512):
+            rows = a_rows[k : k + 512]
+            i, j = np.nonzero(square[rows, None] + square[None, b_rows] - 2 * (y[rows] @ other) <= limit)
+            good = (rows[i] != b_rows[j]) & ~(visits[rows[i]] & side[j])
+            hit[rows[i[good]]] = hit[b_rows[j[good]]] = True
+        n = int(hit.sum())
+        return pa.table({"id": ids[hit], "dim": np.full(n, dim, np.int32), "block": np.full(n, b, np.int32), "cell": np.full(n, keys[2].as_py(), np.int64), "visits": visits[hit]})
+
+    flagged = met.groupBy(*cell, "left", "right").applyInArrow(near, "id long, dim int, block int, cell long, visits boolean")
+    flagged = materialize(flagged.distinct(), "candidates")
+    full = _chunked(flagged.join(prepared.drop("dim"), "id"), [*cell, "label"], CELL_ROWS)
 
     def verify(keys, group):
-        dim, b, left, right = (keys[i].as_py() for i in (1, 2, 4, 5))
-        ids, visits = group.column("id").to_numpy(), group.column("visits").to_numpy(zero_copy_only=False)
-        x = np.frombuffer(b"".join(group.column("x").to_pylist()), np.float64).reshape(len(ids), dim)
-        z = np.frombuffer(b"".join(group.column("z").to_pylist()), np.float32).reshape(len(ids), dim).astype(np.float64)
+        dim, b, left, right = keys[0].as_py(), keys[1].as_py(), keys[4].as_py(), keys[5].as_py()
+        ids, visits, many = group.column("id").to_numpy(), group.column("visits").to_numpy(zero_copy_only=False), group.column("many").to_numpy()
+        x, z = _components(group.column("x"), dim), _turned(group.column("x"), dim)
         mine = group.column("own").to_numpy()
         norm, all_blocks = np.linalg.norm(x, axis=1), blocks(dim)
         columns = all_blocks[b]
-        y, limit = z[:, columns], share(dim, all_blocks[b])
+        y, limit = z[:, columns], share(dim, columns)
         square = (y * y).sum(1)
         a_rows, b_rows = np.flatnonzero(mine == left), np.flatnonzero(mine == right)
         pairs = []
         for k in range(0, a_rows.size, 512):
             rows = a_rows[k : k + 512]
-            near = square[rows, None] + square[None, b_rows] - 2 * (y[rows] @ y[b_rows].T) <= limit + 1e-7
-            i, j = np.nonzero(near)
+            close = square[rows, None] + square[None, b_rows] - 2 * (y[rows] @ y[b_rows].T) <= limit + 1e-7
+            i, j = np.nonzero(close)
             i, j = rows[i], b_rows[j]
             keep = ~(visits[i] & visits[j]) & ((ids[i] < ids[j]) if left == right else (ids[i] != ids[j]))
             i, j = i[keep], j[keep]
-            for part in range(0, i.size, 1 << 14):
-                p, q = i[part : part + (1 << 14)], j[part : part + (1 << 14)]
+            for start in range(0, i.size, 1 << 14):
+                p, q = i[start : start + (1 << 14)], j[start : start + (1 << 14)]
                 gap = (z[p] - z[q]) ** 2
                 ok = (gap[:, columns].sum(1) <= limit) & ((x[p] * x[q]).sum(1) / (norm[p] * norm[q]) >= cosine)
                 for earlier in all_blocks[:b]:
                     ok &= gap[:, earlier].sum(1) > share(dim, earlier)
                 pairs.append(np.stack([p[ok], q[ok]]))
         pairs = np.concatenate(pairs, 1) if pairs else np.empty((2, 0), np.int64)
-        n = np.bincount(pairs.ravel(), minlength=ids.size)
+        n = np.zeros(ids.size, np.int64)
+        np.add.at(n, pairs[0], many[pairs[1]])
+        np.add.at(n, pairs[1], many[pairs[0]])
         root = ids.copy()
         while pairs.size:  # least id over the links of this task
             new = root.copy()
@@ -150,7 +168,32 @@ def link(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id", vector:
         rows = np.flatnonzero(n)
         return pa.table({"id": ids[rows], "n": n[rows], "root": root[rows]}, schema=pa.schema([("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())]))
 
-    return dealt.groupBy(*cell, "left", "right").applyInArrow(verify, "id long, n long, root long")
+    return full.groupBy(*cell, "label", "left", "right").applyInArrow(verify, "id long, n long, root long")
+
+
+def _components(x, dim: int) -> np.ndarray:
+    """Vectors in double precision, largest component 1 (which no cosine sees)."""
+    raw = b"".join(x.to_pylist())
+    a = np.frombuffer(raw, np.float32 if len(raw) == 4 * dim * len(x) else np.float64).reshape(len(x), dim).astype(np.float64)
+    return a / np.abs(a).max(1, keepdims=True)
+
+
+def _turned(x, dim: int) -> np.ndarray:
+    a = _components(x, dim)
+    return (a / np.linalg.norm(a, axis=1, keepdims=True)) @ rotation(dim)
+
+
+def _prepare(rows: DataFrame, width: int) -> DataFrame:
+    """id, label, dim, x (components as bytes of ``width``), many."""
+
+    def step(batch):
+        x = batch.column("x")
+        flat = x.flatten().to_numpy(zero_copy_only=False).astype(f"f{width}")
+        at = x.offsets.to_numpy() - x.offsets[0].as_py()
+        bodies = [flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(np.diff(at).astype(np.int32)), pa.array(bodies, pa.binary()), batch.column("many")], ["id", "label", "dim", "x", "many"])
+
+    return map_rows(rows.select("id", "label", "x", "many"), step, "id long, label string, dim int, x binary, many long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -158,13 +201,26 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id
 
     Vectors that are null, zero or hold null or non-finite components, rows without label and
     rows without key link with nothing and are their own component. Rows that share a key are
-    one vector (the least by label and components). No rows give no rows.
+    one vector (of least hash among the usable ones). Equal vectors of a label are one with a
+    multiplicity and link with each other; ties cannot arise. Other columns are ignored, whatever
+    their names. No rows give no rows.
     """
-    links = materialize(link(vectors, cosine, key, vector, label), "vector-links")
-    counted = links.groupBy("id").agg(F.sum("n").alias("n_links"))
+    narrow = vectors.select(F.col(key).cast("long").alias(key), F.col(vector).alias(vector), F.col(label).alias(label))
+    ready, same = usable(narrow, key, vector, label), ["f1", "f2"]
+    chosen = ready.groupBy("id").agg(F.min(F.struct(*same)).alias("f")).select("id", "f.*")
+    chosen = materialize(chosen, "prints")
+    reps = materialize(chosen.groupBy(*same).agg(F.min("id").alias("id"), F.count("*").alias("many")), "distinct-vectors")
+    first = ready.join(reps, ["id", *same]).groupBy("id").agg(F.first("label").alias("label"), F.first("x").alias("x"), F.first("many").alias("many"))
+    kind = narrow.schema[vector].dataType.elementType
+    prepared = materialize(_prepare(first, 4 if isinstance(kind, S.FloatType) else 8), "vectors")
+    links = materialize(link(prepared, cosine), "vector-links")
+    counted = links.groupBy("id").agg(F.sum("n").alias("n"))
     labelled = components(links, "id", "root").withColumnRenamed("node", "id")
-    found = counted.join(labelled, "id", "left")
-    out = vectors.select(F.col(key).alias(key)).join(found, F.col(key) == F.col("id"), "left")
+    found = reps.join(counted, "id", "left").join(labelled, "id", "left")
+    n: Column = F.coalesce("n", F.lit(0)) + F.col("many") - 1
+    found = found.select(*same, n.alias("n_links"), F.coalesce("component", "id").alias("component"))
+    each = chosen.join(found, same).select(F.col("id").alias("_id"), "n_links", "component")
+    out = narrow.select(key).join(each, F.col(key) == F.col("_id"), "left")
     return out.select(
         key, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", F.col(key)).cast("long").alias("component_id"),
         F.coalesce(F.col("component") == F.col(key), F.lit(True)).alias("kept"),
