@@ -1,10 +1,14 @@
 """MinHash near-duplicates with BagMinHash signatures of weighted shingles.
 
-A shingle that occurs w times covers weights (0, w]. Dyadic pieces of the weight axis carry
-Poisson processes of their own; a point (time, weight, register) counts where its weight is
-covered, and each register keeps its earliest point. Two signatures agree in a register with
-the weighted Jaccard probability. Points are drawn in order of time and a process ends once it
-is later than every register, so a text of n shingles costs about n + m log m points.
+A shingle that occurs w times covers weights (0, w]. The weight axis is a hierarchy of discrete
+intervals: (0, 2^k] splits into (0, 2^(k-1)] and (2^(k-1), 2^k], and the Poisson process of an
+interval is the union of its halves' processes. So only the halves that a weight reaches carry
+processes of their own; in the uppermost one, which the weight may cover in part, a point's place
+is drawn at once (the same in distribution as splitting that half further, one bit a level) and
+the point counts if its place is covered. Each register keeps its earliest point; two signatures
+agree in a register with the weighted Jaccard probability. Points are drawn in order of time and
+a process ends once it is later than every register, so a text of n shingles costs about
+n + m log m points.
 """
 
 from __future__ import annotations
@@ -52,7 +56,8 @@ def bag_minhash(text: np.ndarray, key: np.ndarray, weight: np.ndarray, texts: in
 
 
 def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, n (shingles with repeats), a 128-bit fingerprint of the multiset, signature."""
+    """doc_id, th (hash of the text), n (shingles with repeats), a 128-bit fingerprint of the
+    multiset, signature."""
 
     def step(batch):
         for start, stop in text_chunks(batch, "text", 2 << 20):
@@ -67,11 +72,12 @@ def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
                 prints.append(total.view(np.int64))
             sig = bag_minhash(text, key, count, rows)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n), *map(pa.array, prints), pa.array([s.tobytes() if k else None for s, k in zip(sig, n, strict=True)], pa.binary())],
-                ["doc_id", "n", "f1", "f2", "sig"],
+                [part.column("doc_id"), part.column("th"), pa.array(n), *map(pa.array, prints), pa.array([s.tobytes() if k else None for s, k in zip(sig, n, strict=True)], pa.binary())],
+                ["doc_id", "th", "n", "f1", "f2", "sig"],
             )
 
-    return map_rows(docs.select("doc_id", "text"), step, "doc_id long, n long, f1 long, f2 long, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    return map_rows(rows, step, "doc_id long, th long, n long, f1 long, f2 long, sig binary")
 
 
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -84,8 +90,8 @@ def _sigs(column) -> np.ndarray:
 
 def verify(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
     """Pairs (a, b) whose multisets of shingles overlap by ``similarity`` or more."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
 
     def step(batch):
         keep = []
@@ -175,7 +181,7 @@ def _across(members: DataFrame, texts: DataFrame, similarity: float, words: int)
 
     flagged = _meetings(rows, F.lit(1), BUCKET_ROWS).groupBy(*at).applyInArrow(flag, "band int, hash long, rep long").distinct()
     flagged = materialize(flagged, "flagged")
-    full = flagged.join(rows, [*bucket, "rep"]).join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    full = flagged.join(rows, [*bucket, "rep"]).join(texts, "rep")
 
     def connect(keys, group):
         band, left, right, own, rep, comp, sig, big, through = _sides(keys, group)
@@ -209,9 +215,13 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5) ->
     """doc_id, class_id, component_id, kept of every row.
 
     class_id: the smallest doc_id with the same multiset of shingles; component_id: the smallest
-    doc_id reachable by pairs of ``similarity`` or more; kept: doc_id = component_id. Texts
-    without words link with nothing. Rows without doc_id are kept and unlinked; rows that share
-    a doc_id share its fate. No rows give no rows.
+    doc_id among the rows reachable by pairs of ``similarity`` or more; kept: doc_id =
+    component_id. Every row is judged by its own text: rows that share a doc_id may lie in
+    different groups, and repeated rows are kept or not together. Texts without words (null, empty)
+    link with nothing; rows without doc_id are kept and unlinked. A text of fewer than ``words``
+    words is one shingle. Whole texts count, however long: a text is one row's value and has to fit
+    in a task. Columns besides doc_id and text are ignored, whatever their names. No rows give no
+    rows.
 
     Copies collapse into one representative before anything is banded. In a bucket every member
     is first verified against the least one; then only members of different components are
@@ -220,8 +230,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5) ->
     sigs = materialize(signatures(docs, words), "signatures")
     same = ["n", "f1", "f2"]
     usable = sigs.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    reps = usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"))
-    reps = materialize(reps, "representatives")
+    grouped = usable.groupBy(*same).agg(F.min(F.struct("doc_id", "th")).alias("first"), F.min("sig").alias("sig"))
+    # A representative is a multiset, not a doc_id: its key is a number of its own, fixed by the written table.
+    reps = materialize(grouped.select(F.monotonically_increasing_id().alias("rep"), *same, "first.*", "sig"), "representatives")
     bands = reps.select("rep", F.explode(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1))).alias("band"), "sig")
     bands = bands.select("rep", "band", F.xxhash64(F.substring("sig", F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("hash"))
     bucket = ["band", "hash"]
@@ -229,18 +240,23 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5) ->
     members = materialize(bands.join(shared, bucket), "buckets")
     stars = members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     stars = materialize(_likely(stars, reps), "stars")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = materialize(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    wanted = reps.join(members.select("rep").distinct(), "rep").select("rep", F.col("doc_id").alias("_d"), F.col("th").alias("_t"))
+    held = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(wanted, (F.col("doc_id") == F.col("_d")) & (F.col("th") == F.col("_t")))
+    texts = materialize(held.groupBy("rep").agg(F.min("text").alias("text")), "texts")
     links = materialize(verify(stars, texts, similarity, words), "links")
     found = components(links)
     members = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).join(reps.select("rep", "sig"), "rep")
     more = materialize(_across(members.select(*bucket, "rep", "comp", "sig"), texts, similarity, words), "links")
-    found = components(links.union(more)).withColumnRenamed("node", "rep")
-    placed = sigs.select("doc_id", *same).join(reps.select(*same, "rep"), same, "left").join(found, "rep", "left")
-    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    out = placed.select("doc_id", F.when(linked, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"), "component", linked.alias("linked"), "rep")
-    component = F.when(F.col("linked"), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "class_id", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    # The first components are links to their least node, so the second round starts from those.
+    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)).withColumnRenamed("node", "rep")
+    placed = materialize(reps.select(*same, "rep", "doc_id").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    groups = placed.join(least, "component").select(*[F.col(c).alias(f"_{c}") for c in same], F.col("doc_id").alias("class_id"), "component_id")
+    on = [F.col(c) == F.col(f"_{c}") for c in same] + [F.col("doc_id").isNotNull()]
+    out = sigs.select("doc_id", *same).join(groups, on, "left")
+    class_id, component = F.coalesce("class_id", "doc_id"), F.coalesce("component_id", "doc_id")
+    kept = F.coalesce(component == F.col("doc_id"), F.lit(True))
+    return out.select("doc_id", class_id.alias("class_id"), component.alias("component_id"), kept.alias("kept"))
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

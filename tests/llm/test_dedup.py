@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from contestflow.llm import graph, minhash, suffixes, vectors
 
@@ -81,6 +82,14 @@ def test_signatures_estimate_weighted_jaccard():
     assert abs((sig[0] == sig[1]).mean() - b.sum() / a.sum()) < 0.06
 
 
+def test_one_doc_id_with_different_texts_loses_no_link(documents, prose):
+    a, b = prose(1, 120), prose(2, 120)
+    rows = [(5, a), (5, b), (9, changed(b, 60)), (12, a), (3, changed(a, 50)), (20, b + " "), (20, b)]
+    out = sorted(map(tuple, minhash.near_duplicates(documents(rows)).collect()))
+    want = [(3, 3, 3, True), (5, 5, 3, False), (5, 5, 5, True), (9, 9, 5, False), (12, 5, 3, False), (20, 5, 5, False), (20, 5, 5, False)]
+    assert out == want
+
+
 def test_near_duplicates_odd_tables(documents):
     assert minhash.near_duplicates(documents([])).collect() == []
     rows = [(None, "one two three four five six"), (1, "one two three four five six"), (1, "one two three four five six"), (2, None)]
@@ -140,6 +149,7 @@ def test_loser_tree_merges_front_coded_runs():
 
 def test_vectors_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vectors, "CELL_ROWS", 16)
+    monkeypatch.setattr(vectors, "SPREAD_ROWS", 20)
     rng = np.random.default_rng(4)
     rows = []
     for c in range(6):
@@ -147,6 +157,7 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
         rows += [(100 * c + k, (centre + rng.standard_normal(16) * 0.16).tolist(), c % 2) for k in range(30)]
     hot = rng.standard_normal(16).tolist()
     rows += [(1000 + k, hot, 0) for k in range(50)] + [(2000, [2 * x for x in hot], 0), (2001, hot, 1), (2002, hot, None)]
+    rows += [(4000 + k, (np.array(hot) + (0.02 if k % 2 else -0.02)).tolist(), 1) for k in range(40)]  # copies of two near vectors
     rows += [(3000, None, 0), (3001, [0.0] * 16, 0), (3002, [None] + hot[1:], 0), (3003, [float("nan")] + hot[1:], 0), (3004, [float("inf")] + hot[1:], 0), (3005, [], 0), (3006, [1.0, 0.0], 0), (3007, [1.0, 0.01], 0)]
     df = spark.createDataFrame([(i, v, y, 1) for i, v, y in rows], "vec_id long, embedding array<float>, label int, n long")
     out = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect()}
@@ -161,6 +172,9 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     comp = components([r[0] for r in rows], links)
     assert len(links) > 1200 and out == {i: (degree[i], comp[i], comp[i] == i) for i in comp}
     assert vectors.near_duplicates(df.limit(0)).collect() == []
+    same = df.unionByName(df.filter("vec_id < 20"))  # repeated rows are one vector each
+    again = vectors.near_duplicates(same.withColumn("embedding", F.col("embedding").cast("array<double>")).withColumns({c: F.lit(1) for c in ("id", "x", "f1", "dim", "many", "component")}))
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in again.distinct().collect()) == sorted((i, *v) for i, v in out.items())
 
 
 def test_components_of_chains_and_stars(spark):
