@@ -47,7 +47,9 @@ def collapse(turns: DataFrame) -> DataFrame:
     smallest conv_id stays and ``n_copies`` counts them. Turns are ordered by (turn, role,
     text), null turn numbers first; repeated rows are repeated turns. A null role is rendered
     as ``unknown``, a null text as an empty one. Rows without conv_id belong to no conversation
-    and are left out. Other columns are ignored. No rows give no rows.
+    and are left out. Other columns are ignored. No rows give no rows. The rendered text is one
+    value of a row, so a conversation, however long, has to fit in one; its turns are numbered and
+    summed up in one sorted window, which spills.
 
     Copies are pre-aggregated to one row per hash on both sides of the anti-join, so a hot first
     turn or conversation costs one row per task.
@@ -57,7 +59,8 @@ def collapse(turns: DataFrame) -> DataFrame:
     longer = rolled.filter(~F.col("last")).select(*key).distinct()
     whole = rolled.filter("last").groupBy(*key).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
     maximal = whole.join(longer, key, "left_anti").select("conv_id", F.col("k").alias("n_turns"), "n_copies")
-    texts = rolled.select("conv_id", "k", render(F.col("role"), F.col("text")).alias("part")).groupBy("conv_id")
+    kept = rolled.join(maximal.select("conv_id"), "conv_id", "left_semi")  # only what stays is rendered
+    texts = kept.select("conv_id", "k", render(F.col("role"), F.col("text")).alias("part")).groupBy("conv_id")
     joined = texts.agg(F.array_sort(F.collect_list(F.struct("k", "part"))).alias("parts"))
     return maximal.join(joined, "conv_id").select(
         "conv_id", "n_turns", "n_copies", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("text")

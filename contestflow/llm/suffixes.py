@@ -66,8 +66,8 @@ def segments(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int
 
 
 def anchors(keyed: DataFrame, length: int) -> DataFrame:
-    """Segments of every text: doc, th, s, e, h1, h2, n, s2. One that repeats inside a text is given
-    once with its number n and its last place s2, and its other places with n = 0."""
+    """Segments of every text: doc, th, s, e, h1, h2, n, s2, places. One that repeats inside a text
+    is given once, with its number n, its last place s2 and the ranges (s, e) of all its places."""
 
     def scan(column):
         for start, stop in text_chunks(pa.record_batch([column], ["text"]), "text", 1 << 20):
@@ -93,31 +93,37 @@ def anchors(keyed: DataFrame, length: int) -> DataFrame:
             new[1:] = (text[1:] != text[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
             heads = np.flatnonzero(new)
             ends = np.append(heads[1:], text.size)
-            count, last = np.zeros(text.size, np.int32), s.copy()
-            count[heads], last[heads] = ends - heads, s[ends - 1]
-            pick = pa.array(text)
+            count = (ends - heads).astype(np.int32)
+            gap = new.copy()
+            gap[1:] |= s[1:] > e[:-1] + 1
+            gap &= np.repeat(count > 1, count)
+            begin = np.flatnonzero(gap)  # of ranges of places in a row
+            again = np.append(np.flatnonzero(gap | new), text.size)
+            stop = again[np.searchsorted(again, begin, "right")] - 1
+            ranges = pa.StructArray.from_arrays([pa.array(s[begin].astype(np.int32)), pa.array(e[stop].astype(np.int32))], ["s", "e"])
+            offsets = np.append(np.searchsorted(begin, heads), begin.size).astype(np.int32)
+            pick = pa.array(text[heads])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc").take(pick), batch.column("th").take(pick), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)),
-                    pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(count), pa.array(last.astype(np.int32)),
+                    batch.column("doc").take(pick), batch.column("th").take(pick), pa.array(s[heads].astype(np.int32)), pa.array(e[heads].astype(np.int32)),
+                    pa.array(h1[heads].view(np.int64)), pa.array(h2[heads].view(np.int64)), pa.array(count), pa.array(s[ends - 1].astype(np.int32)), pa.ListArray.from_arrays(offsets, ranges),
                 ],
-                ["doc", "th", "s", "e", "h1", "h2", "n", "s2"],
+                ["doc", "th", "s", "e", "h1", "h2", "n", "s2", "places"],
             )
 
-    return map_rows(keyed.select(*KEY, "text"), step, "doc long, th long, s int, e int, h1 long, h2 long, n int, s2 int")
+    return map_rows(keyed.select(*KEY, "text"), step, "doc long, th long, s int, e int, h1 long, h2 long, n int, s2 int, places array<struct<s:int,e:int>>")
 
 
 def typed(found: DataFrame) -> DataFrame:
     """Segments whose minimizer repeats, with the total of equal ones, whether others share the
     minimizer, and the first and last place of the equal ones where this row is one of them."""
-    known = found.filter("n > 0")
-    repeated = known.groupBy("h1").agg(F.sum("n").alias("total"), F.min("h2").alias("lo"), F.max("h2").alias("hi")).filter("total > 1")
-    hits = materialize(known.join(repeated.select("h1", (F.col("lo") != F.col("hi")).alias("mixed")), "h1"), "hits")
+    repeated = found.groupBy("h1").agg(F.sum("n").alias("total"), F.min("h2").alias("lo"), F.max("h2").alias("hi")).filter("total > 1")
+    hits = materialize(found.join(repeated.select("h1", (F.col("lo") != F.col("hi")).alias("mixed")), "h1"), "hits")
     here, there = F.struct(*KEY, "s"), F.struct(*KEY, F.col("s2").alias("s"))
     groups = hits.groupBy("h1", "h2").agg(F.sum("n").alias("total"), F.min(here).alias("first"), F.max(there).alias("last"))
     rows = hits.join(groups, ["h1", "h2"])
     first, last = F.when((F.col("total") > 1) & (F.col("last") == there), F.col("first")), F.when((F.col("total") > 1) & (F.col("first") == here), F.col("last"))
-    out = materialize(rows.select(*KEY, "s", "e", "s2", "h1", "h2", "mixed", "total", first.alias("first"), last.alias("last")), "typed")
+    out = materialize(rows.select(*KEY, "s", "e", "s2", "places", "h1", "h2", "mixed", "total", first.alias("first"), last.alias("last")), "typed")
     discard(hits)
     return out
 
@@ -430,15 +436,17 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False,
     keyed = source.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "th": F.xxhash64("doc_id", "text")})
     found = materialize(anchors(keyed.filter(F.octet_length("text") >= length), length), "segments")
     rows = typed(found)
+    discard(found)
     look = materialize(bodies(keyed, rows, length), "bodies")
     pieces = look.filter("h1 is null").select(*KEY, F.col("s").alias("p"), "judged", "body")
     suffixes = materialize(pieces.union(runs(look.filter("h1 is not null"), length)), "suffixes")
     verdicts = materialize(sorted_verdicts(suffixes, length), "verdicts")
     stands = look.filter("h1 is null and judged").select(*KEY, F.col("s").alias("p"), F.explode("groups").alias("g"))
     proved = stands.join(verdicts, [*KEY, "p"]).filter("last >= g.e").select("g.h1", "g.h2").distinct()
-    following = rows.filter("total > 1").select(*KEY, "s", "e", "h1", "h2").union(found.filter("n = 0").select(*KEY, "s", "e", "h1", "h2"))
-    followed = following.join(proved, ["h1", "h2"]).select(*KEY, F.col("s").cast("long").alias("p"), F.col("e").cast("long").alias("last"))
-    per_text = verdicts.select(*KEY, "p", "last").union(followed).groupBy(F.col("doc").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set(F.struct("p", "last")).alias("spans"))
+    places = F.when(F.size("places") > 0, F.col("places")).otherwise(F.array(F.struct("s", "e")))
+    followed = rows.filter("total > 1").select(*KEY, "h1", "h2", places.alias("spans")).join(proved, ["h1", "h2"]).select(*KEY, "spans")
+    direct = verdicts.select(*KEY, F.array(F.struct(F.col("p").cast("int").alias("s"), F.col("last").cast("int").alias("e"))).alias("spans"))
+    per_text = direct.union(followed).groupBy(F.col("doc").alias("_d"), F.col("th").alias("_t")).agg(F.flatten(F.collect_set("spans")).alias("spans"))
     whole = keyed.withColumns({"n_bytes": F.octet_length("text").cast("long"), "whole": F.sha2("text", 256)})
     ready = whole.join(per_text, (F.col("doc") == F.col("_d")) & (F.col("th") == F.col("_t")), "left")
     texts = ["text"] * with_text
@@ -450,7 +458,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False,
         sha, left = batch.column("whole").to_pylist(), [None] * batch.num_rows
         for k in hit.tolist():
             raw, at, kept = batch.column("text")[k].as_py().encode(), 0, []
-            spans = spans_of([(v["p"], v["last"]) for v in batch.column("spans")[k].as_py()], length)
+            spans = spans_of([(v["s"], v["e"]) for v in batch.column("spans")[k].as_py()], length)
             for a, b in spans:
                 kept.append(raw[at:a])
                 at = b

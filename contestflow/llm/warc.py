@@ -42,13 +42,24 @@ def classify(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return joined.select("page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
 
-def _record(row: dict, date: str) -> bytes:
+def _info(name: str, date: str) -> bytes:
+    """The record that opens an archive and describes it."""
+    block = b"software: contestflow\r\nformat: WARC File Format 1.1\r\n"
+    file = name.rpartition("/")[2]
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, file)}>", f"WARC-Filename: {file}", f"WARC-Date: {date}"]
+    return "\r\n".join([*lines, "Content-Type: application/warc-fields", f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+
+
+def _record(row: dict, date: str, place: str) -> bytes:
+    """A record; ``place`` (archive and number) names it where the row has no page_id."""
     payload = (row["html"] or "").encode()
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if row["record_type"] == "revisit" else http + payload
-    uri = (row["url"] or "").replace("\r", "%0D").replace("\n", "%0A")
-    lines = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <urn:page:{row['page_id']}>", f"WARC-Target-URI: {uri}", f"WARC-Date: {date}"]
+    own = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}" if row["page_id"] is None else f"urn:page:{row['page_id']}"
+    lines = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <{own}>", f"WARC-Date: {date}"]
+    if row["url"] is not None:
+        lines.append("WARC-Target-URI: " + row["url"].replace("\r", "%0D").replace("\n", "%0A"))
     if row["record_type"] == "revisit":
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{row['refers_to']}>"]
     lines += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
@@ -68,7 +79,10 @@ def dictionary_of(records: list[bytes]) -> bytes:
 def write_archives(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z", level: int = 3) -> DataFrame:
     """One archive per non-empty partition of classified pages; returns the manifest.
 
-    A null html is an empty payload, a null url an empty one. Names are fresh per attempt; only
+    A null html is an empty payload, a null url is left out. Rows that repeat a page_id share its
+    record id; rows without one are named by archive and number. A long payload is one record and
+    has to fit in a task, and no other is held with it. Columns besides those of ``classify`` are
+    ignored. No rows give no archives. Names are fresh per attempt; only
     archives that the manifest (written by Spark's committer) names count.
     """
 
@@ -83,7 +97,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00
             learnt = zstandard.ZstdCompressionDict(words)
             learnt.precompute_compress(level=level)
             squeeze = zstandard.ZstdCompressor(level=level, dict_data=learnt, write_checksum=True)
-            for record in early:
+            for record in (_info(name, date), *early):
                 f.write(squeeze.compress(record))
             early.clear()
             return f, squeeze
@@ -91,7 +105,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 for row in batch.slice(k, 64).to_pylist():
-                    record, n = _record(row, date), n + 1
+                    record, n = _record(row, date, f"{name}/{n}"), n + 1
                     if out is None:
                         early.append(record)
                         size += len(record)
@@ -108,7 +122,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00
 
 
 def read_records(stream):
-    """(headers, block) of every record of an open archive; one record is held at a time."""
+    """(headers, block) of every page's record of an open archive; one record is held at a time."""
     head = stream.read(8)
     assert int.from_bytes(head[:4], "little") == DICTIONARY_FRAME, "no dictionary frame"
     words = zstandard.ZstdCompressionDict(stream.read(int.from_bytes(head[4:], "little")))
@@ -122,12 +136,12 @@ def read_records(stream):
             headers[key] = value
         block = text.read(int(headers["Content-Length"]))
         assert text.read(4) == b"\r\n\r\n"
-        yield headers, block
+        if headers["WARC-Type"] != "warcinfo":
+            yield headers, block
 
 
 def _page(urn: str) -> int | None:
-    value = urn.removeprefix("<urn:page:").removesuffix(">")
-    return None if value == "None" else int(value)
+    return int(urn.removeprefix("<urn:page:").removesuffix(">")) if urn.startswith("<urn:page:") else None
 
 
 def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -149,7 +163,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                         if not revisit:
                             assert length == len(payload) and digest == base64.b32encode(hashlib.sha1(payload).digest()).decode(), "damaged record"
                         refers = _page(headers["WARC-Refers-To"]) if revisit else None
-                        rows.append((_page(headers["WARC-Record-ID"]), headers["WARC-Target-URI"], length, digest, headers["WARC-Type"], refers, payload)[: len(names)])
+                        rows.append((_page(headers["WARC-Record-ID"]), headers.get("WARC-Target-URI"), length, digest, headers["WARC-Type"], refers, payload)[: len(names)])
                         held += len(payload) * with_payload + 200
                         if held > 4 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)

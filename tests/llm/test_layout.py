@@ -1,11 +1,13 @@
 """Mixing, packing, token shards and archives: invariants, round trips and plain recounts."""
 
+import random
 import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyarrow import fs as pafs
 
 from contestflow.llm import mixing, packing, shards, tokens, warc
@@ -121,7 +123,23 @@ def test_shards_round_trip(spark, documents, prose, tmp_path):
         total += len(ids)
         want[r.doc_id].remove(ids)
     assert not any(want.values())
-    assert shards.read_shards(shards.write_shards(documents([]), f"file://{tmp_path}/none")).collect() == []
+    by_key = {}
+    for r in out:
+        by_key.setdefault(r.doc_id, []).append(tuple(r))
+    asked = spark.createDataFrame([(k,) for k in (50, 41, 7, 7, 14, None, 10**12, -5, 12)], "k long")
+    got = sorted(tuple(r) for r in shards.get(manifest, asked, "k").collect())
+    assert got == sorted(r for k in (50, 41, 7, 14, 12) for r in by_key[k]) and len(by_key[50]) == 2
+    assert shards.get(manifest, asked.limit(0), "k").collect() == []
+    none = shards.write_shards(documents([]), f"file://{tmp_path}/none")
+    assert shards.read_shards(none).collect() == [] and shards.get(none, asked, "k").collect() == []
+
+
+def test_shards_of_one_key_in_many_rows(spark, documents, prose, tmp_path):
+    rows = [(3, prose(k, 30)) for k in range(60)] + [(k, "x") for k in range(10)]
+    manifest = shards.write_shards(documents(rows), f"file://{tmp_path}/shards", shards=5)
+    got = shards.get(manifest, spark.createDataFrame([(3,), (4,)], "doc_id long")).collect()
+    assert sorted(r.doc_id for r in got) == [3] * 61 + [4] and len({r.start for r in got}) == 62
+    assert manifest.filter("least <= 3 and most >= 3").count() > 1
 
 
 def test_perfect_hash_is_minimal_and_refuses_unknown_keys():
@@ -137,7 +155,8 @@ def test_perfect_hash_is_minimal_and_refuses_unknown_keys():
 def test_archives_round_trip(spark, prose, tmp_path):
     rows = [(k, f"https://x.org/{k}", f"<p>{prose(k % 40, 60)}</p>") for k in range(120)]
     rows += [(200, None, None), (201, "a\r\nb", ""), (202, "u", "é" * 5000), (None, "u", "<p>only</p>"), (None, "u", rows[3][2]), (7, "same key", rows[7][2])]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    rows += [(300, "long", "".join(random.Random(1).choices("abc <>é", k=3_000_000)))]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, digest string, first int").repartition(4)
     manifest = warc.write_archives(warc.classify(pages), f"file://{tmp_path}/warc")
     out = warc.read_archives(manifest).collect()
     assert len(out) == len(rows)
@@ -147,7 +166,7 @@ def test_archives_round_trip(spark, prose, tmp_path):
         least[h] = min((x for x in (p, least.get(h)) if x is not None), default=None)
     seen = {(r.page_id, r.url): r for r in out}
     for p, u, h in rows:
-        r = seen[p, (u or "").replace("\r", "%0D").replace("\n", "%0A")] if p is not None else next(x for x in out if x.page_id is None and x.payload_bytes == len(h))
+        r = seen[p, u and u.replace("\r", "%0D").replace("\n", "%0A")] if p is not None else next(x for x in out if x.page_id is None and x.payload_bytes == len(h))
         again = least[h or ""] is not None and (p is None or p > least[h or ""])
         assert (r.payload_bytes, r.record_type, r.refers_to) == (len((h or "").encode()), "revisit" if again else "response", least[h or ""] if again else None)
         assert r.payload == (b"" if again else (h or "").encode()) and re.fullmatch("[A-Z2-7]{32}", r.payload_digest)
@@ -156,6 +175,7 @@ def test_archives_round_trip(spark, prose, tmp_path):
     raw = store.open_input_stream(file).read()
     size = int.from_bytes(raw[4:8], "little")
     assert int.from_bytes(raw[:4], "little") == warc.DICTIONARY_FRAME and raw[8 + size : 12 + size] == b"\x28\xb5\x2f\xfd"
+    assert zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw[8 : 8 + size])).decompressobj().decompress(raw[8 + size :]).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
     short = {r.page_id: r.record_type for r in warc.classify(pages, min_bytes=200000).collect()}
     assert set(short.values()) == {"response"}
     assert warc.read_archives(warc.write_archives(warc.classify(pages.limit(0)), f"file://{tmp_path}/none")).collect() == []
