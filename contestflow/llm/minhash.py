@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, table, text_chunks
+from .common import discard, map_rows, materialize, table, text_chunks
 from .graph import components
 from .rolling import mix
 from .shingles import shingles
@@ -60,7 +60,7 @@ def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
     multiset, signature."""
 
     def step(batch):
-        for start, stop in text_chunks(batch, "text", 2 << 20):
+        for start, stop in text_chunks(batch, "text", 1 << 20):
             part = batch.slice(start, stop - start)
             text, key, count = shingles(part.column("text").to_pylist(), words)
             rows = stop - start
@@ -233,11 +233,13 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5) ->
     grouped = usable.groupBy(*same).agg(F.min(F.struct("doc_id", "th")).alias("first"), F.min("sig").alias("sig"))
     # A representative is a multiset, not a doc_id: its key is a number of its own, fixed by the written table.
     reps = materialize(grouped.select(F.monotonically_increasing_id().alias("rep"), *same, "first.*", "sig"), "representatives")
+    narrow = materialize(sigs.select("doc_id", *same), "prints")
+    discard(sigs)
     bands = reps.select("rep", F.explode(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1))).alias("band"), "sig")
     bands = bands.select("rep", "band", F.xxhash64(F.substring("sig", F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("hash"))
     bucket = ["band", "hash"]
     shared = bands.groupBy(*bucket).agg(F.min("rep").alias("leader"), F.max("rep").alias("most")).filter("leader <> most").drop("most")
-    members = materialize(bands.join(shared, bucket), "buckets")
+    members = kept_members = materialize(bands.join(shared, bucket), "buckets")
     stars = members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     stars = materialize(_likely(stars, reps), "stars")
     wanted = reps.join(members.select("rep").distinct(), "rep").select("rep", F.col("doc_id").alias("_d"), F.col("th").alias("_t"))
@@ -250,10 +252,11 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5) ->
     # The first components are links to their least node, so the second round starts from those.
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)).withColumnRenamed("node", "rep")
     placed = materialize(reps.select(*same, "rep", "doc_id").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
+    discard(reps, kept_members, stars, texts, links, more)
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     groups = placed.join(least, "component").select(*[F.col(c).alias(f"_{c}") for c in same], F.col("doc_id").alias("class_id"), "component_id")
     on = [F.col(c) == F.col(f"_{c}") for c in same] + [F.col("doc_id").isNotNull()]
-    out = sigs.select("doc_id", *same).join(groups, on, "left")
+    out = narrow.join(groups, on, "left")
     class_id, component = F.coalesce("class_id", "doc_id"), F.coalesce("component_id", "doc_id")
     kept = F.coalesce(component == F.col("doc_id"), F.lit(True))
     return out.select("doc_id", class_id.alias("class_id"), component.alias("component_id"), kept.alias("kept"))

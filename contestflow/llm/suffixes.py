@@ -29,12 +29,14 @@ from .rolling import Rolling, mix
 SCAN_BYTES = 4 << 20
 #: Segments of one minimizer that meet in a task; those of commoner ones are matched by a shuffle of their strings' hashes.
 BUCKET_ROWS = 1500
+#: Segments of whole minimizers that are looked at together.
+MEET_ROWS = 2000
 #: Starts in one piece of segments in a row.
 PIECE_STARTS = 4096
 #: Suffixes, and bytes of them, in one sorted run.
-RUN_ROWS, RUN_BYTES = 30_000, 24 << 20
+RUN_ROWS, RUN_BYTES = 30_000, 12 << 20
 #: Bytes of suffixes in one range of the merge.
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 16 << 20
 #: Sampled suffix starts per range (2048 at least) that place the ranges; they balance the merge and never change results.
 SAMPLE = 8
 KEY = ["doc", "th"]
@@ -66,8 +68,9 @@ def segments(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int
 
 
 def anchors(keyed: DataFrame, length: int) -> DataFrame:
-    """Segments of every text: doc, th, s, e, h1, h2, n, s2, places. One that repeats inside a text
-    is given once, with its number n, its last place s2 and the ranges (s, e) of all its places."""
+    """Segments of every text: doc, th, at (first and last start, 32 bits each), h1, h2, again. One
+    that repeats inside a text is given once, with its number n, its last place s2 and the ranges
+    (s, e) of all its places in ``again``, which is null for the others: rows stay narrow."""
 
     def scan(column):
         for start, stop in text_chunks(pa.record_batch([column], ["text"]), "text", 1 << 20):
@@ -98,27 +101,27 @@ def anchors(keyed: DataFrame, length: int) -> DataFrame:
             gap[1:] |= s[1:] > e[:-1] + 1
             gap &= np.repeat(count > 1, count)
             begin = np.flatnonzero(gap)  # of ranges of places in a row
-            again = np.append(np.flatnonzero(gap | new), text.size)
-            stop = again[np.searchsorted(again, begin, "right")] - 1
+            edge = np.append(np.flatnonzero(gap | new), text.size)
+            stop = edge[np.searchsorted(edge, begin, "right")] - 1
             ranges = pa.StructArray.from_arrays([pa.array(s[begin].astype(np.int32)), pa.array(e[stop].astype(np.int32))], ["s", "e"])
             offsets = np.append(np.searchsorted(begin, heads), begin.size).astype(np.int32)
+            again = pa.StructArray.from_arrays([pa.array(count), pa.array(s[ends - 1].astype(np.int32)), pa.ListArray.from_arrays(offsets, ranges)], ["n", "s2", "places"], mask=pa.array(count == 1))
             pick = pa.array(text[heads])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc").take(pick), batch.column("th").take(pick), pa.array(s[heads].astype(np.int32)), pa.array(e[heads].astype(np.int32)),
-                    pa.array(h1[heads].view(np.int64)), pa.array(h2[heads].view(np.int64)), pa.array(count), pa.array(s[ends - 1].astype(np.int32)), pa.ListArray.from_arrays(offsets, ranges),
-                ],
-                ["doc", "th", "s", "e", "h1", "h2", "n", "s2", "places"],
-            )
+            at = s[heads].astype(np.int64) << 32 | e[heads].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pick), batch.column("th").take(pick), pa.array(at), pa.array(h1[heads].view(np.int64)), pa.array(h2[heads].view(np.int64)), again], ["doc", "th", "at", "h1", "h2", "again"])
 
-    return map_rows(keyed.select(*KEY, "text"), step, "doc long, th long, s int, e int, h1 long, h2 long, n int, s2 int, places array<struct<s:int,e:int>>")
+    return map_rows(keyed.select(*KEY, "text"), step, "doc long, th long, at long, h1 long, h2 long, again struct<n:int,s2:int,places:array<struct<s:int,e:int>>>")
 
 
 def typed(found: DataFrame) -> DataFrame:
     """Segments whose minimizer repeats, with the total of equal ones, whether others share the
     minimizer, and the first and last place of the equal ones where this row is one of them."""
-    repeated = found.groupBy("h1").agg(F.sum("n").alias("total"), F.min("h2").alias("lo"), F.max("h2").alias("hi")).filter("total > 1")
-    hits = materialize(found.join(repeated.select("h1", (F.col("lo") != F.col("hi")).alias("mixed")), "h1"), "hits")
+    n = F.coalesce("again.n", F.lit(1))
+    repeated = found.groupBy("h1").agg(F.sum(n).alias("total"), F.min("h2").alias("lo"), F.max("h2").alias("hi")).filter("total > 1")
+    joined = found.join(repeated.select("h1", (F.col("lo") != F.col("hi")).alias("mixed")), "h1")
+    s = F.shiftright("at", 32).cast("int")
+    places = [s.alias("s"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("e"), n.alias("n"), F.coalesce("again.s2", s).alias("s2"), F.col("again.places").alias("places")]
+    hits = materialize(joined.select(*KEY, "h1", "h2", "mixed", *places), "hits")
     here, there = F.struct(*KEY, "s"), F.struct(*KEY, F.col("s2").alias("s"))
     groups = hits.groupBy("h1", "h2").agg(F.sum("n").alias("total"), F.min(here).alias("first"), F.max(there).alias("last"))
     rows = hits.join(groups, ["h1", "h2"])
@@ -193,25 +196,43 @@ def runs(parts: DataFrame, length: int) -> DataFrame:
     they occur in the same segments, so that all of these have a suffix that starts at the same place."""
     crowded = parts.groupBy("h1").agg(F.count("*").alias("size")).filter(F.col("size") > BUCKET_ROWS).select("h1")
 
-    def meet(group):
-        body = group.column("body").to_pylist()
-        size = np.array([len(b) for b in body])
-        begin, many = np.cumsum(size) - size, size - length + 1
-        row = np.repeat(np.arange(size.size), many)
-        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        prints = Rolling(np.frombuffer(b"".join(body), np.uint8)).every(length)[begin[row] + place]
-        _, inverse, count = np.unique(prints, return_inverse=True, return_counts=True)
-        partners = np.zeros(count.size, np.uint64)
-        np.add.at(partners, inverse, mix(row.astype(np.uint64) + np.uint64(1)))
-        alive = np.flatnonzero(count[inverse] > 1)
-        row, place, partners = row[alive], place[alive], partners[inverse[alive]]
-        edges, out = np.flatnonzero(np.diff(row, prepend=-1, append=-1)), []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            r = int(row[a])
-            out += [(r, x, body[r][x : y + length]) for x, y in _cut_runs(place[a:b], partners[a:b])]
-        pick = pa.array([r for r, _, _ in out], pa.int64())
-        p = pa.array(group.column("s").to_numpy()[pick.to_numpy()] + np.array([x for _, x, _ in out], np.int64), pa.int32())
-        return pa.table([group.column("doc").take(pick), group.column("th").take(pick), p, group.column("judged").take(pick), pa.array([b for _, _, b in out], pa.binary())], schema=_SUFFIX)
+    def buckets(batches):
+        held = None  # rows after the last whole minimizer, which are few
+        for batch in batches:
+            for k in range(0, batch.num_rows, MEET_ROWS):
+                part = pa.Table.from_batches([batch.slice(k, MEET_ROWS)])
+                held = pa.concat_tables([held, part]) if held else part
+                h1 = held.column("h1").to_numpy()
+                if whole := int(np.searchsorted(h1, h1[-1])):
+                    yield held.slice(0, whole)
+                    held = held.slice(whole)
+        if held:
+            yield held
+
+    def meet(batches):
+        for group in buckets(batches):  # equal strings have equal minimizers, so all may meet at once
+            body = group.column("body").to_pylist()
+            size = np.array([len(b) for b in body])
+            begin, many = np.cumsum(size) - size, size - length + 1
+            row = np.repeat(np.arange(size.size), many)
+            place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            prints = Rolling(np.frombuffer(b"".join(body), np.uint8)).every(length)[begin[row] + place]
+            _, inverse, count = np.unique(prints, return_inverse=True, return_counts=True)
+            partners = np.zeros(count.size, np.uint64)
+            np.add.at(partners, inverse, mix(row.astype(np.uint64) + np.uint64(1)))
+            alive = np.flatnonzero(count[inverse] > 1)
+            row, place, partners = row[alive], place[alive], partners[inverse[alive]]
+            new = np.ones(row.size, bool)
+            new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1) | (partners[1:] != partners[:-1])
+            first = np.flatnonzero(new)
+            if not first.size:
+                continue
+            r, x, y = row[first], place[first], place[np.append(first[1:], row.size) - 1]
+            out = [body[i][a : b + length] for i, a, b in zip(r.tolist(), x.tolist(), y.tolist(), strict=True)]
+            columns = {c: group.column(c).combine_chunks() for c in (*KEY, "s", "judged")}
+            pick = pa.array(r)
+            p = pa.array(columns["s"].to_numpy()[r] + x, pa.int32())
+            yield pa.RecordBatch.from_arrays([columns["doc"].take(pick), columns["th"].take(pick), p, columns["judged"].take(pick), pa.array(out, pa.binary())], schema=_SUFFIX)
 
     def strings(batch):
         for k in range(0, batch.num_rows, 500):
@@ -232,7 +253,8 @@ def runs(parts: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SUFFIX, strict=True)], schema=_SUFFIX)
 
     schema = "doc long, th long, p int, judged boolean, body binary"
-    few = parts.join(crowded, "h1", "left_anti").select("h1", *KEY, "s", "judged", "body").groupBy("h1").applyInArrow(meet, schema)
+    few = parts.join(crowded, "h1", "left_anti").select("h1", *KEY, "s", "judged", "body")
+    few = few.repartition("h1").sortWithinPartitions("h1").mapInArrow(meet, schema)
     many = parts.join(crowded, "h1", "left_semi").select(*KEY, "s", "judged", "body")
     each = map_rows(many, strings, "doc long, th long, s int, place int, print long")
     who = F.xxhash64(*KEY, "s")
@@ -407,7 +429,9 @@ def sorted_verdicts(suffixes: DataFrame, length: int) -> DataFrame:
 
     merged = coded.filter("range >= 0").groupBy("range").applyInArrow(merge, "doc long, th long, p long, last long")
     local_ones = coded.filter("range < 0").select(F.explode(F.arrays_zip(*KEY, "p", "last")).alias("r")).select("r.*")
-    return merged.union(local_ones)
+    out = materialize(merged.union(local_ones), "verdicts")
+    discard(coded)
+    return out
 
 
 def spans_of(pairs: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -440,13 +464,16 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False,
     look = materialize(bodies(keyed, rows, length), "bodies")
     pieces = look.filter("h1 is null").select(*KEY, F.col("s").alias("p"), "judged", "body")
     suffixes = materialize(pieces.union(runs(look.filter("h1 is not null"), length)), "suffixes")
-    verdicts = materialize(sorted_verdicts(suffixes, length), "verdicts")
+    verdicts = sorted_verdicts(suffixes, length)
+    discard(suffixes)
     stands = look.filter("h1 is null and judged").select(*KEY, F.col("s").alias("p"), F.explode("groups").alias("g"))
     proved = stands.join(verdicts, [*KEY, "p"]).filter("last >= g.e").select("g.h1", "g.h2").distinct()
-    places = F.when(F.size("places") > 0, F.col("places")).otherwise(F.array(F.struct("s", "e")))
+    places = F.coalesce("places", F.array(F.struct("s", "e")))
     followed = rows.filter("total > 1").select(*KEY, "h1", "h2", places.alias("spans")).join(proved, ["h1", "h2"]).select(*KEY, "spans")
     direct = verdicts.select(*KEY, F.array(F.struct(F.col("p").cast("int").alias("s"), F.col("last").cast("int").alias("e"))).alias("spans"))
     per_text = direct.union(followed).groupBy(F.col("doc").alias("_d"), F.col("th").alias("_t")).agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    per_text = materialize(per_text, "spans")
+    discard(rows, look, verdicts)
     whole = keyed.withColumns({"n_bytes": F.octet_length("text").cast("long"), "whole": F.sha2("text", 256)})
     ready = whole.join(per_text, (F.col("doc") == F.col("_d")) & (F.col("th") == F.col("_t")), "left")
     texts = ["text"] * with_text

@@ -20,8 +20,8 @@ import pandas as pd
 from .rolling import Rolling
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
-#: Bytes of the texts that are encoded together; more of them share pieces, arrays fit the caches less.
-ENCODE_BYTES = 2 << 20
+#: Bytes of the texts that are encoded together; more of them share pieces and take more memory.
+ENCODE_BYTES = 1 << 19
 _find = re.compile(r"\s*\S+|\s+").findall
 _BREAK = "\x00"
 #: White space beyond ASCII's six; the joint path knows those only.
@@ -56,7 +56,7 @@ class Encoder:
     not one id of its own, whole texts are encoded.
     """
 
-    def __init__(self, path: str, cache_pieces: int = 400_000):
+    def __init__(self, path: str, cache_pieces: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
