@@ -80,6 +80,30 @@ def map_rows(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.RecordB
     return df.mapInArrow(run, schema)
 
 
+def whole_groups(batches, keys: list[str], rows: int = 4096):
+    """(table, edges) of whole groups of rows that are sorted by ``keys``, about ``rows`` rows at a
+    time; edges are where groups begin, and the end. Many small groups share one call this way,
+    and no more than one unfinished group is held."""
+    import numpy as np
+
+    held = None
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            part = pa.Table.from_batches([batch.slice(k, rows)])
+            held = pa.concat_tables([held, part]) if held is not None else part
+            new = np.zeros(held.num_rows, bool)
+            new[0] = True
+            for c in keys:
+                v = held.column(c).to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            edges = np.flatnonzero(new)
+            if edges.size > 1:
+                yield held.slice(0, edges[-1]).combine_chunks(), edges
+                held, edges = held.slice(edges[-1]), np.zeros(1, np.int64)
+    if held is not None:
+        yield held.combine_chunks(), np.append(edges, held.num_rows)
+
+
 def text_chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts have about ``limit`` bytes together (one row at least)."""
     import numpy as np

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, map_rows, materialize, table, text_chunks
+from .common import discard, map_rows, materialize, table, text_chunks, whole_groups
 from .rolling import Rolling, mix
 
 #: Texts are scanned in pieces of this many bytes, so memory does not follow a text's length.
@@ -196,21 +196,8 @@ def runs(parts: DataFrame, length: int) -> DataFrame:
     they occur in the same segments, so that all of these have a suffix that starts at the same place."""
     crowded = parts.groupBy("h1").agg(F.count("*").alias("size")).filter(F.col("size") > BUCKET_ROWS).select("h1")
 
-    def buckets(batches):
-        held = None  # rows after the last whole minimizer, which are few
-        for batch in batches:
-            for k in range(0, batch.num_rows, MEET_ROWS):
-                part = pa.Table.from_batches([batch.slice(k, MEET_ROWS)])
-                held = pa.concat_tables([held, part]) if held else part
-                h1 = held.column("h1").to_numpy()
-                if whole := int(np.searchsorted(h1, h1[-1])):
-                    yield held.slice(0, whole)
-                    held = held.slice(whole)
-        if held:
-            yield held
-
     def meet(batches):
-        for group in buckets(batches):  # equal strings have equal minimizers, so all may meet at once
+        for group, _ in whole_groups(batches, ["h1"], MEET_ROWS):  # equal strings have equal minimizers, so all may meet at once
             body = group.column("body").to_pylist()
             size = np.array([len(b) for b in body])
             begin, many = np.cumsum(size) - size, size - length + 1
@@ -229,10 +216,9 @@ def runs(parts: DataFrame, length: int) -> DataFrame:
                 continue
             r, x, y = row[first], place[first], place[np.append(first[1:], row.size) - 1]
             out = [body[i][a : b + length] for i, a, b in zip(r.tolist(), x.tolist(), y.tolist(), strict=True)]
-            columns = {c: group.column(c).combine_chunks() for c in (*KEY, "s", "judged")}
-            pick = pa.array(r)
-            p = pa.array(columns["s"].to_numpy()[r] + x, pa.int32())
-            yield pa.RecordBatch.from_arrays([columns["doc"].take(pick), columns["th"].take(pick), p, columns["judged"].take(pick), pa.array(out, pa.binary())], schema=_SUFFIX)
+            pick, p = pa.array(r), pa.array(group.column("s").to_numpy()[r] + x, pa.int32())
+            picked = pa.table([group.column("doc").take(pick), group.column("th").take(pick), p, group.column("judged").take(pick), pa.array(out, pa.binary())], schema=_SUFFIX)
+            yield from picked.to_batches()
 
     def strings(batch):
         for k in range(0, batch.num_rows, 500):

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from .common import map_rows, materialize, table
+from .common import discard, map_rows, materialize, table, whole_groups
 from .graph import components
 
 #: Rows of one cell that meet in a task, as coordinates and as vectors; a larger cell is split
@@ -107,32 +107,44 @@ def link(prepared: DataFrame, cosine: float = 0.98, block: int = 8, grid: int =
     part = prepared.select("id", F.xxhash64("label").alias("part"), "dim", "x")
     met = _chunked(map_rows(part, spread, "id long, dim int, block int, cell long, visits boolean, y long"), cell, SPREAD_ROWS)
 
-    def near(keys, group):
-        dim, b, left, right = keys[0].as_py(), keys[1].as_py(), keys[3].as_py(), keys[4].as_py()
-        ids, visits, mine = group.column("id").to_numpy(), group.column("visits").to_numpy(zero_copy_only=False), group.column("own").to_numpy()
-        y = np.ascontiguousarray(group.column("y").to_numpy()).view(np.int8).reshape(-1, 8).astype(np.float32)
-        used = min(8, blocks(dim)[b].size)
-        limit = ((share(dim, blocks(dim)[b]) ** 0.5 / step_of(dim) + used**0.5) ** 2) + 1e-2
-        square, hit = (y * y).sum(1), np.zeros(ids.size, bool)
-        a_rows, b_rows = np.flatnonzero(mine == left), np.flatnonzero(mine == right)
-        other, side = y[b_rows].T.copy(), visits[b_rows]
-        for k in range(0, a_rows.size, 512):
-            rows = a_rows[k : k + 512]
-            i, j = np.nonzero(square[rows, None] + square[None, b_rows] - 2 * (y[rows] @ other) <= limit)
-            good = (rows[i] != b_rows[j]) & ~(visits[rows[i]] & side[j])
-            hit[rows[i[good]]] = hit[b_rows[j[good]]] = True
-        n = int(hit.sum())
-        return pa.table({"id": ids[hit], "dim": np.full(n, dim, np.int32), "block": np.full(n, b, np.int32), "cell": np.full(n, keys[2].as_py(), np.int64), "visits": visits[hit]})
-
-    flagged = met.groupBy(*cell, "left", "right").applyInArrow(near, "id long, dim int, block int, cell long, visits boolean")
+    def near(batches):
+        for table_, edges in whole_groups(batches, [*cell, "left", "right"]):
+            ids, own, lefts, rights, dims, blocks_ = (table_.column(c).to_numpy() for c in ("id", "own", "left", "right", "dim", "block"))
+            away = table_.column("visits").to_numpy()
+            coarse = np.ascontiguousarray(table_.column("y").to_numpy()).view(np.int8).reshape(-1, 8).astype(np.float32)
+            found = np.zeros(ids.size, bool)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if b - a < 2:
+                    continue
+                dim, columns = int(dims[a]), blocks(int(dims[a]))[blocks_[a]]
+                limit = (share(dim, columns) ** 0.5 / step_of(dim) + min(8, columns.size) ** 0.5) ** 2 + 1e-2
+                y, id_, visits, mine, hit = coarse[a:b], ids[a:b], away[a:b], own[a:b], found[a:b]
+                square = (y * y).sum(1)
+                a_rows, b_rows = np.flatnonzero(mine == lefts[a]), np.flatnonzero(mine == rights[a])
+                other, side = y[b_rows].T.copy(), visits[b_rows]
+                for k in range(0, a_rows.size, 512):
+                    rows = a_rows[k : k + 512]
+                    i, j = np.nonzero(square[rows, None] + square[None, b_rows] - 2 * (y[rows] @ other) <= limit)
+                    good = (id_[rows[i]] != id_[b_rows[j]]) & ~(visits[rows[i]] & side[j])
+                    hit[rows[i[good]]] = hit[b_rows[j[good]]] = True
+            yield from table_.filter(pa.array(found)).select(["id", *cell, "visits"]).to_batches()
+
+    order = [*cell, "left", "right"]
+    flagged = met.repartition(*order).sortWithinPartitions(*order).mapInArrow(near, "id long, dim int, block int, cell long, visits boolean")
     flagged = materialize(flagged.distinct(), "candidates")
     full = _chunked(flagged.join(prepared.drop("dim"), "id"), [*cell, "label"], CELL_ROWS)
+    order = [*cell, "label", "left", "right"]
+
+    def verify(batches):
+        for table_, edges in whole_groups(batches, order):
+            made = [m for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if b - a > 1 and (m := meeting(table_.slice(a, b - a)))]
+            if made:
+                yield from pa.concat_tables(made).combine_chunks().to_batches()
 
-    def verify(keys, group):
-        dim, b, left, right = keys[0].as_py(), keys[1].as_py(), keys[4].as_py(), keys[5].as_py()
-        ids, visits, many = group.column("id").to_numpy(), group.column("visits").to_numpy(zero_copy_only=False), group.column("many").to_numpy()
+    def meeting(group):
+        dim, b, left, right = (group.column(c)[0].as_py() for c in ("dim", "block", "left", "right"))
+        ids, visits, many, mine = (group.column(c).to_numpy() for c in ("id", "visits", "many", "own"))
         x, z = _components(group.column("x"), dim), _turned(group.column("x"), dim)
-        mine = group.column("own").to_numpy()
         norm, all_blocks = np.linalg.norm(x, axis=1), blocks(dim)
         columns = all_blocks[b]
         y, limit = z[:, columns], share(dim, columns)
@@ -166,9 +178,9 @@ def link(prepared: DataFrame, cosine: float = 0.98, block: int = 8, grid: int =
                 break
             root = new
         rows = np.flatnonzero(n)
-        return pa.table({"id": ids[rows], "n": n[rows], "root": root[rows]}, schema=pa.schema([("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())]))
+        return None if not rows.size else pa.table({"id": ids[rows], "n": n[rows], "root": root[rows]}, schema=pa.schema([("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())]))
 
-    return full.groupBy(*cell, "label", "left", "right").applyInArrow(verify, "id long, n long, root long")
+    return full.repartition(*order).sortWithinPartitions(*order).mapInArrow(verify, "id long, n long, root long")
 
 
 def _components(x, dim: int) -> np.ndarray:
@@ -214,6 +226,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id
     kind = narrow.schema[vector].dataType.elementType
     prepared = materialize(_prepare(first, 4 if isinstance(kind, S.FloatType) else 8), "vectors")
     links = materialize(link(prepared, cosine), "vector-links")
+    discard(prepared)
     counted = links.groupBy("id").agg(F.sum("n").alias("n"))
     labelled = components(links, "id", "root").withColumnRenamed("node", "id")
     found = reps.join(counted, "id", "left").join(labelled, "id", "left")
