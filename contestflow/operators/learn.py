@@ -1,47 +1,78 @@
-"""Impute, scale and classify: aggregates in SQL, models from pyspark.ml."""
+"""Impute, scale and classify: aggregates in SQL, models from pyspark.ml, stored and loaded again."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.util import DefaultParamsReader
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def prepare(train: DataFrame, columns: Sequence[str]) -> tuple[list[str], dict[str, tuple[float, float, float]]]:
+def prepare(train: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float, float]]:
     """Median, mean and population deviation of each column after imputing; columns without values go."""
     med = train.agg(*[F.median(c).cast("double").alias(c) for c in columns]).first()
     used = [c for c in columns if med[c] is not None]
     filled = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(med[c])).alias(c) for c in used])
     row = filled.agg(*[F.avg(c).alias(f"m_{c}") for c in used], *[F.stddev_pop(c).alias(f"s_{c}") for c in used]).first()
-    return used, {c: (med[c], row[f"m_{c}"], row[f"s_{c}"] or 1.0) for c in used}
+    return {c: (med[c], row[f"m_{c}"], row[f"s_{c}"] or 1.0) for c in used}
 
 
-def scaled(df: DataFrame, used: Sequence[str], figures: dict) -> DataFrame:
-    z = {c: (F.coalesce(F.col(c).cast("double"), F.lit(figures[c][0])) - figures[c][1]) / figures[c][2] for c in used}
-    return VectorAssembler(inputCols=[f"_z_{c}" for c in used], outputCol="_features").transform(df.withColumns({f"_z_{c}": z[c] for c in used}))
+def scaled(df: DataFrame, figures: dict[str, tuple[float, float, float]]) -> DataFrame:
+    z = {f"_z_{c}": (F.coalesce(F.col(c).cast("double"), F.lit(median)) - mean) / deviation for c, (median, mean, deviation) in figures.items()}
+    return VectorAssembler(inputCols=list(z), outputCol="_features").transform(df.withColumns(z))
 
 
 def logistic(n: int, c: float = 1.0) -> LogisticRegression:
-    """L2 with strength 1/(c n), as a penalty on the sum of losses."""
-    return LogisticRegression(featuresCol="_features", labelCol="target", regParam=1.0 / (c * n), standardization=False, maxIter=1000)
+    """L2 with strength 1/(c n), n the number of training rows: a penalty on the sum of losses."""
+    return LogisticRegression(featuresCol="_features", labelCol="target", regParam=1.0 / (c * n), standardization=False, maxIter=1000, tol=1e-9, predictionCol="_prediction", rawPredictionCol="_raw", probabilityCol="_probability")
 
 
 def boosted(rounds: int = 50, seed: int = 42) -> GBTClassifier:
-    return GBTClassifier(featuresCol="_features", labelCol="target", maxIter=rounds, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=3, seed=seed)
+    trees = GBTClassifier(featuresCol="_features", labelCol="target", predictionCol="_prediction", maxIter=rounds, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=3, seed=seed)
+    return trees.setRawPredictionCol("_raw").setProbabilityCol("_probability")
 
 
-def fit(train: DataFrame, columns: Sequence[str], estimator):
-    """(score, importances): score adds ``p``; importances are (feature, importance), best first."""
-    used, figures = prepare(train, columns)
-    model = estimator.fit(scaled(train, used, figures))
+@dataclass(frozen=True)
+class Fitted:
+    """A classifier with what its features were imputed and scaled by."""
 
-    def score(df: DataFrame) -> DataFrame:
-        out = model.transform(scaled(df, used, figures)).withColumn("p", vector_to_array("probability")[1])
+    figures: dict[str, tuple[float, float, float]]
+    model: object
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``p``, the probability of the blue side; null features have their medians."""
+        out = self.model.transform(scaled(df, self.figures)).withColumn("p", vector_to_array("_probability")[1])
         return out.select(*df.columns, "p")
 
-    weights = model.featureImportances.toArray() if hasattr(model, "featureImportances") else abs(model.coefficients.toArray())
-    return score, sorted(zip(used, map(float, weights), strict=True), key=lambda x: (-x[1], x[0]))
+    def weights(self) -> list[tuple[str, float]]:
+        """(feature, importance), best first: tree importances or absolute coefficients."""
+        w = self.model.featureImportances if hasattr(self.model, "featureImportances") else abs(self.model.coefficients.toArray())
+        return sorted(((c, float(x)) for c, x in zip(self.figures, w.toArray() if hasattr(w, "toArray") else w, strict=True)), key=lambda x: (-x[1], x[0]))
+
+
+def fit(train: DataFrame, columns: Sequence[str], estimator) -> Fitted:
+    figures = prepare(train, columns)
+    return Fitted(figures, estimator.fit(scaled(train, figures)))
+
+
+FIGURES = "position int, feature string, median double, mean double, deviation double"
+
+
+def save(fitted: Fitted, path: str) -> None:
+    """Store model and figures below ``path``; what was there is replaced."""
+    fitted.model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.active()
+    rows = [(i, c, *map(float, f)) for i, (c, f) in enumerate(fitted.figures.items())]
+    spark.createDataFrame(rows, FIGURES).coalesce(1).write.mode("overwrite").parquet(f"{path}/figures")
+
+
+def load(spark: SparkSession, path: str) -> Fitted:
+    """The stored model; a missing path raises the reader's PATH_NOT_FOUND error."""
+    rows = spark.read.schema(FIGURES).parquet(f"{path}/figures").orderBy("position").collect()  # one per feature
+    model = DefaultParamsReader.loadParamsInstance(f"{path}/model", spark)
+    return Fitted({r.feature: (r.median, r.mean, r.deviation) for r in rows}, model)

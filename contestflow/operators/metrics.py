@@ -61,14 +61,15 @@ def mcnemar(b: Column, c: Column) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * walked["total"]))
 
 
-def bootstrap(df: DataFrame, value: str, position: str, replicates: int, seed: int, groups: Sequence[str] = ()) -> DataFrame:
-    """mean, lo, hi: percentile interval of the resampled mean.
+def bootstrap(df: DataFrame, value: str, position: str, replicates: int, seed: int, groups: Sequence[str] = (), least: int = 30) -> DataFrame:
+    """lo, hi, replicates: percentile interval of the resampled mean; groups under ``least`` rows
+    are left out.
 
     ``position`` numbers the rows of a group from 0. Each replicate draws positions by hash, so
     replicates run in parallel and agree in every engine; the join is on the drawn position.
     """
     numbered = df.select(*groups, F.col(position).alias("_i"), F.col(value).alias("_x"))
-    sizes = numbered.groupBy(*groups).agg(F.count("*").alias("_n"))
+    sizes = numbered.groupBy(*groups).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
     drawn = numbered.join(sizes, list(groups)) if groups else numbered.crossJoin(F.broadcast(sizes))
     drawn = drawn.select(*groups, "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep"))
     drawn = drawn.withColumn("_at", hash_draw(seed, F.col("_rep"), F.col("_i"), F.col("_n")))

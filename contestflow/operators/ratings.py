@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.tables import written
+from .temporal import ordered_index
 
 #: Games of one pool that one task replays.
 SLICE = 50_000
@@ -71,20 +72,9 @@ COLUMNS = ("pool", "date", "gameid", "blue", "red", "blue_region", "red_region",
 
 
 def sliced(games: DataFrame, size: int) -> DataFrame:
-    """Games with ``slice``: their position in the pool's order of (date, gameid) by ``size``.
-
-    Rows are range-partitioned and written once; each part numbers its own rows, and prefix sums
-    over one row per part and pool are added, so no task sees a whole pool.
-    """
-    n = int(games.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["pool", "date", "gameid"]
-    ranged = written(games.select(*COLUMNS).repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranged")
-    earlier = Window.partitionBy("pool").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("pool", "_part").agg(F.count("*").alias("_n"))
-    bases = totals.select("pool", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    own = F.row_number().over(Window.partitionBy("pool", "_part").orderBy("date", "gameid")) - 1
-    placed = ranged.withColumn("_own", own).join(bases, ["pool", "_part"])
-    return written(placed.select(*COLUMNS, F.floor((F.col("_base") + F.col("_own")) / size).cast("int").alias("slice")), "sliced")
+    """Games with ``slice``: their position in the pool's order of (date, gameid) by ``size``."""
+    placed = ordered_index(games.select(*COLUMNS), ["date", "gameid"], "_at", ["pool"])
+    return written(placed.select(*COLUMNS, F.floor((F.col("_at") - 1) / size).cast("int").alias("slice")), "sliced")
 
 
 STATE = "pool string, point int, kind string, name string, rating double"
@@ -138,20 +128,28 @@ def final_ratings(games: DataFrame, ladder: Ladder, size: int | None = None) ->
     return _fold(games, [ladder], lambda pdf, rows, played: pd.DataFrame({"gameid": []}), size)[1].select("pool", "kind", "name", "rating")
 
 
-def grid(games: DataFrame, ladders: Sequence[Ladder], score_from: str | None = None, cross_only: bool = False, size: int | None = None) -> DataFrame:
-    """Mean log-loss of every ladder over all pools, best first; ties go to the earlier one."""
+def grid(games: DataFrame, ladders: Sequence[Ladder], score_before: str | None = None, cross_only: bool = False, size: int | None = None) -> DataFrame:
+    """Mean log-loss of every ladder over all pools, with its place ``best`` (1 is the least loss;
+    ties go to the earlier point).
+
+    All games move ratings; those from ``score_before`` on, and on request those inside a region,
+    count towards no loss, so parameters can be tuned on one period and judged on the next.
+    """
     spark = games.sparkSession
     points = spark.createDataFrame([(i, l.k, l.home, l.beta, -1.0 if l.k_region is None else l.k_region) for i, l in enumerate(ladders)], "point int, k double, home double, beta double, k_region double")
+    until = None if score_before is None else pd.Timestamp(score_before)
 
     def tell(pdf, rows, played):
         import math
 
         loss, n = 0.0, 0
-        for (p, _), row in zip(played, rows, strict=True):
-            if row[4] or not cross_only:
+        for (p, _), row, date in zip(played, rows, pdf["date"], strict=True):
+            if (row[4] or not cross_only) and (until is None or date < until):
                 p = min(max(p, 1e-15), 1 - 1e-15)
                 loss, n = loss - math.log(p if row[5] else 1 - p), n + 1
         return pd.DataFrame({"p": [loss], "gameid": [n]})
 
     sums = _fold(games, ladders, tell, size)[0].groupBy("point").agg(F.sum("p").alias("loss"), F.sum("gameid").alias("games"))
-    return sums.join(F.broadcast(points), "point").select("point", "k", "home", "beta", "k_region", "games", (F.col("loss") / F.col("games")).alias("log_loss"))
+    scored = sums.join(F.broadcast(points), "point").select("point", "k", "home", "beta", "k_region", "games", (F.col("loss") / F.col("games")).alias("log_loss"))
+    order = Window.orderBy(F.round("log_loss", 9), "point")  # one row per point of the grid, a parameter
+    return scored.withColumn("best", F.row_number().over(order).cast("long"))

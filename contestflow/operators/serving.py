@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import difflib
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 class RequestError(ValueError):
@@ -37,6 +42,48 @@ def resolve(requests: DataFrame, catalog: DataFrame, known: DataFrame, name: str
     return j.select("asked", how.alias("how"), F.coalesce(found, F.when(F.col("outside").isNull(), F.col("nearest"))).alias("resolved"))
 
 
+@F.pandas_udf(DoubleType())
+def _alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Share of matching characters of two names, as close-match searches rate it."""
+    for a, b in batches:
+        yield pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def suggest(requests: DataFrame, catalog: DataFrame, name: str = "name", most: int = 5, least: float = 0.6) -> DataFrame:
+    """asked, suggestions: up to ``most`` catalogue names that are alike by ``least`` or more, best
+    first (ties: the greater name), for asked names that the catalogue lacks in any case.
+
+    Requests are few and are the broadcast side; names are null-free on both sides.
+    """
+    asked = F.broadcast(requests.select(F.trim(name).alias("asked")).distinct())
+    pairs = catalog.select(F.col(name).alias("n")).distinct().crossJoin(asked).withColumn("_ratio", _alike("n", "asked"))
+    ranked = pairs.filter(F.col("_ratio") >= least).groupBy("asked").agg(F.slice(F.sort_array(F.collect_list(F.struct("_ratio", "n")), asc=False), 1, most).alias("best"))
+    served = pairs.filter(F.lower("n") == F.lower("asked")).select("asked").distinct()
+    missing = requests.select(F.trim(name).alias("asked")).distinct().join(served, "asked", "left_anti")
+    return missing.join(ranked, "asked", "left").select("asked", F.coalesce(F.array_join(F.transform("best", lambda x: x["n"]), ", "), F.lit("")).alias("suggestions"))
+
+
+def parse_overrides(items: DataFrame, roles: Sequence[str], item: str = "item") -> DataFrame:
+    """item, team, position, player, refused of texts ``team:role=player``.
+
+    The first colon and the first equals sign part the text; roles are compared in upper case.
+    Texts without ``role=`` and those of unknown roles are refused and name nobody; a null text is
+    refused, too.
+    """
+    rest = F.regexp_replace(F.coalesce(item, F.lit("")), "^[^:]*:", "")
+    at = F.instr(rest, "=")
+    role = F.upper(F.trim(F.substring_index(rest, "=", 1)))
+    refused = F.when(at == 0, "no role=player").when(~role.isin(*roles), "unknown role")
+    parts = {"team": F.trim(F.substring_index(item, ":", 1)), "position": role, "player": F.trim(F.regexp_replace(rest, "(?s)^[^=]*=", ""))}
+    return items.select(item, *[F.when(refused.isNull(), c).alias(n) for n, c in parts.items()], refused.alias("refused"))
+
+
+def completeness(rosters: DataFrame, roles: Sequence[str]) -> DataFrame:
+    """team, filled, complete: whether every role of a team's roster has a player."""
+    filled = F.countDistinct(F.when(F.col("player").isNotNull() & F.col("position").isin(*roles), F.col("position")))
+    return rosters.groupBy("team").agg(filled.alias("filled"), (filled == len(roles)).alias("complete"))
+
+
 def with_default(df: DataFrame, state: DataFrame, key: str, base: float = 1500.0, into: str = "rating") -> DataFrame:
     """Saved rating of each row's member; unseen members have the base."""
     s = state.select(F.col("name").alias(key), F.col("rating").alias("_r"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import written
 
 def trailing_mean(df: DataFrame, columns: Sequence[str], entity: Sequence[str], order: Sequence[str], window: int, least: int, prefix: str = "roll_") -> DataFrame:
     """Mean of the last ``window`` earlier rows; null below ``least`` non-null values. One sort for all."""
@@ -50,38 +51,44 @@ def overlap_with_previous(df: DataFrame, members: Column, entity: Sequence[str],
     return df.withColumn(into, F.when(F.col("_before").isNotNull(), F.size(F.array_intersect("_members", "_before")).cast("long"))).drop("_members", "_before")
 
 
-def ordered_index(df: DataFrame, bucket: Column, order: Sequence[str], into: str = "seq") -> DataFrame:
-    """Dense position (from 1) in a global order whose first key falls into ``bucket``s.
+def ordered_index(df: DataFrame, order: Sequence[str], into: str = "seq", groups: Sequence[str] = ()) -> DataFrame:
+    """Dense position (from 1) in the order of each group, or of all rows."""
+    return running(df, order, {into: F.lit(1)}, "long", groups)
 
-    Bucket counts are pre-aggregated and summed up in a table of one row per bucket; rows are
-    numbered inside their bucket. Unlike one unpartitioned window, no task sees all rows.
-    """
-    return running(df, bucket, order, {into: (F.lit(1), "sum")}, "long")
 
+def running(df: DataFrame, order: Sequence[str], sums: dict[str, Column], kind: str = "double", groups: Sequence[str] = ()) -> DataFrame:
+    """Running sums (the row included) in ``order``, over all rows or per group.
 
-def running(df: DataFrame, bucket: Column, order: Sequence[str], sums: dict, kind: str = "double") -> DataFrame:
-    """Running sums (the row included) over a global order, by buckets of its first key."""
-    keyed = df.withColumns({"_bucket": bucket, **{f"_v_{k}": v[0] for k, v in sums.items()}})
-    totals = keyed.groupBy("_bucket").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("_bucket", *[F.coalesce(F.sum(f"_t_{k}").over(earlier), F.lit(0)).alias(f"_b_{k}") for k in sums])
-    inside = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = keyed.withColumns({f"_s_{k}": F.sum(f"_v_{k}").over(inside) for k in sums}).join(bases, "_bucket")
+    Rows are range-partitioned by group and order and written once, which fixes the parts; each
+    part has its own running sums, and prefix sums over the parts' totals (one row per part and
+    group) are added. Parts follow the data, so neither a long group nor a busy month meets in
+    one task. Groups hold no nulls; values of nulls add nothing.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumns({f"_v_{k}": F.coalesce(v, F.lit(0)) for k, v in sums.items()})
+    parts = written(keyed.repartitionByRange(n, *groups, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    keys = [*groups, "_part"]
+    totals = parts.groupBy(*keys).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
+    earlier = (Window.partitionBy(*groups) if groups else Window.partitionBy()).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(*keys, *[F.coalesce(F.sum(f"_t_{k}").over(earlier), F.lit(0)).alias(f"_b_{k}") for k in sums])
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = parts.withColumns({f"_s_{k}": F.sum(f"_v_{k}").over(inside) for k in sums}).join(bases, keys)
     return out.select(*df.columns, *[(F.col(f"_s_{k}") + F.col(f"_b_{k}")).cast(kind).alias(k) for k in sums])
 
 
 def average_rank(df: DataFrame, score: str, groups: Sequence[str] = (), into: str = "rank") -> DataFrame:
-    """Rank from 1 with ties at their mean, by a count of each distinct score."""
+    """Rank from 1 with ties at their mean: prefix sums over the counts of the distinct scores."""
     counts = df.groupBy(*groups, score).agg(F.count("*").alias("_n"))
-    upto = (Window.partitionBy(*groups) if groups else Window.partitionBy()).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn(into, F.sum("_n").over(upto) - (F.col("_n") - 1) / 2.0)
-    return df.join(ranked.drop("_n"), [*groups, score])
+    upto = running(counts, [score], {"_upto": F.col("_n")}, "long", groups)
+    ranked = upto.select(*groups, score, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(into))
+    return df.join(ranked, [*groups, score])
 
 
-def split_by_position(df: DataFrame, bucket: Column, order: Sequence[str], fraction: float, into: str = "is_train") -> DataFrame:
+def split_by_position(df: DataFrame, order: Sequence[str], fraction: float, into: str = "is_train") -> DataFrame:
     """True for the first ``int(n * fraction)`` rows of the global order."""
-    cut = df.agg(F.floor(F.count("*") * F.lit(fraction)).alias("_cut"))
-    return ordered_index(df, bucket, order).crossJoin(F.broadcast(cut)).withColumn(into, F.col("seq") <= F.col("_cut")).drop("_cut")
+    indexed = ordered_index(df, order)
+    cut = indexed.agg(F.floor(F.count("*") * F.lit(fraction)).alias("_cut"))
+    return indexed.crossJoin(F.broadcast(cut)).withColumn(into, F.col("seq") <= F.col("_cut")).drop("_cut")
 
 
 def latest(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], into: str) -> DataFrame:

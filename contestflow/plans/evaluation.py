@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
@@ -10,19 +11,27 @@ from ..functions import exprs as X
 from ..operators import learn, metrics, serving
 from ..operators import ratings as R
 from ..operators import temporal as T
+from ..sources.tables import written
 from ..streaming.replay import replay_stream
 from . import features as Q
 from . import matchmodel as M
 
 TEAM, PLAYER = R.Ladder(), R.Ladder(k=24.0, home=20.0)
+PLAYER_RA = R.Ladder(k=24.0, home=20.0, beta=1.0, k_region=8.0)
 REGION = R.Ladder(k=40.0, home=20.0, beta=1.0, k_region=8.0)
-GRID = [R.Ladder(k=float(k), home=float(h)) for k in (8, 16, 24, 32) for h in (0, 20, 40)]
-REGION_GRID = [R.Ladder(k=40.0, home=20.0, beta=b, k_region=float(k)) for b in (0.5, 1.0) for k in (8, 16, 32)]
-REPLICATES = 50
+#: The points that are searched, in this order.
+GRID = [R.Ladder(k=float(k), home=float(h)) for k in (12, 16, 20, 24, 28, 32, 40, 48, 64) for h in (0, 10, 20, 30, 40)]
+REGION_GRID = [R.Ladder(k=40.0, home=20.0, beta=b, k_region=float(k)) for b in (0.0, 0.25, 0.5, 0.75, 1.0, 1.25, 1.5) for k in (8, 16, 24, 32, 48)]
+#: Region parameters are chosen on games before this day.
+TUNED_BEFORE = "2000-01-01"
+REPLICATES, LEAST_GROUP = 200, 30
 
 
-def fold_sql(ladder: R.Ladder, by_player: bool = False, name: str = "elo") -> str:
-    """The replay as a recursive query that carries a map of ratings per pool."""
+def fold_sql(ladder: R.Ladder | SimpleNamespace, by_player: bool = False, name: str = "elo", points: str = "") -> str:
+    """The replay as a recursive query that carries a map of ratings per pool.
+
+    With ``points``, a table of parameters, each pool is replayed for each of its rows.
+    """
     blue, red = ("list_transform(blue_lineup, lambda x: x::VARCHAR)", "list_transform(red_lineup, lambda x: x::VARCHAR)") if by_player else ("[blue_team]", "[red_team]")
     anchored = ladder.k_region is not None
     term = f"+ {ladder.beta} * (coalesce(g[{{0}}], {ladder.base}) - {ladder.base})" if anchored else ""
@@ -30,7 +39,7 @@ def fold_sql(ladder: R.Ladder, by_player: bool = False, name: str = "elo") -> st
     moves = "NOT cross_region" if anchored else "true"
     sign = "(CASE WHEN list_contains({0}, x) THEN 1.0 ELSE 0.0 END - CASE WHEN list_contains({1}, x) THEN 1.0 ELSE 0.0 END)"
     return f"""
-{name}_seq AS (SELECT pool, gameid, {blue} AS blue, {red} AS red, blue_region, red_region, cross_region, target, row_number() OVER (PARTITION BY pool ORDER BY date, gameid) AS i FROM games),
+{name}_seq AS (SELECT {"pool || '#' || point AS pool, k, home, beta, k_region" if points else "pool"}, gameid, {blue} AS blue, {red} AS red, blue_region, red_region, cross_region, target, row_number() OVER (PARTITION BY {"point, " * bool(points)}pool ORDER BY date, gameid) AS i FROM games{", " * bool(points)}{points}),
 {name}(pool, i, gameid, p, diff, target, m, g) AS (
   SELECT pool, 0::BIGINT, NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::INTEGER, MAP([]::VARCHAR[], []::DOUBLE[]), MAP([]::VARCHAR[], []::DOUBLE[]) FROM (SELECT DISTINCT pool FROM {name}_seq)
   UNION ALL
@@ -76,7 +85,7 @@ COUNTS = "counts AS (SELECT pool, team AS name, count(*) AS games FROM (SELECT p
 
 def elo_leaderboard(spark, d):
     """Ten best per pool set: final rating of teams with 10 games or more in the pool."""
-    g = M.stream(spark, d)
+    g = written(M.stream(spark, d), "games")
     n = g.select("pool", F.explode(F.array("blue_team", "red_team")).alias("name")).groupBy("pool", "name").agg(F.count("*").alias("games"))
     final = R.final_ratings(M.ladder_games(g), TEAM).filter("kind = 'member'")
     return final.join(n, ["pool", "name"]).filter("games >= 10").select("pool", "name", F.round("rating", 4).alias("rating"), "games").orderBy(F.desc("rating"), "pool", "name").limit(10)
@@ -87,26 +96,31 @@ def region_rank(spark, d):
     return f.groupBy("name").agg(F.round(F.avg("rating"), 4).alias("rating"), F.count("*").alias("pools"))
 
 
-def _grid(ladders, cross):
+def _grid(ladders, cross, before=None):
     def query(spark, d):
-        g = R.grid(_games(spark, d), ladders, cross_only=cross)
-        return g.select("point", "k", "home", "beta", F.round("k_region", 1).alias("k_region"), "games", F.round("log_loss", 6).alias("log_loss"))
+        g = R.grid(_games(spark, d), ladders, score_before=before, cross_only=cross)
+        return g.select("point", "k", "home", "beta", "k_region", "games", F.round("log_loss", 6).alias("log_loss"), "best")
 
-    parts, picks = [], []
-    for i, x in enumerate(ladders):
-        parts.append(fold_sql(x, name=f"e{i}").strip())
-        loss = f"-avg(ln(greatest(least(CASE WHEN e.target = 1 THEN p ELSE 1 - p END, 1 - 1e-15), 1e-15)))"
-        only = "AND games.cross_region" if cross else ""
-        picks.append(f"SELECT {i} AS point, {x.k}::DOUBLE AS k, {x.home}::DOUBLE AS home, {x.beta}::DOUBLE AS beta, {-1.0 if x.k_region is None else x.k_region}::DOUBLE AS k_region, count(*) AS games, round({loss}, 6) AS log_loss FROM e{i} e JOIN games USING (gameid) WHERE i > 0 {only}")
-    return query, M.sql(" UNION ALL ".join(picks), *parts, recursive=True)
+    values = ", ".join(f"({i}, {x.k}::DOUBLE, {x.home}::DOUBLE, {x.beta}::DOUBLE, {-1.0 if x.k_region is None else x.k_region}::DOUBLE)" for i, x in enumerate(ladders))
+    named = SimpleNamespace(k="k", home="home", beta="beta", base=R.Ladder.base, k_region="k_region" if cross else None)
+    only = " AND games.cross_region" * cross + (f" AND games.date < TIMESTAMP '{before}'" if before else "")
+    loss = "-avg(ln(greatest(least(CASE WHEN e.target = 1 THEN p ELSE 1 - p END, 1 - 1e-15), 1e-15)))"
+    body = f"""SELECT point, k, home, beta, k_region, n AS games, round(loss, 6) AS log_loss, row_number() OVER (ORDER BY round(loss, 9), point) AS best
+FROM (SELECT split_part(e.pool, '#', 2)::INTEGER AS point, count(*) AS n, {loss} AS loss FROM e JOIN games USING (gameid) WHERE i > 0{only} GROUP BY 1) JOIN points USING (point)"""
+    points = f"points AS (SELECT * FROM (VALUES {values}) v(point, k, home, beta, k_region))"
+    return query, M.sql(body, points, fold_sql(named, name="e", points="points").strip(), recursive=True)
 
 
-def scored(spark, d):
-    """Games with the team model's p, the player model's q and the report's columns."""
-    g = Q.bucketed(M.stream(spark, d))
+def scored(spark, d, keep=lambda g: g):
+    """Games with the team model's p, the player model's q and the report's columns.
+
+    All games are rated; ``keep`` says which of them are reported. The stream is built and
+    written once, and read by both replays and the report.
+    """
+    g = written(Q.bucketed(M.stream(spark, d)), "games")
     p = R.replay(M.ladder_games(g), TEAM).select("gameid", "p")
     q = R.replay(M.ladder_games(g, True), PLAYER).select("gameid", F.col("p").alias("q"))
-    return g.join(p, "gameid").join(q, "gameid")
+    return keep(g).join(p, "gameid").join(q, "gameid")
 
 
 SCORED = (
@@ -184,14 +198,14 @@ FROM (SELECT bucket, count(*) FILTER ((p >= 0.5) = (target = 1) AND (q >= 0.5) <
 
 
 def _numbered(s):
-    w = T.Window.partitionBy("bucket").orderBy("date", "gameid")
-    return s.withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
+    """Rows with their position from 0 in the order of their bucket."""
+    return T.ordered_index(s, ["date", "gameid"], "pos", ["bucket"]).withColumn("pos", F.col("pos") - 1)
 
 
 def _boot(value):
     def query(spark, d):
         s = _numbered(scored(spark, d)).withColumn("x", value)
-        b = metrics.bootstrap(s, "x", "pos", REPLICATES, 42, ["bucket"])
+        b = metrics.bootstrap(s, "x", "pos", REPLICATES, 42, ["bucket"], LEAST_GROUP)
         m = s.groupBy("bucket").agg(F.avg("x").alias("mean"))
         out = m.join(b, "bucket").withColumn("significant", (F.col("lo") > 0) | (F.col("hi") < 0))
         return _rounded(out)
@@ -203,49 +217,53 @@ def _boot_sql(value):
     return _sql(
         "SELECT bucket, round(mean, 6) AS mean, round(quantile_cont(bm, 0.025), 6) AS lo, round(quantile_cont(bm, 0.975), 6) AS hi, count(*) AS replicates, quantile_cont(bm, 0.025) > 0 OR quantile_cont(bm, 0.975) < 0 AS significant FROM bmeans JOIN (SELECT bucket, avg(x) AS mean FROM numbered GROUP BY bucket) USING (bucket) GROUP BY bucket, mean",
         f"numbered AS (SELECT *, {value} AS x, row_number() OVER (PARTITION BY bucket ORDER BY date, gameid) - 1 AS pos, count(*) OVER (PARTITION BY bucket) AS n FROM scored)",
-        f"draws AS (SELECT bucket, rep, ('0x' || substring(md5('42|' || rep || '|' || pos), 1, 13))::BIGINT % n AS at FROM numbered, range({REPLICATES}) r(rep))",
+        f"draws AS (SELECT bucket, rep, ('0x' || substring(md5('42|' || rep || '|' || pos), 1, 13))::BIGINT % n AS at FROM numbered, range({REPLICATES}) r(rep) WHERE n >= {LEAST_GROUP})",
         "bmeans AS (SELECT d.bucket, rep, avg(x) AS bm FROM draws d JOIN numbered b ON b.bucket = d.bucket AND b.pos = d.at GROUP BY d.bucket, rep)",
     )
 
 
 def cumulative_accuracy(spark, d):
-    """Running accuracy and loss after each game, by months of a global order."""
+    """Running accuracy and loss after each game of the global order."""
     s = scored(spark, d)
     hit = ((F.col("p") >= 0.5) == (F.col("target") == 1)).cast("double")
-    out = T.running(s, Q.month(), ["date", "gameid"], {"i": (F.lit(1.0), "sum"), "hits": (hit, "sum"), "losses": (X.log_loss(F.col("target"), F.col("p")), "sum")})
+    out = T.running(s, ["date", "gameid"], {"i": F.lit(1.0), "hits": hit, "losses": X.log_loss(F.col("target"), F.col("p"))})
     return out.select("gameid", F.col("i").cast("long").alias("i"), F.round(F.col("hits") / F.col("i"), 6).alias("cum_acc"), F.round(F.col("losses") / F.col("i"), 6).alias("cum_log_loss"))
 
 
 CUMULATIVE_SQL = f"SELECT gameid, row_number() OVER w AS i, round(avg(CASE WHEN (p >= 0.5) = (target = 1) THEN 1.0 ELSE 0.0 END) OVER w, 6)::DOUBLE AS cum_acc, round(avg({_LOSS.format('p')}) OVER w, 6) AS cum_log_loss FROM scored WINDOW w AS (ORDER BY date, gameid ROWS UNBOUNDED PRECEDING)"
 
 
-def _season(s):
-    """Games of the last season between teams of major regions."""
-    last = s.agg(F.max(F.year("date")).alias("_y"))
-    return s.crossJoin(F.broadcast(last)).filter((F.year("date") == F.col("_y")) & X.is_major(F.col("blue_league"), M.MAJOR) & X.is_major(F.col("red_league"), M.MAJOR)).drop("_y")
+def _season(spark, d):
+    """Scored games of the last season between teams of major regions."""
+
+    def keep(g):
+        last = g.agg(F.max(F.year("date")).alias("_y"))
+        return g.crossJoin(F.broadcast(last)).filter((F.year("date") == F.col("_y")) & X.is_major(F.col("blue_league"), M.MAJOR) & X.is_major(F.col("red_league"), M.MAJOR)).drop("_y")
+
+    return scored(spark, d, keep)
 
 
 SEASON = "season AS (SELECT * FROM scored WHERE year(date) = (SELECT max(year(date)) FROM scored) AND blue_league IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE') AND red_league IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE'))"
 
 
 def season_summary(spark, d):
-    return _points(_season(scored(spark, d)))
+    return _points(_season(spark, d))
 
 
 def season_by_league(spark, d):
-    return _points(_season(scored(spark, d)), "blue_league").filter("n >= 10")
+    return _points(_season(spark, d), "blue_league").filter("n >= 10")
 
 
 def season_timeline(spark, d):
-    s = _season(scored(spark, d))
+    s = _season(spark, d)
     hit = ((F.col("p") >= 0.5) == (F.col("target") == 1)).cast("double")
-    out = T.running(s, Q.month(), ["date", "gameid"], {"i": (F.lit(1.0), "sum"), "hits": (hit, "sum")})
+    out = T.running(s, ["date", "gameid"], {"i": F.lit(1.0), "hits": hit})
     return out.select(F.col("i").cast("long").alias("i"), F.date_format("date", "yyyy-MM-dd").alias("day"), F.round(F.col("hits") / F.col("i"), 6).alias("cum_acc"))
 
 
 def recent_games_log(spark, d):
     """The newest 150 games of the season."""
-    s = _season(scored(spark, d)).orderBy(F.desc("date"), F.desc("gameid")).limit(150)
+    s = _season(spark, d).orderBy(F.desc("date"), F.desc("gameid")).limit(150)
     return s.select("gameid", F.date_format("date", "yyyy-MM-dd").alias("day"), "blue_team", "red_team", F.round("p", 4).alias("p"), F.when(F.col("p") >= 0.5, F.col("blue_team")).otherwise(F.col("red_team")).alias("predicted"), ((F.col("p") >= 0.5) == (F.col("target") == 1)).alias("correct"))
 
 
@@ -289,7 +307,7 @@ def matchup_features(spark, d):
     """
     serving.check_request("Brand#11", "Brand#12", 10)
     form = Q.recent_form(spark, d)
-    g = _games(spark, d, True)
+    g = written(_games(spark, d, True), "games")
     last = g.agg(F.max("pool").alias("pool"))
     final = R.final_ratings(g.join(F.broadcast(last), "pool", "left_semi"), PLAYER).filter("kind = 'member'").select(F.col("name").cast("long").alias("name"), "rating")
     rows = serving.with_default(Q.latest_roster(spark, d).join(form, "player", "left"), final, "player")
@@ -304,56 +322,220 @@ MATCHUP_SQL = M.sql(
     recursive=True,
 )
 
-FEATURES = ["diff_roll_revenue", "diff_roll_avg_quantity", "min_continuity", "elo"]
-SETS = {"stats": FEATURES[:3], "rating": FEATURES[3:], "combined": FEATURES}
+STATS = ["diff_roll_revenue", "diff_roll_avg_quantity", "min_continuity", *[f"diff_{r}_{c}" for r in M.ROLES for c in ("roll_quantity", "roll_price", "career")]]
+RATINGS = ["elo", "pelo", "relo", "pelo_ra"]
+FEATURES = [*STATS, "pelo", "relo"]
+#: The ablation: stats alone, with player ratings, with region ratings, with anchored player ratings, with all.
+SETS = {"stats": STATS, "full": [*STATS, "pelo"], "combined": FEATURES, "anchored": [*STATS, "pelo_ra", "relo"], "both": [*STATS, "pelo", "pelo_ra", "relo"]}
+LADDERS = {"elo": (TEAM, False), "pelo": (PLAYER, True), "relo": (REGION, False), "pelo_ra": (PLAYER_RA, True)}
+ROUNDS = 50
 
 
-def _model_frame(spark, d):
-    elo = R.replay(_games(spark, d), TEAM).select("gameid", F.col("diff").alias("elo"))
-    return Q.features(spark, d).select("gameid", F.col("blue_date").alias("date"), *FEATURES[:3], "target").join(elo, "gameid")
+def model_frame(spark, d):
+    """Written rows of (gameid, date, stats, ratings, target), one per game; stats of unknown form are null."""
+    g = written(M.stream(spark, d), "games")
+    f = Q.features(spark, d).join(Q.role_differences(spark, d), "gameid", "left").select("gameid", F.col("blue_date").alias("date"), *STATS, "target")
+    for name, (ladder, by_player) in LADDERS.items():
+        f = f.join(R.replay(M.ladder_games(g, by_player), ladder).select("gameid", F.col("diff").alias(name)), "gameid")
+    return written(f, "model-frame")
 
 
 def _holdout(spark, d):
-    s = T.split_by_position(_model_frame(spark, d), Q.month(), ["date", "gameid"], 0.8).drop("seq").cache()
+    """The first 80 percent of the games and the rest. Fitting is a driver action by nature: it
+    runs while the query is built and reads the written frame."""
+    s = T.split_by_position(model_frame(spark, d), ["date", "gameid"], 0.8).drop("seq")
     return s.filter("is_train").drop("is_train"), s.filter("not is_train").drop("is_train")
 
 
 def logreg_holdout(spark, d):
     """Ablation: each set of features fitted on the first 80 percent and scored on the rest."""
     train, test = _holdout(spark, d)
-    out = None
+    n, out = train.count(), None
     for name, columns in SETS.items():
-        score, _ = learn.fit(train, columns, learn.logistic(train.count()))
-        row = _points(score(test)).select(F.lit(name).alias("features"), "*")
+        row = _points(learn.fit(train, columns, learn.logistic(n)).score(test)).select(F.lit(name).alias("features"), "*")
         out = row if out is None else out.union(row)
     return out
 
 
 def gbt_holdout(spark, d):
     train, test = _holdout(spark, d)
-    score, _ = learn.fit(train, FEATURES, learn.boosted(20))
-    return _points(score(test))
+    return _points(learn.fit(train, FEATURES, learn.boosted(ROUNDS)).score(test))
 
 
 def feature_importance(spark, d):
     train, _ = _holdout(spark, d)
-    _, weights = learn.fit(train, FEATURES, learn.boosted(20))
-    return spark.createDataFrame(weights, "feature string, importance double")
+    return spark.createDataFrame(learn.fit(train, FEATURES, learn.boosted(ROUNDS)).weights(), "feature string, importance double")
 
 
 def walk_forward(spark, d):
     """Train on everything before the last season, score the season."""
-    f = _model_frame(spark, d)
+    f = model_frame(spark, d)
     start = f.agg(F.max(F.year("date"))).first()[0]
-    score, _ = learn.fit(f.filter(F.year("date") < start), FEATURES, learn.logistic(f.count()))
-    return _points(score(f.filter(F.year("date") == start)))
+    train = f.filter(F.year("date") < start)
+    return _points(learn.fit(train, FEATURES, learn.logistic(train.count())).score(f.filter(F.year("date") == start)))
+
+
+def split_counts(spark, d):
+    """Sizes and base rates of the holdout's two parts, which its fits rest on."""
+    train, test = _holdout(spark, d)
+    both = train.withColumn("part", F.lit("train")).union(test.withColumn("part", F.lit("test")))
+    return both.groupBy("part").agg(F.count("*").alias("n"), F.round(F.avg(F.col("target").cast("double")), 6).alias("base_rate"), F.count("diff_A_roll_quantity").alias("with_form"))
+
+
+SPLIT_COUNTS_SQL = M.sql(
+    "SELECT CASE WHEN seq <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS part, count(*) AS n, round(avg(target), 6) AS base_rate, count(f) AS with_form FROM (SELECT games.*, b.roll_quantity - r.roll_quantity AS f, row_number() OVER (ORDER BY games.date, games.gameid) AS seq, count(*) OVER () AS n"
+    " FROM games LEFT JOIN w b ON b.gameid = games.gameid AND b.side = 'Blue' AND b.position = 'A' LEFT JOIN w r ON r.gameid = games.gameid AND r.side = 'Red' AND r.position = 'A') GROUP BY 1",
+    Q._PLAYER_SQL.strip(),
+)
+
+
+def final_model(spark, d):
+    """Holdout figures, then the model refitted on all games, stored and loaded again."""
+    f = model_frame(spark, d)
+    s = T.split_by_position(f, ["date", "gameid"], 0.8)
+    train = s.filter("is_train")
+    held = _points(learn.fit(train, FEATURES, learn.logistic(train.count())).score(s.filter("not is_train").drop("seq", "is_train")))
+    n = f.count()
+    fitted = learn.fit(f, FEATURES, learn.logistic(n))
+    path = f"{M.shared(spark)}/model-{uuid.uuid4().hex}"
+    learn.save(fitted, path)
+    return held, learn.load(spark, path), n
+
+
+def refit_model(spark, d):
+    """Holdout figures beside those of the loaded refit on all games (seen in its training)."""
+    held, model, n = final_model(spark, d)
+    return held.select(F.lit("holdout").alias("model"), "*").union(_points(model.score(model_frame(spark, d))).select(F.lit("refit").alias("model"), "*"))
+
+
+MATCHUPS = (("Brand#11", "Brand#12"), ("Brand#23", "Brand#7"), ("brand#5", "Brand#11"))
+
+
+@M.over_history
+def matchup_rows(spark, d, pairs=MATCHUPS, changes=(), window: int = 10):
+    """One row per asked matchup with the model's features, from the state after all games.
+
+    Form and price are means of a player's last ``window`` rows, ratings those after the last game
+    (unseen: the base), continuity is that of a full lineup. ``changes`` are (team, position,
+    player) that replace the roster's; an unknown player has no form and 0 games. Names that are
+    not served, equal names and a window out of bounds raise an error; incomplete rosters give no row.
+    """
+    teams = Q.modal_home_region(spark, d).select(F.col("team").alias("name"))
+    for blue, red in pairs:
+        serving.check_request(blue, red, window)
+    names = spark.createDataFrame([(n,) for p in pairs for n in p], "name string")
+    found = {r.asked: r.resolved for r in serving.resolve(names, teams, teams).filter("how in ('exact', 'case')").collect()}  # at most the asked names
+    if lost := sorted({n.strip() for p in pairs for n in p} - set(found)):
+        raise serving.RequestError(f"not served: {', '.join(lost)}")
+    sides = spark.createDataFrame([(i, side, found[n.strip()]) for i, p in enumerate(pairs) for side, n in zip(("blue", "red"), p, strict=True)], "match int, side string, team string")
+    roster = Q.latest_roster(spark, d).select("team", "position", F.col("player").cast("string").alias("player"))
+    if changes:
+        roster = serving.override(roster, spark.createDataFrame(list(changes), "team string, position string, player string"))
+    p = M.players(spark, d)
+    form = T.recent_form(p, ["player"], ["date", "gameid", "side", "position"], window, ["quantity", "price"]).withColumn("player", F.col("player").cast("string"))
+    g = written(M.stream(spark, d), "games")
+    ended = {name: R.final_ratings(M.ladder_games(g, by), ladder) for name, (ladder, by) in LADDERS.items()}
+
+    def rating(df, name, key, kind="member", into=None):
+        return serving.with_default(df, ended[name].filter(F.col("kind") == kind), key, into=into or name)
+
+    lineup = sides.join(roster, "team").join(form, "player", "left").withColumn("games", F.coalesce("games", F.lit(0)))
+    lineup = rating(rating(lineup, "pelo", "player"), "pelo_ra", "player")
+    roles = [F.max(F.when(F.col("position") == r, F.col(c))).alias(f"{r}_{n}") for r in M.ROLES for n, c in (("roll_quantity", "form_quantity"), ("roll_price", "form_price"), ("career", "games"))]
+    t = M.teams(p)
+    last = T.recent_form(t, ["team"], ["date", "gameid", "side"], window, ["revenue", "avg_quantity"]).select("team", F.col("form_revenue").alias("roll_revenue"), F.col("form_avg_quantity").alias("roll_avg_quantity"))
+    home = Q.modal_home_region(spark, d).withColumn("region", F.when(X.is_major(F.col("home"), M.MAJOR), F.col("home")).otherwise("OTHER")).select("team", "region")
+    each = lineup.groupBy("match", "side", "team").agg(F.avg("pelo").alias("pelo"), F.avg("pelo_ra").alias("pelo_ra"), F.count("*").alias("n_roles"), *roles).join(last, "team").join(home, "team")
+    each = rating(rating(rating(rating(each, "elo", "team"), "relo", "team"), "relo", "region", "region", "at_relo"), "pelo_ra", "region", "region", "at_pelo_ra")
+    each = each.withColumns({"relo": F.col("relo") + REGION.beta * (F.col("at_relo") - REGION.base), "pelo_ra": F.col("pelo_ra") + PLAYER_RA.beta * (F.col("at_pelo_ra") - PLAYER_RA.base)})
+    columns = ["roll_revenue", "roll_avg_quantity", *[f"{r}_{n}" for r in M.ROLES for n in ("roll_quantity", "roll_price", "career")]]
+    both = each.filter("side = 'blue'").select("match", *[F.col(c).alias(f"b_{c}") for c in ("team", "n_roles", *columns, *RATINGS)]).join(each.filter("side = 'red'").select("match", *[F.col(c).alias(f"r_{c}") for c in ("team", "n_roles", *columns, *RATINGS)]), "match")
+    both = both.filter((F.col("b_n_roles") == len(M.ROLES)) & (F.col("r_n_roles") == len(M.ROLES)))  # complete rosters
+    diffs = [(F.col(f"b_{c}") - F.col(f"r_{c}")).alias(c if c in RATINGS else f"diff_{c}") for c in (*columns, *RATINGS)]
+    return both.select("match", F.col("b_team").alias("blue"), F.col("r_team").alias("red"), F.lit(len(M.ROLES)).cast("long").alias("min_continuity"), *diffs)
+
+
+@M.over_history
+def predict_matchup(spark, d):
+    """The stored model's answer to each asked matchup."""
+    model = final_model(spark, d)[1]
+    p = model.score(matchup_rows(spark, d))
+    winner = F.when(F.col("p") >= 0.5, F.col("blue")).otherwise(F.col("red"))
+    return p.select("match", "blue", "red", F.round("elo", 1).alias("elo_diff"), F.round("pelo", 1).alias("pelo_diff"), F.col("p").alias("p_blue"), (1 - F.col("p")).alias("p_red"), winner.alias("winner"), F.greatest("p", 1 - F.col("p")).alias("confidence"))
+
+
+def name_suggest(spark, d):
+    """Up to five served teams whose names are like an asked one that is not served."""
+    h = Q.modal_home_region(spark, d).withColumnRenamed("team", "name")
+    return serving.suggest(spark.createDataFrame([(a,) for a in ASKED], "name string"), h.filter(F.col("home") != "ASIA"))
+
+
+OVERRIDES = ("Brand#11: A = 77", "Brand#11:n=12", "Brand#12:top=5", "Brand#12 no role", "Brand#13:R=", "Brand#13:R=4=5")
+
+
+def roster_overrides(spark, d):
+    """What each ``team:role=player`` asks for, or why it is refused."""
+    return serving.parse_overrides(spark.createDataFrame([(a,) for a in OVERRIDES], "item string"), M.ROLES)
+
+
+OVERRIDE_SQL = f"""
+SELECT item, CASE WHEN ok THEN team END AS team, CASE WHEN ok THEN role END AS position, CASE WHEN ok THEN player END AS player,
+       CASE WHEN eq = 0 THEN 'no role=player' WHEN role NOT IN ({", ".join(f"'{r}'" for r in M.ROLES)}) THEN 'unknown role' END AS refused
+FROM (SELECT *, eq > 0 AND role IN ({", ".join(f"'{r}'" for r in M.ROLES)}) AS ok FROM (
+  SELECT item, strpos(rest, '=') AS eq, trim(team) AS team, upper(trim(substring(rest, 1, strpos(rest, '=') - 1))) AS role, trim(substring(rest, strpos(rest, '=') + 1)) AS player
+  FROM (SELECT item, split_part(item, ':', 1) AS team, CASE WHEN strpos(item, ':') > 0 THEN substring(item, strpos(item, ':') + 1) ELSE item END AS rest
+    FROM (VALUES {", ".join(f"('{o}')" for o in OVERRIDES)}) v(item))))"""
+
+
+def roster_complete(spark, d):
+    """Teams whose latest roster can answer a request: every role has a player."""
+    return serving.completeness(Q.latest_roster(spark, d), M.ROLES)
+
+
+ROSTER_COMPLETE_SQL = M.sql(
+    "SELECT team, count(DISTINCT position) AS filled, count(DISTINCT position) = 3 AS complete FROM (SELECT t.team, p.position FROM players p JOIN teams t USING (gameid, side)) GROUP BY team"
+)
+
+
+def meta_counts(spark, d):
+    """What a server tells about itself: regions and numbers of games, teams and served teams."""
+    g, h = M.stream(spark, d), Q.modal_home_region(spark, d)
+    n = g.agg(F.count("*").alias("games"), F.date_format(F.max("date"), "yyyy-MM-dd").alias("last_day"))
+    teams = h.agg(F.count("*").alias("teams"), F.count(F.when(X.is_major(F.col("home"), M.MAJOR), 1)).alias("supported_teams"))
+    return n.crossJoin(F.broadcast(teams)).withColumn("regions", F.lit(",".join(M.MAJOR)))
+
+
+META_SQL = M.sql(f"SELECT (SELECT count(*) FROM games) AS games, (SELECT strftime(max(date), '%Y-%m-%d') FROM games) AS last_day, count(*) AS teams, count(*) FILTER (home IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE')) AS supported_teams, '{','.join(M.MAJOR)}' AS regions FROM homes")
+
+
+#: Home of the teams whose share is asked for.
+SHARED_HOME = "AMERICA"
+
+
+def share_of_set(spark, d):
+    """Share of games of the event between regions in which a team of a set takes part."""
+    g = M.stream(spark, d).filter((F.col("event") == "1-URGENT") & F.col("cross_region"))
+    members = Q.modal_home_region(spark, d).filter(F.col("home") == SHARED_HOME)
+    for side in ("blue", "red"):
+        g = g.join(members.select(F.col("team").alias(f"{side}_team"), F.lit(True).alias(f"{side}_in")), f"{side}_team", "left")
+    hit = F.coalesce("blue_in", F.lit(False)) | F.coalesce("red_in", F.lit(False))
+    return g.agg(F.count("*").alias("games"), F.round(F.avg(hit.cast("double")), 6).alias("share"))
+
+
+SHARE_SQL = M.sql(f"SELECT count(*) AS games, round(avg(CASE WHEN blue_team IN (SELECT team FROM homes WHERE home = '{SHARED_HOME}') OR red_team IN (SELECT team FROM homes WHERE home = '{SHARED_HOME}') THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS share FROM games WHERE event = '1-URGENT' AND cross_region")
+
+
+def season_lift(spark, d):
+    """Accuracy above the better constant guess, by league, of leagues with ten games or more."""
+    s = season_by_league(spark, d)
+    return s.select("blue_league", "n", F.round(F.col("accuracy") - F.col("baseline") + 1e-9, 4).alias("lift"))
 
 
 QUERIES = {
-    "elo_replay": _rated(TEAM), "player_elo": _rated(PLAYER, True), "region_elo": _rated(REGION), "region_player_elo": _rated(R.Ladder(k=24.0, home=20.0, beta=1.0, k_region=8.0), True),
+    "elo_replay": _rated(TEAM), "player_elo": _rated(PLAYER, True), "region_elo": _rated(REGION), "region_player_elo": _rated(PLAYER_RA, True),
     "elo_diff": (elo_diff, M.sql(f"SELECT gameid, round(diff + {TEAM.home}, 4) AS elo_diff FROM elo WHERE i > 0", fold_sql(TEAM).strip(), recursive=True)),
     "elo_stream": (elo_stream, _rated(TEAM)[1]),
-    "elo_grid": _grid(GRID, False), "region_grid": _grid(REGION_GRID, True),
+    "elo_grid": _grid(GRID, False), "region_grid": _grid(REGION_GRID, True, TUNED_BEFORE),
     "elo_leaderboard": (elo_leaderboard, M.sql("SELECT pool, name, round(rating, 4) AS rating, games FROM finals JOIN counts USING (pool, name) WHERE games >= 10 ORDER BY rating DESC, pool, name LIMIT 10", fold_sql(TEAM).strip(), _final("member", TEAM), COUNTS, recursive=True)),
     "region_rank": (region_rank, M.sql("SELECT name, round(avg(rating), 4) AS rating, count(*) AS pools FROM (SELECT pool, name, rating FROM finals UNION ALL SELECT DISTINCT pool, region, 1500.0 FROM (SELECT pool, blue_region AS region FROM games UNION ALL SELECT pool, red_region FROM games) x WHERE NOT EXISTS (SELECT 1 FROM finals f WHERE f.pool = x.pool AND f.name = x.region)) GROUP BY name", fold_sql(REGION).strip(), _final("region", REGION), recursive=True)),
     "point_metrics": (point_metrics, _sql(f"SELECT {_POINT} FROM scored")),
@@ -370,6 +552,9 @@ QUERIES = {
     "teams_by_region": (teams_by_region, M.sql("SELECT home, string_agg(team, ',' ORDER BY team) AS teams FROM homes GROUP BY home")),
     "team_counts": (team_counts, M.sql("SELECT team, count(*) AS games FROM (SELECT blue_team AS team FROM games UNION ALL SELECT red_team FROM games) GROUP BY team")),
     "name_resolve": (name_resolve, RESOLVE_SQL), "matchup_features": (matchup_features, MATCHUP_SQL),
+    "name_suggest": (name_suggest, None), "roster_overrides": (roster_overrides, OVERRIDE_SQL), "roster_complete": (roster_complete, ROSTER_COMPLETE_SQL), "meta_counts": (meta_counts, META_SQL),
+    "share_of_set": (share_of_set, SHARE_SQL), "season_lift": (season_lift, _sql(f"SELECT blue_league, n, round(accuracy - baseline + 1e-9, 4) AS lift FROM (SELECT blue_league, {_POINT} FROM season GROUP BY 1 HAVING count(*) >= 10)", SEASON)),
+    "split_counts": (split_counts, SPLIT_COUNTS_SQL), "refit_model": (M.over_history(refit_model), None), "predict_matchup": (predict_matchup, None),
     "logreg_holdout": (M.over_history(logreg_holdout), None), "gbt_holdout": (M.over_history(gbt_holdout), None), "feature_importance": (M.over_history(feature_importance), None), "walk_forward": (M.over_history(walk_forward), None),
 }
 #: Registered as NAME_history as well, with ratings that are carried through all games.

@@ -15,10 +15,6 @@ def rounded(c, n):
     return F.round((F.col(c) if isinstance(c, str) else c) + F.lit(10.0 ** -(n + 3)), n)
 
 
-def month():
-    return F.date_trunc("month", F.col("date"))
-
-
 def _events(spark, d):
     return M.table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
 
@@ -149,6 +145,16 @@ def pivot_role_stats(spark, d):
     return stats.select("gameid", "side", *[F.round(c, 6).alias(c) if "roll" in c else F.col(c) for c in stats.columns[2:]])
 
 
+_ROLE_STATS = [f"{r}_{c}" for r in M.ROLES for c in ("roll_quantity", "roll_price", "career")]
+
+
+def role_differences(spark, d):
+    """Blue minus red of every role's trailing means and career games, one row per two-sided game."""
+    stats = P.pivot_first(_player_windows(spark, d), ["gameid", "side"], "position", M.ROLES, ["player"], ["roll_quantity", "roll_price", "career"])
+    g = P.differences(P.pair_sides(stats, "gameid", "side", "Blue", "Red", _ROLE_STATS), _ROLE_STATS)
+    return g.select("gameid", *[F.round(f"diff_{c}", 6).alias(f"diff_{c}") if "roll" in c else F.col(f"diff_{c}") for c in _ROLE_STATS])
+
+
 def _player_windows(spark, d):
     p = M.players(spark, d)
     order = ["date", "gameid", "side", "position"]
@@ -293,7 +299,7 @@ wide AS (SELECT gameid, max(prior) FILTER (s = 0) AS blue_prior, max(prior) FILT
 
 
 def temporal_split(spark, d):
-    s = T.split_by_position(M.stream(spark, d).select("gameid", "date", "target"), month(), ["date", "gameid"], 0.8)
+    s = T.split_by_position(M.stream(spark, d).select("gameid", "date", "target"), ["date", "gameid"], 0.8)
     return s.groupBy("is_train").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"), F.round(F.avg(F.col("target").cast("double")), 6).alias("base_rate"))
 
 
@@ -373,6 +379,11 @@ QUERIES = {
     "modal_home_region": (modal_home_region, M.sql("SELECT team, home FROM homes")),
     "pivot_lineups": (pivot_lineups, M.sql("SELECT gameid, side, " + ", ".join(f"max(player) FILTER (position = '{r}') AS \"{r}_player\"" for r in M.ROLES) + " FROM players GROUP BY gameid, side")),
     "pivot_role_stats": (pivot_role_stats, M.sql(f"SELECT gameid, side, {_PIVOT} FROM w GROUP BY gameid, side", _PLAYER_SQL.strip())),
+    "role_differences": (role_differences, M.sql(
+        "SELECT b.gameid, " + ", ".join(f'round(b."{c}" - r."{c}", 6) AS "diff_{c}"' if "roll" in c else f'b."{c}" - r."{c}" AS "diff_{c}"' for c in _ROLE_STATS) + " FROM pivoted b JOIN pivoted r ON b.gameid = r.gameid AND b.side = 'Blue' AND r.side = 'Red'",
+        _PLAYER_SQL.strip(),
+        "pivoted AS (SELECT gameid, side, " + ", ".join(f"max({c[2:]}) FILTER (position = '{c[0]}') AS \"{c}\"" for c in _ROLE_STATS) + " FROM w GROUP BY gameid, side)",
+    )),
     "trailing_mean_player": (trailing_mean_player, M.sql("SELECT gameid, side, position, player, round(roll_quantity, 6) AS roll_quantity, round(roll_price, 6) AS roll_price, career FROM w", _PLAYER_SQL.strip())),
     "trailing_mean_team": (trailing_mean_team, TEAM_SQL),
     "trailing_mean_events": (trailing_mean_events, EVENT_ROLL_SQL),

@@ -26,6 +26,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder for written tables that driver and executors share."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/tables").rstrip("/")
+
+
 def players(spark: SparkSession, d: str) -> DataFrame:
     """One row per game, side and role."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linestatus", "l_returnflag", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -86,13 +91,13 @@ def ladder_games(g: DataFrame, by_player: bool = False) -> DataFrame:
     return g.select("pool", "date", "gameid", cast[0].alias("blue"), cast[1].alias("red"), "blue_region", "red_region", F.col("cross_region").alias("cross"), "target")
 
 
-def over_history(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def over_history(query: Callable) -> Callable:
     """The query with ratings that are carried through all games in order of (date, gameid)."""
 
-    def run(spark: SparkSession, d: str) -> DataFrame:
+    def run(spark: SparkSession, d: str, *args, **kwargs):
         token = WHOLE.set(True)
         try:
-            return query(spark, d)
+            return query(spark, d, *args, **kwargs)
         finally:
             WHOLE.reset(token)
 

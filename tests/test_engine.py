@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from contestflow.functions import exprs as X
 from contestflow.operators import learn, metrics, pairing, ratings, serving
 from contestflow.operators import temporal as T
-from contestflow.plans import registry
+from contestflow.plans import evaluation, registry
 from contestflow.sources import tables
 from contestflow.streaming.replay import replay_stream
 
@@ -116,10 +116,30 @@ def test_auc_edges(spark):
 
 
 def test_split_by_position(spark):
-    s = T.split_by_position(spark.range(11), (F.col("id") / 3).cast("int"), ["id"], 0.8)
+    s = T.split_by_position(spark.range(11), ["id"], 0.8)
     assert s.filter("is_train").agg(F.max("id"), F.count("*")).first()[:] == (7, 8)
 
 
+def test_running_sums_equal_a_plain_loop(spark):
+    r = random.Random(8)
+    rows = [(k, r.choice("ab"), r.randrange(40), None if k % 7 == 0 else r.randrange(9)) for k in range(500)]
+    df = spark.createDataFrame(rows, "id long, g string, t int, x int").repartition(5)
+    sums, want = {}, {}
+    for k, g, _, x in sorted(rows, key=lambda v: (v[1], v[2], v[0])):
+        n, s = sums.get(g, (0, 0))
+        sums[g] = want[k] = (n + 1, s + (x or 0))
+    out = T.running(df, ["t", "id"], {"n": F.lit(1), "s": F.col("x")}, "long", ["g"])
+    assert {v.id: (v.n, v.s) for v in out.collect()} == want
+    assert [v.seq for v in T.ordered_index(df, ["t", "id"]).orderBy("t", "id").collect()] == list(range(1, 501))
+    assert T.running(df.limit(0), ["t"], {"n": F.lit(1)}).collect() == []
+
+
+def test_bootstrap_leaves_small_groups_out(spark):
+    df = spark.createDataFrame([("big" if k >= 29 else "small", float(k % 3), k - 29 if k >= 29 else k) for k in range(69)], "g string, x double, i long")
+    out = metrics.bootstrap(df, "x", "i", 40, 7, ["g"]).collect()
+    assert [(r.g, r.replicates) for r in out] == [("big", 40)] and out[0].lo <= 1.0 <= out[0].hi
+
+
 def test_elo_golden():
     (p, gap), state = ratings.play([(["a"], ["b"], "x", "x", False, 1)], ratings.Ladder())
     assert abs(p - 0.5287505638922686) < 1e-15 and gap == 0 and state[0] == {"a": 1500 + 24 * (1 - p), "b": 1500 - 24 * (1 - p)}
@@ -151,19 +171,93 @@ def test_stream_equals_batch_and_marks_late_rows(spark, some_games, tmp_path):
 
 
 def test_grid_keeps_the_first_of_ties(some_games):
-    g = ratings.grid(some_games, [ratings.Ladder(k=10.0), ratings.Ladder(k=10.0), ratings.Ladder(k=0.0, home=0.0)]).orderBy("log_loss", "point").collect()
+    g = ratings.grid(some_games, [ratings.Ladder(k=10.0), ratings.Ladder(k=10.0), ratings.Ladder(k=0.0, home=0.0)]).orderBy("best").collect()
     assert [x.games for x in g] == [80] * 3 and abs([x for x in g if x.point == 2][0].log_loss - math.log(2)) < 1e-12
+    assert [x.best for x in g] == [1, 2, 3] and [x.point for x in g if x.point < 2] == [0, 1]
+
 
+def test_grid_scores_games_before_a_day(some_games):
+    ladders = [ratings.Ladder(k=40.0, beta=b, k_region=8.0) for b in (0.0, 1.0)]
+    rows = some_games.orderBy("date").collect()
+    got = ratings.grid(some_games, ladders, score_before="2020-01-03", cross_only=True).orderBy("point").collect()
+    for x, ladder in zip(got, ladders, strict=True):
+        losses = []
+        for pool in ("p0", "p1"):
+            mine = [r for r in rows if r.pool == pool]
+            *out, _ = ratings.play([(r.blue, r.red, r.blue_region, r.red_region, r.cross, r.target) for r in mine], ladder)
+            losses += [-math.log(p if r.target else 1 - p) for (p, _), r in zip(out, mine, strict=True) if r.cross and r.date < dt.datetime(2020, 1, 3)]
+        assert x.games == len(losses) and x.log_loss == pytest.approx(sum(losses) / len(losses))
 
-def test_models(spark):
+
+def test_models(spark, tmp_path):
     r = random.Random(1)
     rows = [(k, x := r.gauss(0, 1), None if k % 9 == 0 else r.gauss(0, 1), None, int(x + r.gauss(0, 0.3) > 0)) for k in range(400)]
     df = spark.createDataFrame(rows, "id long, a double, b double, empty double, target int")
     for estimator in (learn.logistic(400), learn.boosted(5)):
-        score, weights = learn.fit(df, ["a", "b", "empty"], estimator)
-        assert score(df).filter((F.col("p") >= 0.5) == (F.col("target") == 1)).count() > 340 and [w[0] for w in weights] == ["a", "b"]
-    used, figures = learn.prepare(spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,), (None,)], "a double"), ["a"])
-    assert used == ["a"] and figures["a"][0] == 2.5
+        fitted = learn.fit(df, ["a", "b", "empty"], estimator)
+        assert fitted.score(df).filter((F.col("p") >= 0.5) == (F.col("target") == 1)).count() > 340 and [w[0] for w in fitted.weights()] == ["a", "b"]
+        learn.save(fitted, f"file://{tmp_path}/{type(estimator).__name__}")
+        again = learn.load(spark, f"file://{tmp_path}/{type(estimator).__name__}")
+        assert again.figures == fitted.figures and again.weights() == fitted.weights()
+        assert again.score(df).orderBy("id").select("p").collect() == fitted.score(df).orderBy("id").select("p").collect()
+    figures = learn.prepare(spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,), (None,)], "a double"), ["a"])
+    assert list(figures) == ["a"] and figures["a"][0] == 2.5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        learn.load(spark, f"file://{tmp_path}/nothing")
+
+
+def test_logistic_minimises_the_stated_loss(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    x = r.standard_normal((300, 2))
+    y = (x[:, 0] + r.standard_normal(300) > 0).astype(int)
+    df = spark.createDataFrame([(float(a), float(b), int(t)) for (a, b), t in zip(x, y, strict=True)], "a double, b double, target int")
+    fitted = learn.fit(df, ["a", "b"], learn.logistic(300))
+    z = (x - x.mean(0)) / x.std(0)
+
+    def slope(w, c):
+        p = 1 / (1 + np.exp(-(z @ w + c)))
+        return z.T @ (p - y) + w, (p - y).sum()  # the sum of losses plus half the squared norm
+
+    gradient, constant = slope(fitted.model.coefficients.toArray(), fitted.model.intercept)
+    assert np.abs(gradient).max() < 0.02 and abs(constant) < 0.02
+
+
+def test_suggestions_equal_the_library(spark):
+    import difflib
+
+    names = ["Brand#11", "Brand#12", "Brand#21", "brand#13", "Brnd 11", "Zeta", "Brand#111"]
+    asked = ["Brandd#11", " Brand#1 ", "zeta", "nothing like it", "Brand#12"]
+    frames = [spark.createDataFrame([(n,) for n in x], "name string") for x in (asked, names)]
+    want = {a.strip(): ", ".join(difflib.get_close_matches(a.strip(), names, 5, 0.6)) for a in asked if a.strip().lower() not in {n.lower() for n in names}}
+    assert {r.asked: r.suggestions for r in serving.suggest(*frames).collect()} == want
+
+
+def test_overrides_and_complete_rosters(spark):
+    items = ["T1: top = Zeus", "T1:TOP=a=b:c", "T1:nowhere=x", "T1 top", None, "T1:top="]
+    out = serving.parse_overrides(spark.createDataFrame([(i,) for i in items], "item string"), ["TOP", "MID"])
+    assert {r.item: r[1:] for r in out.collect()} == {
+        items[0]: ("T1", "TOP", "Zeus", None), items[1]: ("T1", "TOP", "a=b:c", None), items[2]: (None, None, None, "unknown role"),
+        items[3]: (None, None, None, "no role=player"), None: (None, None, None, "no role=player"), items[5]: ("T1", "TOP", "", None),
+    }
+    rosters = spark.createDataFrame([("a", "TOP", "x"), ("a", "MID", "y"), ("b", "TOP", "x"), ("b", "MID", None)], "team string, position string, player string")
+    assert {r.team: (r.filled, r.complete) for r in serving.completeness(rosters, ["TOP", "MID"]).collect()} == {"a": (2, True), "b": (1, False)}
+
+
+def test_matchups_with_the_model(spark):
+    rows = evaluation.predict_matchup(spark, SF).collect()
+    assert len(rows) == len(evaluation.MATCHUPS)
+    for r in rows:
+        assert r.p_blue + r.p_red == pytest.approx(1) and r.confidence == max(r.p_blue, r.p_red) and r.winner == (r.blue if r.p_blue >= 0.5 else r.red)
+    assert next(r for r in rows if r.match == 2).blue == "Brand#5"
+    with pytest.raises(serving.RequestError):
+        evaluation.matchup_rows(spark, SF, [("Brand#11", "brand#11 ")])
+    with pytest.raises(serving.RequestError, match="Brand#99"):
+        evaluation.matchup_rows(spark, SF, [("Brand#11", "Brand#99")])
+    plain = evaluation.matchup_rows(spark, SF).filter("match = 0").first()
+    new = evaluation.matchup_rows(spark, SF, changes=[("Brand#11", "A", "nobody")]).filter("match = 0").first()
+    assert new.diff_A_roll_quantity is None and new.diff_A_career < plain.diff_A_career and new.diff_N_roll_quantity == plain.diff_N_roll_quantity and new.pelo != plain.pelo
 
 
 def test_serving(spark):

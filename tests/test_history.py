@@ -36,10 +36,10 @@ def test_slices_equal_one_replay(spark, size):
 
 def test_models_see_the_whole_history(spark):
     want, _ = plain(spark, evaluation.TEAM)
-    frame = M.over_history(evaluation._model_frame)(spark, SF)
+    frame = M.over_history(evaluation.model_frame)(spark, SF)
     got = {r.gameid: r.elo for r in frame.collect()}
     assert got and all(v == pytest.approx(want[k][1], abs=1e-9) for k, v in got.items())
-    assert all(registry.QUERIES[k][0].__qualname__.startswith("over_history") for k in ("walk_forward", "logreg_holdout", "gbt_holdout", "feature_importance"))
+    assert all(registry.QUERIES[k][0].__qualname__.startswith("over_history") for k in ("walk_forward", "logreg_holdout", "gbt_holdout", "feature_importance", "refit_model", "predict_matchup"))
 
 
 def test_history_has_one_pool(spark):
