@@ -45,7 +45,9 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     size: words of the text (null: 0); taken: words that the mix takes of it, repeats counted.
     The document at the end of the budget is taken in part. Runs on the same rows agree: order
     depends on doc_id and text alone. Repeated rows are documents of their own; a null source
-    is a source; documents without words take nothing. No rows give no rows.
+    is a source; documents without words take nothing. A long text is counted whole, and its size is
+    all that moves. Equal hashes are told apart by doc_id and then by the row. Other columns are
+    ignored, whatever their names. No rows give no rows.
     """
     key = F.col(row) if row else F.monotonically_increasing_id()
     narrow = docs.select(key.alias("row"), "doc_id", "source", count_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("hash"))

@@ -56,7 +56,7 @@ def cut(encoded: DataFrame, window: int = 2048, with_ids: bool = True) -> DataFr
     totals = encoded.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = totals.select("part", before.alias("base"), F.sum("total").over(Window.partitionBy()).alias("all_tokens"))
-    small = encoded.rdd.getNumPartitions() <= BROADCAST_PARTITIONS
+    small = totals.count() <= BROADCAST_PARTITIONS  # the rows that would be broadcast
     placed = encoded.join(F.broadcast(offsets) if small else offsets, "part").select(
         "doc_id", (F.col("base") + F.col("place")).alias("at"), "n_tokens", "all_tokens", "width", "ids"
     )
@@ -94,7 +94,8 @@ def pack(docs: DataFrame, vocabulary: str = WORD_BPE, end_id: int = 1, window: i
     Every document ends with ``end_id``. Sequences are full but for the last one, which is
     padded to ``window`` unless its fill is a power of two. A null or empty text is the end id
     alone. Rows with a null or repeated doc_id are packed like any other; order follows the
-    input's partitions. No rows give no pieces. Other columns are ignored.
+    input's partitions, so ties cannot arise. A long text is cut into as many pieces as it needs. No
+    rows give no pieces. Other columns are ignored, whatever their names.
     """
     return cut(encode_documents(docs, vocabulary, end_id), window, with_ids)
 

@@ -124,8 +124,9 @@ def judge(docs: DataFrame, rules: Iterable[Rule] = RULES, text: str = "text", pr
     """Add measures, ``base_failed`` and ``kept`` to every row; no row goes.
 
     A null text has no words and fails the base rule, as has an empty one. Repeated rows are
-    judged alike. Columns of the same name as a measure are replaced. ``prefix`` names the
-    added columns apart from those of the input.
+    judged alike, and nothing depends on order. A long text is measured whole, in its row. Columns
+    of the same name as a measure are replaced. ``prefix`` names the added columns apart from those
+    of the input. No rows give no rows.
     """
     longs = ("n_words", "word_chars", "n_symbols", "n_stop_words", "n_repeat_words")
     flat = ("n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines")

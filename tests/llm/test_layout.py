@@ -78,6 +78,14 @@ def test_encoder_equals_the_library(prose, name, spark):
     assert got == [plain_ids(name, t, 0) for t in texts]
 
 
+@pytest.mark.parametrize("name", [tokens.BYTE_BPE, tokens.WORD_BPE])
+def test_long_texts_are_encoded_whole(prose, name, monkeypatch):
+    monkeypatch.setattr(tokens, "LONG", 200)
+    texts = [prose(1, 500), "short", prose(2, 5) + "\u2003" + prose(3, 300), " " * 1000, "x" * 5000]
+    enc = tokens.Encoder(tokens.vocabulary(name))
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts, 7)] == [plain_ids(name, t, 7) for t in texts]
+
+
 def test_packing_round_trip(documents, prose):
     rows = ODD + [(100 + k, prose(k, 300 + 10 * k)) for k in range(20)] + [(500, prose(1, 30000)), (100, prose(0, 300))]
     pieces = packing.pack(documents(rows).repartition(5)).collect()

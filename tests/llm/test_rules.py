@@ -98,6 +98,9 @@ def test_chat_equals_brute_force(spark):
     talk = [("user", f"question {k}") if k % 2 == 0 else ("assistant", f"answer {k}") for k in range(12)]
     held = {10 + n: talk[:n] for n in range(1, 9)} | {30: talk[:8], 31: [*talk[:3], ("assistant", "other")], 40: [("user", None)], 41: [(None, "x")], 42: [("user", "")], 50: talk[1:4]}
     rows = [(c, t, r, x, "extra") for c, ts in held.items() for t, (r, x) in enumerate(ts)] + [(None, 0, "user", "lost", "extra"), (60, None, "user", "a", "e"), (60, 1, "user", "b", "e"), (60, 1, "user", "b", "e")]
+    held[70] = [("user", f"turn {k}") for k in range(3000)]
+    held[71] = held[70][:2999]
+    rows += [(c, t, r, x, "extra") for c in (70, 71) for t, (r, x) in enumerate(held[c])]
     held[60] = [("user", "a"), ("user", "b"), ("user", "b")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, k string")
     norm = {c: [(r or "unknown", x or "") for r, x in ts] for c, ts in held.items()}
