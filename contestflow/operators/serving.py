@@ -22,13 +22,23 @@ def check_request(blue: str, red: str, window: int) -> None:
         raise RequestError("a team cannot meet itself")
 
 
+#: Asked names that are broadcast; more of them are joined like any table.
+FEW = 10_000
+
+
+def _asked(requests: DataFrame, name: str) -> DataFrame:
+    """Distinct asked names, broadcast if their number has been seen to be small."""
+    asked = requests.select(F.trim(name).alias("asked")).distinct()
+    return F.broadcast(asked) if asked.limit(FEW + 1).count() <= FEW else asked
+
+
 def resolve(requests: DataFrame, catalog: DataFrame, known: DataFrame, name: str = "name", close: int = 5) -> DataFrame:
     """How each asked name is understood: exact, else ignoring case, else unsupported (known but
     not in the catalogue), else the nearest catalogue names by edit distance within ``close``.
 
-    The catalogue has one row per served entity; requests are few and are the broadcast side.
+    The catalogue has one row per served entity; requests are the broadcast side while few.
     """
-    asked = F.broadcast(requests.select(F.trim(name).alias("asked")).distinct())
+    asked = _asked(requests, name)
     pairs = catalog.select(F.col(name).alias("n")).join(asked, F.levenshtein(F.lower("n"), F.lower("asked")) <= close)
     distance = F.levenshtein(F.lower("n"), F.lower("asked"))
     best = pairs.groupBy("asked").agg(
@@ -53,10 +63,10 @@ def suggest(requests: DataFrame, catalog: DataFrame, name: str = "name", most: i
     """asked, suggestions: up to ``most`` catalogue names that are alike by ``least`` or more, best
     first (ties: the greater name), for asked names that the catalogue lacks in any case.
 
-    Requests are few and are the broadcast side; names are null-free on both sides.
+    Every name is compared with every request, a stated query set; names are null-free.
     """
-    asked = F.broadcast(requests.select(F.trim(name).alias("asked")).distinct())
-    pairs = catalog.select(F.col(name).alias("n")).distinct().crossJoin(asked).withColumn("_ratio", _alike("n", "asked"))
+    asked = _asked(requests, name)
+    pairs = catalog.select(F.col(name).alias("n")).distinct().join(asked, F.col("n").isNotNull() & F.col("asked").isNotNull()).withColumn("_ratio", _alike("n", "asked"))
     ranked = pairs.filter(F.col("_ratio") >= least).groupBy("asked").agg(F.slice(F.sort_array(F.collect_list(F.struct("_ratio", "n")), asc=False), 1, most).alias("best"))
     served = pairs.filter(F.lower("n") == F.lower("asked")).select("asked").distinct()
     missing = requests.select(F.trim(name).alias("asked")).distinct().join(served, "asked", "left_anti")

@@ -11,7 +11,7 @@ from ..functions import exprs as X
 from ..operators import learn, metrics, serving
 from ..operators import ratings as R
 from ..operators import temporal as T
-from ..sources.tables import written
+from ..sources.tables import as_json, shared, written
 from ..streaming.replay import replay_stream
 from . import features as Q
 from . import matchmodel as M
@@ -70,8 +70,7 @@ def elo_diff(spark, d):
 
 
 def elo_stream(spark, d):
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/streams"
-    return replay_stream(_games(spark, d), TEAM, f"{base}/elo-{uuid.uuid4().hex}").select("pool", "gameid", F.round("p", 6).alias("p"), F.round("diff", 4).alias("diff"), "target")
+    return replay_stream(_games(spark, d), TEAM, f"{shared(spark)}/elo-{uuid.uuid4().hex}").select("pool", "gameid", F.round("p", 6).alias("p"), F.round("diff", 4).alias("diff"), "target")
 
 
 def _final(name: str, ladder: R.Ladder) -> str:
@@ -397,7 +396,7 @@ def final_model(spark, d):
     held = _points(learn.fit(train, FEATURES, learn.logistic(train.count())).score(s.filter("not is_train").drop("seq", "is_train")))
     n = f.count()
     fitted = learn.fit(f, FEATURES, learn.logistic(n))
-    path = f"{M.shared(spark)}/model-{uuid.uuid4().hex}"
+    path = f"{shared(spark)}/model-{uuid.uuid4().hex}"
     learn.save(fitted, path)
     return held, learn.load(spark, path), n
 
@@ -508,6 +507,14 @@ def meta_counts(spark, d):
 META_SQL = M.sql(f"SELECT (SELECT count(*) FROM games) AS games, (SELECT strftime(max(date), '%Y-%m-%d') FROM games) AS last_day, count(*) AS teams, count(*) FILTER (home IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE')) AS supported_teams, '{','.join(M.MAJOR)}' AS regions FROM homes")
 
 
+def meta_json(spark, d):
+    """The same as one JSON text."""
+    return as_json(meta_counts(spark, d).select("games", "last_day", "teams", "supported_teams", "regions"))
+
+
+META_JSON_SQL = META_SQL.replace("SELECT (SELECT count(*) FROM games) AS games", "SELECT to_json({'games': games, 'last_day': last_day, 'teams': teams, 'supported_teams': supported_teams, 'regions': regions})::VARCHAR AS json FROM (SELECT (SELECT count(*) FROM games) AS games") + ")"
+
+
 #: Home of the teams whose share is asked for.
 SHARED_HOME = "AMERICA"
 
@@ -552,7 +559,7 @@ QUERIES = {
     "teams_by_region": (teams_by_region, M.sql("SELECT home, string_agg(team, ',' ORDER BY team) AS teams FROM homes GROUP BY home")),
     "team_counts": (team_counts, M.sql("SELECT team, count(*) AS games FROM (SELECT blue_team AS team FROM games UNION ALL SELECT red_team FROM games) GROUP BY team")),
     "name_resolve": (name_resolve, RESOLVE_SQL), "matchup_features": (matchup_features, MATCHUP_SQL),
-    "name_suggest": (name_suggest, None), "roster_overrides": (roster_overrides, OVERRIDE_SQL), "roster_complete": (roster_complete, ROSTER_COMPLETE_SQL), "meta_counts": (meta_counts, META_SQL),
+    "name_suggest": (name_suggest, None), "roster_overrides": (roster_overrides, OVERRIDE_SQL), "roster_complete": (roster_complete, ROSTER_COMPLETE_SQL), "meta_counts": (meta_counts, META_SQL), "meta_json": (meta_json, META_JSON_SQL),
     "share_of_set": (share_of_set, SHARE_SQL), "season_lift": (season_lift, _sql(f"SELECT blue_league, n, round(accuracy - baseline + 1e-9, 4) AS lift FROM (SELECT blue_league, {_POINT} FROM season GROUP BY 1 HAVING count(*) >= 10)", SEASON)),
     "split_counts": (split_counts, SPLIT_COUNTS_SQL), "refit_model": (M.over_history(refit_model), None), "predict_matchup": (predict_matchup, None),
     "logreg_holdout": (M.over_history(logreg_holdout), None), "gbt_holdout": (M.over_history(gbt_holdout), None), "feature_importance": (M.over_history(feature_importance), None), "walk_forward": (M.over_history(walk_forward), None),

@@ -26,11 +26,6 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def shared(spark: SparkSession) -> str:
-    """The folder for written tables that driver and executors share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/tables").rstrip("/")
-
-
 def players(spark: SparkSession, d: str) -> DataFrame:
     """One row per game, side and role."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linestatus", "l_returnflag", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")

@@ -49,14 +49,30 @@ def load_state(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Folders written by this process and not yet deleted.
+_folders: list[str] = []
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder for written tables that driver and executors share."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/tables").rstrip("/")
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written once to a new folder that driver and executors share, and read again."""
+    """``df`` written once to a new shared folder and read again: lost executors cost one stage."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/tables"
-    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared(spark)}/{what}-{uuid.uuid4().hex}"
+    _folders.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete all that ``written`` left; to be called once the results of all queries are stored."""
+    while _folders:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def as_json(df: DataFrame, into: str = "json") -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias(into))

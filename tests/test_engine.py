@@ -283,5 +283,10 @@ def test_sources(spark, tmp_path):
     assert tables.read_years(spark, str(tmp_path / "years"), [2023]).count() == 1 and tables.read_years(spark, str(tmp_path / "years"), [2020]).count() == 0
     tables.save_state(df, str(tmp_path / "state"))
     assert tables.load_state(spark, str(tmp_path / "state")).count() == 2 and "g2023" in tables.as_json(df).orderBy("json").first().json + tables.as_json(df).orderBy(F.desc("json")).first().json
+    kept = tables.written(df, "some")
+    assert kept.count() == 2
+    tables.clean(spark)
+    with pytest.raises(Exception, match="NOT_EXIST|FileNotFound|does not exist"):
+        kept.collect()
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         tables.load_state(spark, str(tmp_path / "nothing")).count()
