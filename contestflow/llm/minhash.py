@@ -29,7 +29,7 @@ LEAST_AGREEMENT = 77
 #: Members of one bucket that meet in a task; larger buckets meet in pairs of chunks.
 BUCKET_ROWS = 4096
 #: Bytes of the texts that meet in a task when members are verified in place.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 
 
 def bag_minhash(text: np.ndarray, key: np.ndarray, weight: np.ndarray, texts: int, registers: int = REGISTERS) -> np.ndarray:

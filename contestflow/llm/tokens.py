@@ -21,7 +21,7 @@ from .rolling import Rolling
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Bytes of the texts that are encoded together; more of them share pieces and take more memory.
-ENCODE_BYTES = 1 << 19
+ENCODE_BYTES = 1 << 20
 _find = re.compile(r"\s*\S+|\s+").findall
 _BREAK = "\x00"
 #: White space beyond ASCII's six; the joint path knows those only.
@@ -56,7 +56,7 @@ class Encoder:
     not one id of its own, whole texts are encoded.
     """
 
-    def __init__(self, path: str, cache_pieces: int = 200_000):
+    def __init__(self, path: str, cache_pieces: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -87,9 +87,10 @@ class Encoder:
     def _word(self, space: str, word: str) -> bytes:
         found = self.cache.get(space + word)
         if found is None:
-            seen = space + word
-            if not word.isascii() or space:
-                seen = "".join(map(_byte_letters().__getitem__, seen.encode()))
+            letters = _byte_letters()
+            seen = word if word.isascii() else "".join(map(letters.__getitem__, word.encode()))
+            if space:
+                seen = letters[0x20] + seen
             found = array("H" if self.width == 2 else "I", [t.id for t in self.model.tokenize(seen)]).tobytes()
             self.cache[space + word] = found
         return found
