@@ -114,7 +114,7 @@ def ngrams(host: Column, path: Column, sizes=(3, 4, 5)) -> Column:
 
     h, p = F.concat(F.lit("^"), host, F.lit("$")), F.concat(path, F.lit("$"))
     p = F.regexp_replace(p, "[0-9]+", "0")
-    return F.array_distinct(F.concat(*[grams("h", h, n) for n in sizes], *[grams("p", p, n) for n in sizes]))
+    return F.concat(*[grams("h", h, n) for n in sizes], *[grams("p", p, n) for n in sizes])  # repeats count once: the hashing is binary
 
 
 #: Prefix of the model's own columns, so that they meet none of the input's.
