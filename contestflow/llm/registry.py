@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import chat, minhash, mixing, packing, quality, shards, suffixes, urls, vectors, warc
+from . import audit, chat, fim, minhash, mixing, packing, quality, shards, suffixes, urls, vectors, warc
 
 QUERIES = {
     "op1_embedding_dedup": vectors.op1_embedding_dedup,
@@ -13,5 +13,13 @@ QUERIES = {
     "op8_url_filter": urls.op8_url_filter,
     "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_chat_format": chat.op10_chat_format,
+    "op12_fill_in_middle": fim.op12_fill_in_middle,
+    "op13_filter_audit": audit.op13_filter_audit,
+}
+ORACLES = {
+    "op1_embedding_dedup": vectors.OP1_SQL,
+    "op7_quality_rules": quality.OP7_SQL,
+    "op10_chat_format": chat.OP10_SQL,
+    "op12_fill_in_middle": fim.OP12_SQL,
+    "op13_filter_audit": audit.OP13_SQL,
 }
-ORACLES = {"op1_embedding_dedup": vectors.OP1_SQL, "op7_quality_rules": quality.OP7_SQL, "op10_chat_format": chat.OP10_SQL}
