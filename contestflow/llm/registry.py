@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import audit, chat, fim, minhash, mixing, packing, quality, shards, suffixes, urls, vectors, warc
+from . import audit, bpe, chat, fim, minhash, mixing, packing, quality, shards, suffixes, urls, vectors, warc
 
 QUERIES = {
     "op1_embedding_dedup": vectors.op1_embedding_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_url_filter": urls.op8_url_filter,
     "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_chat_format": chat.op10_chat_format,
+    "op11_bpe": bpe.op11_bpe,
     "op12_fill_in_middle": fim.op12_fill_in_middle,
     "op13_filter_audit": audit.op13_filter_audit,
 }
