@@ -1,9 +1,9 @@
 """Order-dependent ratings, replayed per pool.
 
-A fold is sequential within one rating pool and pools are independent, so Spark runs pools, and
-points of a parameter grid, side by side. A pool is cut into slices of ``SLICE`` games in order;
-each hands the ratings of its members on in a written table, so a task holds one slice of one
-pool and the ratings of those who play in it, however long the pool is.
+A fold is sequential among games that share members, so Spark runs pools, unconnected groups of
+members and points of a parameter grid side by side. What is longer than ``SLICE`` games is cut
+into slices in order; each hands the ratings of its members on in a written table, so a task holds
+one slice of one group and the ratings of those who play in it, however long the history is.
 """
 
 from __future__ import annotations
@@ -11,29 +11,34 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ..sources.tables import written
+from ..sources.tables import delete, drop, folder, written
+from .components import components
 from .temporal import ordered_index
 
-#: Games of one pool that one task replays.
+#: Games of one group of members that one task replays.
 SLICE = 50_000
+#: Slices after which the changed ratings are merged into one table of all.
+MERGE = 16
 
 
 @dataclass(frozen=True)
 class Ladder:
-    """Parameters; with ``k_region`` set, cross-region games move regions and others members."""
+    """Parameters; with ``k_region`` set, cross-region games move regions and others members.
+    ``lineup``: its members are those of ``LINEUPS`` where games have these columns, too."""
 
     k: float = 24.0
     home: float = 20.0
     base: float = 1500.0
     beta: float = 0.0
     k_region: float | None = None
+    lineup: bool = False
 
 
 def play(games, ladder: Ladder, start: tuple[dict, dict] = ({}, {})):
@@ -62,70 +67,191 @@ def play(games, ladder: Ladder, start: tuple[dict, dict] = ({}, {})):
     yield dict(member), dict(region)
 
 
-def _rows(pdf: pd.DataFrame):
+def _rows(pdf: pd.DataFrame, lineup: bool = False):
     pdf = pdf.sort_values(["date", "gameid"], kind="stable")
-    sides = ([list(s) for s in pdf[c]] for c in ("blue", "red"))
+    sides = ([list(s) for s in pdf[c]] for c in (LINEUPS if lineup else ("blue", "red")))
     return pdf, list(zip(*sides, pdf["blue_region"], pdf["red_region"], pdf["cross"], pdf["target"], strict=True))
 
 
 COLUMNS = ("pool", "date", "gameid", "blue", "red", "blue_region", "red_region", "cross", "target")
+LINEUPS = ("blue_lineup", "red_lineup")
+STATE = "pool string, unit string, point int, kind string, name string, rating double"
+STEP = f"{STATE}, gameid long, p double, diff double, target int"
 
 
-def sliced(games: DataFrame, size: int) -> DataFrame:
-    """Games with ``slice``: their position in the pool's order of (date, gameid) by ``size``."""
-    placed = ordered_index(games.select(*COLUMNS), ["date", "gameid"], "_at", ["pool"])
-    return written(placed.select(*COLUMNS, F.floor((F.col("_at") - 1) / size).cast("int").alias("slice")), "sliced")
-
-
-STATE = "pool string, point int, kind string, name string, rating double"
-
-
-def _fold(games: DataFrame, ladders: Sequence[Ladder], tell, size: int | None) -> tuple[DataFrame, DataFrame]:
-    """What ``tell(pdf, rows, played)`` gives of every slice of every pool and ladder, as rows of
-    (name, gameid, p, diff, target), and the ratings after the last game."""
-    spark, size = games.sparkSession, size or SLICE
-    games = sliced(games, size)
-    last = games.agg(F.max("slice")).first()[0]
-    points = F.explode(F.sequence(F.lit(0), F.lit(len(ladders) - 1)))  # the grid is a parameter, not data
-    schema = f"{STATE}, gameid long, p double, diff double, target int"
-    columns = [c.split()[0] for c in schema.split(", ")]
-
-    def run(key, pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        pdf, rows = _rows(pdf)
-        held = [dict(zip(s["name"], s["rating"], strict=True)) for s in (state[state["kind"] == k] for k in ("member", "region"))]
-        *played, after = play(rows, ladders[key[1]], tuple(held))
-        ratings = pd.DataFrame([(kind, str(n), r) for kind, s in zip(("member", "region"), after, strict=True) for n, r in s.items()], columns=["kind", "name", "rating"])
-        out = pd.concat([tell(pdf, rows, played).assign(kind="told"), ratings])
-        return out.assign(pool=key[0], point=key[1]).reindex(columns=columns).astype({"gameid": "Int64", "target": "Int32"})
-
-    state, told = spark.createDataFrame([], STATE), []
-    for k in range((-1 if last is None else last) + 1):
-        now = games.filter(F.col("slice") == k)
-        members = F.transform(F.array_union("blue", "red"), lambda x: F.struct(F.lit("member").alias("kind"), x.alias("name")))
-        regions = F.transform(F.array("blue_region", "red_region"), lambda x: F.struct(F.lit("region").alias("kind"), x.alias("name")))
-        playing = now.select("pool", F.explode(F.concat(members, regions)).alias("_x")).select("pool", "_x.*").distinct()
-        known = state.join(playing, ["pool", "kind", "name"], "left_semi").select("pool", "point", "kind", "name", "rating")
-        keyed = now.select(*COLUMNS, points.alias("point"))
-        out = written(keyed.groupBy("pool", "point").cogroup(known.groupBy("pool", "point")).applyInPandas(run, schema), "slice")
-        told.append(out.filter("kind = 'told'").drop("kind", "rating"))
-        moved = out.filter("kind <> 'told'").select("pool", "point", "kind", "name", "rating")
-        state = written(state.join(moved, ["pool", "point", "kind", "name"], "left_anti").select(moved.columns).union(moved), "state") if k else moved
-    empty = spark.createDataFrame([], "pool string, point int, name string, gameid long, p double, diff double, target int")
-    return reduce(DataFrame.union, told, empty), state
-
-
-def replay(games: DataFrame, ladder: Ladder, size: int | None = None) -> DataFrame:
-    """pool, gameid, p, diff, target of every game; diff is without the home bonus."""
+def _units(games: DataFrame, long: DataFrame, size: int, regions: bool) -> DataFrame:
+    """Games with ``unit``: groups of games that share no member with others of their pool.
 
-    def tell(pdf, rows, played):
-        return pd.DataFrame({"gameid": pdf["gameid"].to_numpy(), "p": [o[0] for o in played], "diff": [o[1] for o in played], "target": pdf["target"].to_numpy()})
+    Only pools in ``long`` are parted. A component of ``size`` games or more is a unit of its own,
+    smaller ones are dealt to units of about ``size`` games. With ``regions``, a region that ever
+    takes part in a cross game links all who play in it, since its rating moves.
+    """
+
+    def node(kind, name):
+        return F.concat_ws("\x1f", "pool", F.lit(kind), name)
+
+    arrays = [c for c in ("blue", "red", *LINEUPS) if c in games.columns]
+    inside = games.join(F.broadcast(long), "pool", "left_semi") if long.count() <= 10_000 else games.join(long, "pool", "left_semi")
+    first = node("member", F.col("blue")[0])
+    ends = [F.transform(F.col(c), lambda x: node("member", x)) for c in arrays]
+    seen = inside.select(first.alias("a"), F.explode(F.concat(*ends)).alias("b"))
+    if regions:
+        both = F.explode(F.array("blue_region", "red_region"))
+        moving = inside.filter("cross").select("pool", both.alias("_region")).distinct()
+        placed = inside.select("pool", first.alias("a"), both.alias("_region")).distinct()
+        seen = seen.union(placed.join(moving, ["pool", "_region"]).select("a", node("region", F.col("_region")).alias("b")))
+    found = components(seen).withColumnRenamed("node", "_node")
+    parted = games.withColumn("_node", first).join(found, "_node", "left")
+    counts = parted.filter("component IS NOT NULL").groupBy("pool", "component").agg(F.count("*").alias("_n"))
+    small = counts.filter(F.col("_n") < size).groupBy("pool").agg(F.ceil(F.sum("_n") / size).alias("_bins"))
+    bin_of = F.concat(F.lit("bin "), F.pmod(F.xxhash64("component"), F.col("_bins")).cast("string"))
+    units = counts.join(small, "pool", "left").select("pool", "component", F.when(F.col("_n") >= size, F.col("component")).otherwise(bin_of).alias("unit"))
+    return parted.join(units, ["pool", "component"], "left").select(*games.columns, F.coalesce("unit", F.lit("")).alias("unit"))
+
+
+class History:
+    """Games in rating order, written and sliced once for any number of ladders and folds.
+
+    ``games`` has ``COLUMNS`` and, for ladders of lineups beside others, ``LINEUPS``. Pools of no
+    more than ``size`` games need no slices, and if all are such there are none. ``start`` gives
+    ratings (pool, point, kind, name, rating) to go on from. ``by_component`` replays unconnected
+    members of a pool side by side; the results are the same.
+    """
 
-    return _fold(games, [ladder], tell, size)[0].select("pool", "gameid", "p", "diff", "target")
+    def __init__(self, games: DataFrame, size: int | None = None, start: DataFrame | None = None, by_component: bool = False, regions: bool = True):
+        self.spark, self.size, self.start = games.sparkSession, size or SLICE, start
+        self.columns = [*COLUMNS, *(c for c in LINEUPS if c in games.columns)]
+        self.games = written(games.select(*self.columns), "games")
+        long = self.games.groupBy("pool").count().filter(F.col("count") > self.size).select("pool")
+        self.sliced, self.steps = None, 0
+        if start is None and not long.limit(1).count():
+            return
+        whole = _units(self.games, long, self.size, regions) if by_component else self.games.withColumn("unit", F.lit(""))
+        placed = ordered_index(whole, ["date", "gameid"], "_at", ["pool", "unit"])
+        self.sliced = folder(self.spark, "sliced")
+        self.schema = whole.schema
+        slice_of = F.floor((F.col("_at") - 1) / self.size).cast("int")
+        placed.select(*self.columns, "unit", slice_of.alias("slice")).write.partitionBy("slice").parquet(self.sliced)
+        last = self.all_slices().agg(F.max("slice")).first()[0]
+        self.steps = 0 if last is None else last + 1
+
+    def all_slices(self) -> DataFrame:
+        """All games with their unit and slice."""
+        schema = StructType([*self.schema.fields, StructField("slice", IntegerType())])
+        return self.spark.read.schema(schema).parquet(self.sliced)
+
+    def close(self) -> None:
+        """Delete the written games; nothing lazy reads them once there are slices."""
+        if self.sliced is not None:
+            drop(self.games)
+            delete(self.spark, self.sliced)
+
+    def fold(self, ladders: Sequence[Ladder], tell) -> DataFrame:
+        """``STEP`` rows and ``step``: what ``tell(pdf, rows, played)`` gives of every slice, group
+        and ladder as rows of kind ``told``, and the ratings that the slice changed or met.
+
+        A step reads the folder of its slice, the last merged ratings and those of the at most
+        ``MERGE`` steps since; none of these grows with the number of slices.
+        """
+        points = F.explode(F.sequence(F.lit(0), F.lit(len(ladders) - 1)))  # the grid is a parameter, not data
+        columns = [c.split()[0] for c in STEP.split(", ")]
+
+        def go_on(key, pdf, state):
+            ladder = ladders[key[-1]]
+            pdf, rows = _rows(pdf, ladder.lineup and LINEUPS[0] in pdf)
+            known = [] if state is None else [state[state["kind"] == k].sort_values("step") for k in ("member", "region")]
+            held = tuple(dict(zip(s["name"], s["rating"], strict=True)) for s in known) or ({}, {})  # the latest of each name
+            *played, after = play(rows, ladder, held)
+            ratings = pd.DataFrame([(kind, str(n), r) for kind, s in zip(("member", "region"), after, strict=True) for n, r in s.items()], columns=["kind", "name", "rating"])
+            out = pd.concat([tell(pdf, rows, played).assign(kind="told"), ratings])
+            return out.assign(pool=key[0], unit=key[1], point=key[-1]).reindex(columns=columns).astype({"gameid": "Int64", "target": "Int32"})
+
+        def begin(key, pdf):
+            return go_on(key, pdf, None)
+
+        if self.sliced is None:
+            keyed = self.games.select("*", F.lit("").alias("unit"), points.alias("point"))
+            return keyed.groupBy("pool", "unit", "point").applyInPandas(begin, STEP).withColumn("step", F.lit(0))
+        path = folder(self.spark, "steps")
+        merged, since = None if self.start is None else self.start.withColumns({"unit": F.lit(""), "step": F.lit(-1)}), []
+        for k in range(self.steps):
+            now = self.spark.read.schema(self.schema).parquet(f"{self.sliced}/slice={k}")
+            keyed = now.select("*", points.alias("point")).groupBy("pool", "unit", "point")
+            known = self._ratings(path, merged, since)
+            if known is None:
+                out = keyed.applyInPandas(begin, STEP)
+            else:
+                arrays = [c for c in ("blue", "red", *LINEUPS) if c in self.columns]
+                who = F.concat(*[F.transform(F.col(c), lambda x: F.struct(F.lit("member").alias("kind"), x.alias("name"))) for c in arrays])
+                where = F.transform(F.array("blue_region", "red_region"), lambda x: F.struct(F.lit("region").alias("kind"), x.alias("name")))
+                playing = now.select("pool", "unit", F.explode(F.concat(who, where)).alias("_x")).select("pool", "unit", "_x.*")
+                met = known.join(playing, ["pool", "unit", "kind", "name"], "left_semi")
+                out = keyed.cogroup(met.groupBy("pool", "unit", "point")).applyInPandas(go_on, STEP)
+            out.write.parquet(f"{path}/step={k}")
+            since.append(k)
+            if len(since) == MERGE and k + 1 < self.steps:
+                old, merged = merged, written(self._latest(self._ratings(path, merged, since)), "ratings")
+                since = []
+                if hasattr(old, "folder"):
+                    drop(old)
+        if not self.steps:
+            return self.spark.createDataFrame([], f"{STEP}, step int")
+        return self.spark.read.schema(f"{STEP}, step int").parquet(path)
+
+    def _ratings(self, path: str, merged: DataFrame | None, since: list[int]) -> DataFrame | None:
+        """pool, unit, point, kind, name, rating, step: the merged ratings and all later ones."""
+        if not since:
+            return merged
+        read = self.spark.read.schema(f"{STEP}, step int").option("basePath", path).parquet(*[f"{path}/step={k}" for k in since])
+        new = read.filter("kind <> 'told'").select("pool", "unit", "point", "kind", "name", "rating", "step")
+        return new if merged is None else merged.select(new.columns).union(new)
+
+    @staticmethod
+    def _latest(ratings: DataFrame) -> DataFrame:
+        return ratings.groupBy("pool", "unit", "point", "kind", "name").agg(F.max_by("rating", "step").alias("rating"), F.max("step").alias("step"))
+
+
+def _tell_games(pdf, rows, played):
+    return pd.DataFrame({"gameid": pdf["gameid"].to_numpy(), "p": [o[0] for o in played], "diff": [o[1] for o in played], "target": pdf["target"].to_numpy()})
+
+
+def _tell_nothing(pdf, rows, played):
+    return pd.DataFrame({"gameid": []})
+
+
+def replay_all(games: DataFrame, ladders: dict[str, Ladder], size: int | None = None) -> DataFrame:
+    """pool, gameid, target and for each named ladder {name}_p and {name}_diff: one slicing and one
+    pass for all of them."""
+    history = History(games, size)
+    told = history.fold(list(ladders.values()), _tell_games).filter("kind = 'told'")
+    history.close()
+    wide = [F.max(F.when(F.col("point") == i, F.col(c))).alias(f"{name}_{c}") for i, name in enumerate(ladders) for c in ("p", "diff")]
+    return told.groupBy("pool", "gameid").agg(F.max("target").alias("target"), *wide)
+
+
+def replay(games: DataFrame, ladder: Ladder, size: int | None = None, by_component: bool = False) -> DataFrame:
+    """pool, gameid, p, diff, target of every game; diff is without the home bonus."""
+    history = History(games, size, by_component=by_component, regions=ladder.k_region is not None)
+    told = history.fold([ladder], _tell_games)
+    history.close()
+    return told.filter("kind = 'told'").select("pool", "gameid", "p", "diff", "target")
 
 
-def final_ratings(games: DataFrame, ladder: Ladder, size: int | None = None) -> DataFrame:
+def final_ratings(games: DataFrame, ladder: Ladder, size: int | None = None, by_component: bool = False) -> DataFrame:
     """pool, kind (member or region), name, rating after the last game."""
-    return _fold(games, [ladder], lambda pdf, rows, played: pd.DataFrame({"gameid": []}), size)[1].select("pool", "kind", "name", "rating")
+    return final_ratings_all(games, {"only": ladder}, size, by_component).select("pool", "kind", "name", "rating")
+
+
+def final_ratings_all(games: DataFrame, ladders: dict[str, Ladder], size: int | None = None, by_component: bool = False) -> DataFrame:
+    """ladder, pool, kind, name, rating after the last game, of each named ladder."""
+    history = History(games, size, by_component=by_component, regions=any(x.k_region is not None for x in ladders.values()))
+    out = history.fold(list(ladders.values()), _tell_nothing).filter("kind <> 'told'")
+    last = out if history.sliced is None else History._latest(out)
+    if by_component:  # regions that never move are met by several units
+        last = last.dropDuplicates(["pool", "point", "kind", "name"])
+    history.close()
+    name = F.get(F.array(*[F.lit(n) for n in ladders]), F.col("point"))
+    return last.select(name.alias("ladder"), "pool", "kind", "name", "rating")
 
 
 def grid(games: DataFrame, ladders: Sequence[Ladder], score_before: str | None = None, cross_only: bool = False, size: int | None = None) -> DataFrame:
@@ -149,7 +275,9 @@ def grid(games: DataFrame, ladders: Sequence[Ladder], score_before: str | None =
                 loss, n = loss - math.log(p if row[5] else 1 - p), n + 1
         return pd.DataFrame({"p": [loss], "gameid": [n]})
 
-    sums = _fold(games, ladders, tell, size)[0].groupBy("point").agg(F.sum("p").alias("loss"), F.sum("gameid").alias("games"))
+    history = History(games, size)
+    sums = history.fold(ladders, tell).filter("kind = 'told'").groupBy("point").agg(F.sum("p").alias("loss"), F.sum("gameid").alias("games"))
+    history.close()
     scored = sums.join(F.broadcast(points), "point").select("point", "k", "home", "beta", "k_region", "games", (F.col("loss") / F.col("games")).alias("log_loss"))
     order = Window.orderBy(F.round("log_loss", 9), "point")  # one row per point of the grid, a parameter
     return scored.withColumn("best", F.row_number().over(order).cast("long"))

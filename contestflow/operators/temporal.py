@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..sources.tables import written
 
+
 def trailing_mean(df: DataFrame, columns: Sequence[str], entity: Sequence[str], order: Sequence[str], window: int, least: int, prefix: str = "roll_") -> DataFrame:
     """Mean of the last ``window`` earlier rows; null below ``least`` non-null values. One sort for all."""
     w = Window.partitionBy(*entity).orderBy(*order).rowsBetween(-window, -1)
@@ -56,6 +57,13 @@ def ordered_index(df: DataFrame, order: Sequence[str], into: str = "seq", groups
     return running(df, order, {into: F.lit(1)}, "long", groups)
 
 
+def ranged(df: DataFrame, entity: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` range-partitioned by entity and order, with the number ``_part`` of the part; written
+    once, which fixes the parts. A long entity spans several parts that follow each other."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(n, *entity, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+
+
 def running(df: DataFrame, order: Sequence[str], sums: dict[str, Column], kind: str = "double", groups: Sequence[str] = ()) -> DataFrame:
     """Running sums (the row included) in ``order``, over all rows or per group.
 
@@ -64,9 +72,7 @@ def running(df: DataFrame, order: Sequence[str], sums: dict[str, Column], kind:
     group) are added. Parts follow the data, so neither a long group nor a busy month meets in
     one task. Groups hold no nulls; values of nulls add nothing.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.withColumns({f"_v_{k}": F.coalesce(v, F.lit(0)) for k, v in sums.items()})
-    parts = written(keyed.repartitionByRange(n, *groups, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    parts = ranged(df.withColumns({f"_v_{k}": F.coalesce(v, F.lit(0)) for k, v in sums.items()}), groups, order)
     keys = [*groups, "_part"]
     totals = parts.groupBy(*keys).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
     earlier = (Window.partitionBy(*groups) if groups else Window.partitionBy()).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -96,6 +102,34 @@ def latest(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str],
     return df.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(into))
 
 
+def as_of(requests: DataFrame, events: DataFrame, keys: Sequence[str], at: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """``requests`` with the ``values`` of the last event of their keys before them; null without one.
+
+    ``at`` are the requests' times and the first columns of ``order``, by which the events of a key
+    follow each other. An event at the very time of a request is not before it. Of events equal in
+    ``order`` the greatest values win. One pass over both tables, whatever their numbers: they are
+    range-partitioned together by keys and time, each part carries the last event on, and the last
+    one of earlier parts is added, so a key with many rows is the work of several tasks. A request
+    with a null in keys or times finds nothing; null values of an event are values.
+    """
+    e = events.select(*keys, *order, F.struct(*values).alias("_value")).dropna(subset=[*keys, *order[: len(at)]])
+    ask = requests.select(*keys, *at, F.struct(*requests.columns).alias("_request"))
+    kinds = dict(e.dtypes)
+    ask = ask.withColumns({c: F.lit(None).cast(kinds[c]) for c in order[len(at) :]}).withColumn("_value", F.lit(None).cast(kinds["_value"]))
+    both = e.withColumns({"_request": F.lit(None).cast(dict(ask.dtypes)["_request"]), "_is_event": F.lit(1)}).unionByName(ask.withColumn("_is_event", F.lit(0)))
+    time = [*at, "_is_event", *order[len(at) :], "_value"]  # requests come before events of their time
+    parts = ranged(both, keys, time)
+    inside = Window.partitionBy(*keys, "_part").orderBy(*time).rowsBetween(Window.unboundedPreceding, 0)
+    ends = parts.filter("_is_event = 1").groupBy(*keys, "_part").agg(F.max_by("_value", F.struct(*time)).alias("_end"))
+    marks = parts.select(*keys, "_part").distinct().join(ends, [*keys, "_part"], "left")
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marks.withColumn("_carried", F.last("_end", ignorenulls=True).over(earlier)).select(*keys, "_part", "_carried")
+    seen = parts.withColumn("_last", F.last("_value", ignorenulls=True).over(inside)).filter("_is_event = 0")
+    out = seen.join(carried, [*keys, "_part"], "left").select("_request", F.coalesce("_last", "_carried").alias("_value"))
+    known = out.select(*[F.col("_request")[c].alias(c) for c in requests.columns if c not in values], *[F.col("_value")[v].alias(v) for v in values])
+    return known
+
+
 def recent_form(df: DataFrame, entity: Sequence[str], order: Sequence[str], n: int, columns: Sequence[str]) -> DataFrame:
     """Means of the last ``n`` rows (the latest included) and the number of all rows."""
     w = Window.partitionBy(*entity).orderBy(*[F.col(c).desc() for c in order])

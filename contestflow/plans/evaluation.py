@@ -11,13 +11,14 @@ from ..functions import exprs as X
 from ..operators import learn, metrics, serving
 from ..operators import ratings as R
 from ..operators import temporal as T
-from ..sources.tables import as_json, shared, written
+from ..operators.snapshots import RatingStore
+from ..sources.tables import as_json, folder, shared, written
 from ..streaming.replay import replay_stream
 from . import features as Q
 from . import matchmodel as M
 
-TEAM, PLAYER = R.Ladder(), R.Ladder(k=24.0, home=20.0)
-PLAYER_RA = R.Ladder(k=24.0, home=20.0, beta=1.0, k_region=8.0)
+TEAM, PLAYER = R.Ladder(), R.Ladder(k=24.0, home=20.0, lineup=True)
+PLAYER_RA = R.Ladder(k=24.0, home=20.0, beta=1.0, k_region=8.0, lineup=True)
 REGION = R.Ladder(k=40.0, home=20.0, beta=1.0, k_region=8.0)
 #: The points that are searched, in this order.
 GRID = [R.Ladder(k=float(k), home=float(h)) for k in (12, 16, 20, 24, 28, 32, 40, 48, 64) for h in (0, 10, 20, 30, 40)]
@@ -59,7 +60,7 @@ def _games(spark, d, by_player=False):
 
 def _rated(ladder, by_player=False):
     def query(spark, d):
-        return R.replay(_games(spark, d, by_player), ladder).select("pool", "gameid", F.round("p", 6).alias("p"), F.round("diff", 4).alias("diff"), "target")
+        return R.replay(_games(spark, d, by_player), ladder, by_component=True).select("pool", "gameid", F.round("p", 6).alias("p"), F.round("diff", 4).alias("diff"), "target")
 
     return query, M.sql(RATED_SQL, fold_sql(ladder, by_player).strip(), recursive=True)
 
@@ -73,6 +74,40 @@ def elo_stream(spark, d):
     return replay_stream(_games(spark, d), TEAM, f"{shared(spark)}/elo-{uuid.uuid4().hex}").select("pool", "gameid", F.round("p", 6).alias("p"), F.round("diff", 4).alias("diff"), "target")
 
 
+#: Games of a slice in the queries on stored ratings.
+STORED_SLICE = 5_000
+#: The first stored games are those before this day, but for the last event's, which come in late.
+STORED_BEFORE = "2000-01-01"
+
+
+@M.over_history
+def elo_incremental(spark, d):
+    """Ratings of all games after three deliveries: most old games, new ones, and late old ones."""
+    g = written(_games(spark, d).join(M.table(spark, d, "orders").select(F.col("o_orderkey").alias("gameid"), F.col("o_orderpriority").alias("event")), "gameid"), "games")
+    old, late = F.col("date") < STORED_BEFORE, F.col("event") == "5-LOW"
+    store = RatingStore(spark, folder(spark, "store"), TEAM, STORED_SLICE)
+    for part in (old & ~late, ~old, old & late):
+        store.advance(g.filter(part))
+    return store.rated().select("pool", "gameid", F.round("p", 6).alias("p"), F.round("diff", 4).alias("diff"), "target")
+
+
+@M.over_history
+def rating_snapshots(spark, d):
+    """Every team's rating at the ends of slices, from the one that moved it to the next that does."""
+    store = RatingStore(spark, folder(spark, "store"), TEAM, STORED_SLICE)
+    store.advance(_games(spark, d))
+    return store.intervals().select("name", F.round("rating", 4).alias("rating"), F.col("since.gameid").alias("since"), F.col("until.gameid").alias("until"))
+
+
+SNAPSHOT_SQL = M.history_sql(M.sql(
+    "SELECT name, round(m[name], 4) AS rating, gameid AS since, lead(gameid) OVER (PARTITION BY name ORDER BY slice) AS until FROM played JOIN ends USING (slice) JOIN elo USING (i)",
+    fold_sql(TEAM).strip(),
+    f"played AS (SELECT DISTINCT (i - 1) // {STORED_SLICE} AS slice, unnest(list_concat(blue, red)) AS name FROM elo_seq)",
+    f"ends AS (SELECT (i - 1) // {STORED_SLICE} AS slice, max(i) AS i FROM elo_seq GROUP BY 1)",
+    recursive=True,
+))
+
+
 def _final(name: str, ladder: R.Ladder) -> str:
     last = "last AS (SELECT pool, m, g, row_number() OVER (PARTITION BY pool ORDER BY i DESC) AS rn FROM elo)"
     kind = {"member": "m", "region": "g"}[name]
@@ -114,12 +149,11 @@ def scored(spark, d, keep=lambda g: g):
     """Games with the team model's p, the player model's q and the report's columns.
 
     All games are rated; ``keep`` says which of them are reported. The stream is built and
-    written once, and read by both replays and the report.
+    written once, and read by the report and by one replay of both models.
     """
     g = written(Q.bucketed(M.stream(spark, d)), "games")
-    p = R.replay(M.ladder_games(g), TEAM).select("gameid", "p")
-    q = R.replay(M.ladder_games(g, True), PLAYER).select("gameid", F.col("p").alias("q"))
-    return keep(g).join(p, "gameid").join(q, "gameid")
+    rated = R.replay_all(M.rated_games(g), {"team": TEAM, "player": PLAYER})
+    return keep(g).join(rated.select("gameid", F.col("team_p").alias("p"), F.col("player_p").alias("q")), "gameid")
 
 
 SCORED = (
@@ -326,7 +360,7 @@ RATINGS = ["elo", "pelo", "relo", "pelo_ra"]
 FEATURES = [*STATS, "pelo", "relo"]
 #: The ablation: stats alone, with player ratings, with region ratings, with anchored player ratings, with all.
 SETS = {"stats": STATS, "full": [*STATS, "pelo"], "combined": FEATURES, "anchored": [*STATS, "pelo_ra", "relo"], "both": [*STATS, "pelo", "pelo_ra", "relo"]}
-LADDERS = {"elo": (TEAM, False), "pelo": (PLAYER, True), "relo": (REGION, False), "pelo_ra": (PLAYER_RA, True)}
+LADDERS = {"elo": TEAM, "pelo": PLAYER, "relo": REGION, "pelo_ra": PLAYER_RA}
 ROUNDS = 50
 
 
@@ -334,9 +368,8 @@ def model_frame(spark, d):
     """Written rows of (gameid, date, stats, ratings, target), one per game; stats of unknown form are null."""
     g = written(M.stream(spark, d), "games")
     f = Q.features(spark, d).join(Q.role_differences(spark, d), "gameid", "left").select("gameid", F.col("blue_date").alias("date"), *STATS, "target")
-    for name, (ladder, by_player) in LADDERS.items():
-        f = f.join(R.replay(M.ladder_games(g, by_player), ladder).select("gameid", F.col("diff").alias(name)), "gameid")
-    return written(f, "model-frame")
+    rated = R.replay_all(M.rated_games(g), LADDERS)
+    return written(f.join(rated.select("gameid", *[F.col(f"{name}_diff").alias(name) for name in LADDERS]), "gameid"), "model-frame")
 
 
 def _holdout(spark, d):
@@ -388,9 +421,9 @@ SPLIT_COUNTS_SQL = M.sql(
 )
 
 
-def final_model(spark, d):
+def final_model(spark, d, frame=None):
     """Holdout figures, then the model refitted on all games, stored and loaded again."""
-    f = model_frame(spark, d)
+    f = model_frame(spark, d) if frame is None else frame
     s = T.split_by_position(f, ["date", "gameid"], 0.8)
     train = s.filter("is_train")
     held = _points(learn.fit(train, FEATURES, learn.logistic(train.count())).score(s.filter("not is_train").drop("seq", "is_train")))
@@ -403,8 +436,9 @@ def final_model(spark, d):
 
 def refit_model(spark, d):
     """Holdout figures beside those of the loaded refit on all games (seen in its training)."""
-    held, model, n = final_model(spark, d)
-    return held.select(F.lit("holdout").alias("model"), "*").union(_points(model.score(model_frame(spark, d))).select(F.lit("refit").alias("model"), "*"))
+    frame = model_frame(spark, d)
+    held, model, n = final_model(spark, d, frame)
+    return held.select(F.lit("holdout").alias("model"), "*").union(_points(model.score(frame)).select(F.lit("refit").alias("model"), "*"))
 
 
 MATCHUPS = (("Brand#11", "Brand#12"), ("Brand#23", "Brand#7"), ("brand#5", "Brand#11"))
@@ -433,7 +467,8 @@ def matchup_rows(spark, d, pairs=MATCHUPS, changes=(), window: int = 10):
     p = M.players(spark, d)
     form = T.recent_form(p, ["player"], ["date", "gameid", "side", "position"], window, ["quantity", "price"]).withColumn("player", F.col("player").cast("string"))
     g = written(M.stream(spark, d), "games")
-    ended = {name: R.final_ratings(M.ladder_games(g, by), ladder) for name, (ladder, by) in LADDERS.items()}
+    every = written(R.final_ratings_all(M.rated_games(g), LADDERS), "ratings")
+    ended = {name: every.filter(F.col("ladder") == name) for name in LADDERS}
 
     def rating(df, name, key, kind="member", into=None):
         return serving.with_default(df, ended[name].filter(F.col("kind") == kind), key, into=into or name)
@@ -541,7 +576,7 @@ def season_lift(spark, d):
 QUERIES = {
     "elo_replay": _rated(TEAM), "player_elo": _rated(PLAYER, True), "region_elo": _rated(REGION), "region_player_elo": _rated(PLAYER_RA, True),
     "elo_diff": (elo_diff, M.sql(f"SELECT gameid, round(diff + {TEAM.home}, 4) AS elo_diff FROM elo WHERE i > 0", fold_sql(TEAM).strip(), recursive=True)),
-    "elo_stream": (elo_stream, _rated(TEAM)[1]),
+    "elo_stream": (elo_stream, _rated(TEAM)[1]), "elo_incremental": (elo_incremental, M.history_sql(_rated(TEAM)[1])), "rating_snapshots": (rating_snapshots, SNAPSHOT_SQL),
     "elo_grid": _grid(GRID, False), "region_grid": _grid(REGION_GRID, True, TUNED_BEFORE),
     "elo_leaderboard": (elo_leaderboard, M.sql("SELECT pool, name, round(rating, 4) AS rating, games FROM finals JOIN counts USING (pool, name) WHERE games >= 10 ORDER BY rating DESC, pool, name LIMIT 10", fold_sql(TEAM).strip(), _final("member", TEAM), COUNTS, recursive=True)),
     "region_rank": (region_rank, M.sql("SELECT name, round(avg(rating), 4) AS rating, count(*) AS pools FROM (SELECT pool, name, rating FROM finals UNION ALL SELECT DISTINCT pool, region, 1500.0 FROM (SELECT pool, blue_region AS region FROM games UNION ALL SELECT pool, red_region FROM games) x WHERE NOT EXISTS (SELECT 1 FROM finals f WHERE f.pool = x.pool AND f.name = x.region)) GROUP BY name", fold_sql(REGION).strip(), _final("region", REGION), recursive=True)),

@@ -266,6 +266,25 @@ def latest_roster_asof(spark, d):
     return _roster(spark, d, "1997-07-01")
 
 
+def roster_as_of_games(spark, d):
+    """Every team's roster as it was known before each of its games: who last had each role, on an
+    earlier day. One pass answers all (team, role, day)."""
+    p = M.players(spark, d)
+    t = M.teams(p).select("gameid", "side", "team", "date")
+    events = p.join(t.drop("date"), ["gameid", "side"]).select("team", "position", "date", "gameid", "side", "player")
+    asked = t.withColumn("position", F.explode(F.array(*[F.lit(r) for r in M.ROLES])))
+    out = T.as_of(asked, events.withColumnRenamed("gameid", "game"), ["team", "position"], ["date"], ["date", "game", "side"], ["player"])
+    return out.select("gameid", "side", "team", "position", "player")
+
+
+AS_OF_SQL = M.sql(
+    "SELECT a.gameid, a.side, a.team, a.position, e.player FROM asked a ASOF LEFT JOIN last_of_day e ON a.team = e.team AND a.position = e.position AND a.date > e.date",
+    "events AS (SELECT t.team, p.position, p.date, p.gameid, p.side, p.player FROM players p JOIN teams t USING (gameid, side))",
+    "last_of_day AS (SELECT team, position, date, max_by(player, (gameid, side)) AS player FROM events GROUP BY ALL)",
+    f"asked AS (SELECT gameid, side, team, date, unnest({list(M.ROLES)}) AS position FROM teams)",
+)
+
+
 def _roster_sql(where: str = "") -> str:
     return M.sql(
         f"SELECT team, position, player FROM (SELECT t.team, p.position, p.player, row_number() OVER (PARTITION BY t.team, p.position ORDER BY p.date DESC, p.gameid DESC, p.side DESC) AS rn FROM players p JOIN teams t USING (gameid, side) {where}) WHERE rn = 1"
@@ -396,6 +415,7 @@ QUERIES = {
     "semi_by_ids": (semi_by_ids, M.sql("SELECT league, count(*) AS n FROM players WHERE gameid IN (SELECT o_orderkey FROM orders WHERE o_orderdate >= '1998-01-01') GROUP BY 1")),
     "latest_roster": (latest_roster, _roster_sql()),
     "latest_roster_asof": (latest_roster_asof, _roster_sql("WHERE p.date < '1997-07-01'")),
+    "roster_as_of_games": (roster_as_of_games, AS_OF_SQL),
     "roster_continuity": (roster_continuity, M.sql("SELECT * FROM cont", CONTINUITY)),
     "prior_games_coverage": (prior_games_coverage, M.sql("SELECT count(*) AS games, round(avg(CASE WHEN blue_prior >= 10 AND red_prior >= 10 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS coverage FROM wide", PRIOR.strip())),
     "temporal_split": (temporal_split, SPLIT_SQL),

@@ -86,6 +86,14 @@ def ladder_games(g: DataFrame, by_player: bool = False) -> DataFrame:
     return g.select("pool", "date", "gameid", cast[0].alias("blue"), cast[1].alias("red"), "blue_region", "red_region", F.col("cross_region").alias("cross"), "target")
 
 
+def rated_games(g: DataFrame) -> DataFrame:
+    """Games for ladders of teams and of lineups together."""
+    lineups = {f"{side}_lineup": F.col(f"{side}_lineup").cast("array<string>") for side in ("blue", "red")}
+    return g.withColumns(lineups).select(
+        "pool", "date", "gameid", F.array("blue_team").cast("array<string>").alias("blue"), F.array("red_team").cast("array<string>").alias("red"), *lineups, "blue_region", "red_region", F.col("cross_region").alias("cross"), "target"
+    )
+
+
 def over_history(query: Callable) -> Callable:
     """The query with ratings that are carried through all games in order of (date, gameid)."""
 

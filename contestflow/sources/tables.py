@@ -54,24 +54,51 @@ _folders: list[str] = []
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder for written tables that driver and executors share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/tables").rstrip("/")
+    """The folder for written tables that driver and executors share.
+
+    Where ``spark.checkpoint.dir`` is unset, a local session takes a folder of its warehouse; on
+    several hosts there is none that all of them see, so the setting is required.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/tables"
+    return base.rstrip("/")
+
+
+def folder(spark: SparkSession, what: str) -> str:
+    """A new name below the shared folder, deleted by ``clean`` at the latest."""
+    _folders.append(f"{shared(spark)}/{what}-{uuid.uuid4().hex}")
+    return _folders[-1]
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` written once to a new shared folder and read again: lost executors cost one stage."""
-    spark = df.sparkSession
-    path = f"{shared(spark)}/{what}-{uuid.uuid4().hex}"
-    _folders.append(path)
+    path = folder(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _folders:
+        _folders.remove(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again."""
+    for df in tables:
+        delete(df.sparkSession, df.folder)
 
 
 def clean(spark: SparkSession) -> None:
     """Delete all that ``written`` left; to be called once the results of all queries are stored."""
-    while _folders:
-        place = spark._jvm.org.apache.hadoop.fs.Path(_folders.pop())
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    for path in list(_folders):
+        delete(spark, path)
 
 
 def as_json(df: DataFrame, into: str = "json") -> DataFrame:
