@@ -111,3 +111,16 @@ def test_store_takes_new_and_late_games(spark, tmp_path):
         asked = [("p", k, n, end.date + dt.timedelta(minutes=1)) for k, n in after] + [("p", "member", "nobody", end.date), ("p", "member", None, end.date)]
         out = store.ratings_as_of(spark.createDataFrame(asked, "pool string, kind string, name string, date timestamp")).collect()
         assert {(r.kind, r.name): r.rating for r in out} == after | {("member", "nobody"): 1500.0, ("member", None): 1500.0}
+
+
+def test_stream_writes_the_state_of_who_plays(spark, tmp_path):
+    from contestflow.streaming.replay import replay_stream
+
+    start = dt.datetime(2020, 1, 1)
+    rows = [("p", start + dt.timedelta(hours=k), k, [f"a{k}"], [f"b{k}"], "x", "y", False, k % 2) for k in range(150)]
+    rows.append(("p", start + dt.timedelta(days=9), 500, ["a3"], ["b4"], "x", "y", False, 1))
+    first = replay_stream(spark.createDataFrame(rows[:150], SCHEMA), R.Ladder(), str(tmp_path / "s"))
+    assert [p["stateOperators"][0]["numRowsUpdated"] for p in first.progress] == [301]  # all members and the mark
+    out = replay_stream(spark.createDataFrame(rows[150:], SCHEMA), R.Ladder(), str(tmp_path / "s"), resume=True)
+    assert rated(out) == plain(rows, R.Ladder())[0]
+    assert [p["stateOperators"][0]["numRowsUpdated"] for p in out.progress] == [3]
