@@ -79,6 +79,29 @@ STATE = "pool string, unit string, point int, kind string, name string, rating d
 STEP = f"{STATE}, gameid long, p double, diff double, target int"
 
 
+def _key(kind, name):
+    return F.concat_ws("\x1f", F.lit(kind) if isinstance(kind, str) else kind, name)
+
+
+def _after(m, g, ladder: Ladder):
+    """The map of ratings after one game, as an expression."""
+
+    def strength(side, where):
+        own = F.aggregate(side, F.lit(0.0), lambda total, x: total + F.element_at(m, x)) / F.size(side)
+        return own + ladder.beta * (F.element_at(m, where) - ladder.base) if ladder.k_region is not None else own
+
+    def signs(side, k):
+        return F.size(F.filter(side, lambda x: x == k))
+
+    gap = strength(g["blue"], g["at_blue"]) - strength(g["red"], g["at_red"])
+    off = g["target"] - 1.0 / (1.0 + F.pow(F.lit(10.0), -(gap + ladder.home) / 400.0))
+    crossed = g["cross"] if ladder.k_region is not None else F.lit(False)
+    move = F.when(crossed, off * (ladder.k_region or 0.0)).otherwise(off * ladder.k)
+    # The move is bound once, as the one element of an array, not worked out for every entry.
+    moved = F.transform(F.array(move), lambda x: F.transform_values(m, lambda k, v: v + x * F.when(crossed, signs(F.array(g["at_blue"]), k) - signs(F.array(g["at_red"]), k)).otherwise(signs(g["blue"], k) - signs(g["red"], k))))
+    return F.element_at(moved, 1)
+
+
 def _units(games: DataFrame, long: DataFrame, size: int, regions: bool) -> DataFrame:
     """Games with ``unit``: groups of games that share no member with others of their pool.
 
@@ -169,25 +192,52 @@ class History:
         def begin(key, pdf):
             return go_on(key, pdf, None)
 
+        def step(now: DataFrame, met: DataFrame | None) -> DataFrame:
+            keyed = now.select("*", points.alias("point")).groupBy("pool", "unit", "point")
+            return keyed.applyInPandas(begin, STEP) if met is None else keyed.cogroup(met.groupBy("pool", "unit", "point")).applyInPandas(go_on, STEP)
+
+        return self._chain(step)
+
+    def fold_native(self, ladder: Ladder) -> DataFrame:
+        """The ratings that every slice changed or met, by SQL functions alone: the games of a slice
+        as an ordered array, folded into a map of ratings. A game costs a pass over the map, so this
+        is for few members (teams of a pool, regions)."""
+        arrays = LINEUPS if ladder.lineup and LINEUPS[0] in self.columns else ("blue", "red")
+
+        def step(now: DataFrame, met: DataFrame | None) -> DataFrame:
+            blue, red = (F.transform(F.col(c), lambda x: _key("member", x)) for c in arrays)
+            game = F.struct("date", "gameid", blue.alias("blue"), red.alias("red"), _key("region", F.col("blue_region")).alias("at_blue"), _key("region", F.col("red_region")).alias("at_red"), "cross", "target")
+            rows = now.groupBy("pool", "unit").agg(F.array_sort(F.collect_list(game)).alias("games"))
+            known = F.lit(None).cast("map<string,double>")
+            if met is not None:
+                last = met.groupBy("pool", "unit", "kind", "name").agg(F.max_by("rating", "step").alias("rating"))
+                held = last.groupBy("pool", "unit").agg(F.map_from_entries(F.collect_list(F.struct(_key(F.col("kind"), F.col("name")), "rating"))).alias("known"))
+                rows, known = rows.join(held, ["pool", "unit"], "left"), F.col("known")
+            names = F.array_distinct(F.flatten(F.transform("games", lambda g: F.concat(g["blue"], g["red"], F.array(g["at_blue"], g["at_red"])))))
+            start = F.map_from_entries(F.transform(names, lambda n: F.struct(n, F.coalesce(F.element_at(known, n), F.lit(ladder.base)))))
+            ends = rows.select("pool", "unit", F.aggregate("games", start, lambda m, g: _after(m, g, ladder)).alias("_m")).select("pool", "unit", F.explode("_m").alias("_k", "rating"))
+            told = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in STEP.split(", ")}
+            found = {"pool": F.col("pool"), "unit": F.col("unit"), "point": F.lit(0), "kind": F.substring_index("_k", "\x1f", 1), "name": F.regexp_replace("_k", "^[^\x1f]*\x1f", ""), "rating": F.col("rating")}
+            return ends.select(*[(found.get(c) if c in found else v).alias(c) for c, v in told.items()])
+
+        return self._chain(step)
+
+    def _chain(self, step) -> DataFrame:
+        """``step(games of a slice, known ratings of those who play or None)`` of one slice after the other."""
         if self.sliced is None:
-            keyed = self.games.select("*", F.lit("").alias("unit"), points.alias("point"))
-            return keyed.groupBy("pool", "unit", "point").applyInPandas(begin, STEP).withColumn("step", F.lit(0))
+            return step(self.games.withColumn("unit", F.lit("")), None).withColumn("step", F.lit(0))
         path = folder(self.spark, "steps")
         merged, since = None if self.start is None else self.start.withColumns({"unit": F.lit(""), "step": F.lit(-1)}), []
         for k in range(self.steps):
             now = self.spark.read.schema(self.schema).parquet(f"{self.sliced}/slice={k}")
-            keyed = now.select("*", points.alias("point")).groupBy("pool", "unit", "point")
-            known = self._ratings(path, merged, since)
-            if known is None:
-                out = keyed.applyInPandas(begin, STEP)
-            else:
+            known = met = self._ratings(path, merged, since)
+            if known is not None:
                 arrays = [c for c in ("blue", "red", *LINEUPS) if c in self.columns]
                 who = F.concat(*[F.transform(F.col(c), lambda x: F.struct(F.lit("member").alias("kind"), x.alias("name"))) for c in arrays])
                 where = F.transform(F.array("blue_region", "red_region"), lambda x: F.struct(F.lit("region").alias("kind"), x.alias("name")))
                 playing = now.select("pool", "unit", F.explode(F.concat(who, where)).alias("_x")).select("pool", "unit", "_x.*")
                 met = known.join(playing, ["pool", "unit", "kind", "name"], "left_semi")
-                out = keyed.cogroup(met.groupBy("pool", "unit", "point")).applyInPandas(go_on, STEP)
-            out.write.parquet(f"{path}/step={k}")
+            step(now, met).write.parquet(f"{path}/step={k}")
             since.append(k)
             if len(since) == MERGE and k + 1 < self.steps:
                 old, merged = merged, written(self._latest(self._ratings(path, merged, since)), "ratings")
@@ -242,6 +292,15 @@ def final_ratings(games: DataFrame, ladder: Ladder, size: int | None = None, by_
     return final_ratings_all(games, {"only": ladder}, size, by_component).select("pool", "kind", "name", "rating")
 
 
+def final_ratings_native(games: DataFrame, ladder: Ladder, size: int | None = None) -> DataFrame:
+    """As ``final_ratings``, by SQL functions alone; for few members."""
+    history = History(games, size)
+    out = history.fold_native(ladder)
+    last = out if history.sliced is None else History._latest(out)
+    history.close()
+    return last.select("pool", "kind", "name", "rating")
+
+
 def final_ratings_all(games: DataFrame, ladders: dict[str, Ladder], size: int | None = None, by_component: bool = False) -> DataFrame:
     """ladder, pool, kind, name, rating after the last game, of each named ladder."""
     history = History(games, size, by_component=by_component, regions=any(x.k_region is not None for x in ladders.values()))

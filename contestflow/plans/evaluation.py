@@ -126,7 +126,7 @@ def elo_leaderboard(spark, d):
 
 
 def region_rank(spark, d):
-    f = R.final_ratings(_games(spark, d), REGION).filter("kind = 'region'")
+    f = R.final_ratings_native(_games(spark, d), REGION).filter("kind = 'region'")
     return f.groupBy("name").agg(F.round(F.avg("rating"), 4).alias("rating"), F.count("*").alias("pools"))
 
 

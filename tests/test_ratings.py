@@ -124,3 +124,15 @@ def test_stream_writes_the_state_of_who_plays(spark, tmp_path):
     out = replay_stream(spark.createDataFrame(rows[150:], SCHEMA), R.Ladder(), str(tmp_path / "s"), resume=True)
     assert rated(out) == plain(rows, R.Ladder())[0]
     assert [p["stateOperators"][0]["numRowsUpdated"] for p in out.progress] == [3]
+
+
+@pytest.mark.parametrize("size", [1000, 30])
+@pytest.mark.parametrize("ladder", [R.Ladder(), ANCHORED])
+def test_native_fold_equals_the_loop(spark, ladder, size):
+    rows = [(*x[:3], [*x[3], "both"], x[4] if k % 5 else [*x[4], "both"], *x[5:]) for k, x in enumerate(league(12, 90))]
+    out = R.final_ratings_native(spark.createDataFrame(rows, SCHEMA), ladder, size)
+    want = plain(rows, ladder)[1]
+    got = {(r.kind, r.name): r.rating for r in out.collect()}
+    assert {k: v for k, v in got.items() if k[0] == "member" or ladder.k_region} == pytest.approx(want, abs=1e-9)
+    plan = R.History(spark.createDataFrame(rows, SCHEMA)).fold_native(ladder)._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Python" not in plan
