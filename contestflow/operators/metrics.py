@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import hash_draw, log_loss
+from ..functions.exprs import log_loss
 from .temporal import average_rank
 
 
@@ -61,19 +62,49 @@ def mcnemar(b: Column, c: Column) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * walked["total"]))
 
 
-def bootstrap(df: DataFrame, value: str, position: str, replicates: int, seed: int, groups: Sequence[str] = (), least: int = 30) -> DataFrame:
-    """lo, hi, replicates: percentile interval of the resampled mean; groups under ``least`` rows
-    are left out.
+#: Draws that one md5 of 32 digits gives.
+DRAWS = 4
 
-    ``position`` numbers the rows of a group from 0. Each replicate draws positions by hash, so
-    replicates run in parallel and agree in every engine; the join is on the drawn position.
+
+def poisson_steps() -> list[str]:
+    """Eight hexadecimal digits from which on a draw counts once, twice and so on: the cumulated
+    Poisson distribution of mean 1, up to what 32 bits can tell."""
+    steps, term, total = [], math.exp(-1.0), 0.0
+    while (limit := math.floor((total := total + term) * 2**32)) < 2**32 - 1:
+        steps.append(f"{limit:08x}")
+        term /= len(steps)
+    return steps
+
+
+def bootstrap(df: DataFrame, value: str | Sequence[str], key: str, replicates: int, seed: int, groups: Sequence[str] = (), least: int = 30) -> DataFrame:
+    """Percentile interval of the resampled mean: lo, hi, replicates, and ``measure`` (the column)
+    if there are several values, which then share their resamples. Groups under ``least`` rows are
+    left out.
+
+    How often a replicate holds a row is a Poisson number of mean 1, by a hash of seed, replicate
+    and ``key``: the resampling of large tables, in which rows need no numbers and no second row.
+    Sums are combined where rows lie, so what is shuffled is replicates x groups x parts, not rows.
+    Null values count as 0; keys tell rows apart, equal ones are drawn together.
     """
-    numbered = df.select(*groups, F.col(position).alias("_i"), F.col(value).alias("_x"))
-    sizes = numbered.groupBy(*groups).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
-    drawn = numbered.join(sizes, list(groups)) if groups else numbered.crossJoin(F.broadcast(sizes))
-    drawn = drawn.select(*groups, "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep"))
-    drawn = drawn.withColumn("_at", hash_draw(seed, F.col("_rep"), F.col("_i"), F.col("_n")))
-    counted = drawn.groupBy(*groups, "_rep", "_at").agg(F.count("*").alias("_k"))
-    taken = counted.join(numbered.withColumnRenamed("_i", "_at"), [*groups, "_at"])
-    means = taken.groupBy(*groups, "_rep").agg((F.sum(F.col("_x") * F.col("_k")) / F.sum("_k")).alias("_m"))
-    return means.groupBy(*groups).agg(F.percentile("_m", F.lit(0.025)).alias("lo"), F.percentile("_m", F.lit(0.975)).alias("hi"), F.count("*").alias("replicates"))
+    values = [value] if isinstance(value, str) else list(value)
+    sizes = df.groupBy(*groups).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
+    rows = df.select(*groups, F.col(key).cast("string").alias("_key"), *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(f"_x{i}") for i, v in enumerate(values)])
+    rows = rows.join(F.broadcast(sizes), list(groups)) if groups else rows.crossJoin(F.broadcast(sizes))
+    hashes = math.ceil(replicates / DRAWS)
+    drawn = rows.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(hashes - 1))))
+    drawn = drawn.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_rep").cast("string"), "_key").cast("binary")))
+
+    def times(k: int) -> Column:
+        digits, out = F.substring("_h", 8 * k + 1, 8), None
+        for n, step in enumerate(poisson_steps()):
+            out = F.when(digits < step, n) if out is None else out.when(digits < step, n)
+        return out.otherwise(len(poisson_steps())).cast("double")
+
+    drawn = drawn.select(*groups, "_rep", *[f"_x{i}" for i in range(len(values))], *[times(k).alias(f"_w{k}") for k in range(DRAWS)])
+    sums = [F.sum(f"_w{k}").alias(f"_w{k}") for k in range(DRAWS)] + [F.sum(F.col(f"_w{k}") * F.col(f"_x{i}")).alias(f"_s{k}_{i}") for k in range(DRAWS) for i in range(len(values))]
+    by_hash = drawn.groupBy(*groups, "_rep").agg(*sums)
+    each = F.array(*[F.struct((F.col("_rep") * DRAWS + k).alias("rep"), F.lit(v).alias("measure"), (F.col(f"_s{k}_{i}") / F.nullif(F.col(f"_w{k}"), F.lit(0.0))).alias("mean")) for k in range(DRAWS) for i, v in enumerate(values)])
+    means = by_hash.select(*groups, F.explode(each).alias("_m")).select(*groups, "_m.*").filter(F.col("rep") < replicates)
+    by = [*groups, "measure"]
+    out = means.groupBy(*by).agg(F.percentile("mean", F.lit(0.025)).alias("lo"), F.percentile("mean", F.lit(0.975)).alias("hi"), F.count("*").alias("replicates"))
+    return out.drop("measure") if isinstance(value, str) else out

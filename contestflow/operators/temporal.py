@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,45 +12,105 @@ from pyspark.sql.window import Window
 from ..sources.tables import written
 
 
-def trailing_mean(df: DataFrame, columns: Sequence[str], entity: Sequence[str], order: Sequence[str], window: int, least: int, prefix: str = "roll_") -> DataFrame:
-    """Mean of the last ``window`` earlier rows; null below ``least`` non-null values. One sort for all."""
-    w = Window.partitionBy(*entity).orderBy(*order).rowsBetween(-window, -1)
-    return df.withColumns({prefix + c: F.when(F.count(c).over(w) >= least, F.avg(c).over(w)) for c in columns})
+def ranged(df: DataFrame, entity: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` range-partitioned by entity and order, with the number ``_part`` of the part; written
+    once, which fixes the parts. A long entity spans several parts that follow each other."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(n, *entity, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+
+
+def with_halo(parts: DataFrame, entity: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """The rows of every part (``_part``) and, marked by ``_halo``, the last ``n`` rows of each of its
+    entities in the parts before, so that windows of ``n`` rows stay inside a part.
+
+    Of each part at most ``n`` rows an entity travel; an entity has a row in every part it spans,
+    so ``n`` parts back are enough.
+    """
+    columns = [c for c in parts.columns if c not in (*entity, "_part")]
+    back = Window.partitionBy(*entity, "_part").orderBy(*[F.col(c).desc() for c in order])
+    row = F.struct(*[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], F.struct(*columns).alias("_row"))
+    last = parts.withColumn("_back", F.row_number().over(back)).filter(F.col("_back") <= n)
+    tails = last.select(*entity, "_part", F.col("_back"), row.alias("_tail")).groupBy(*entity, "_part").agg(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("_back"), "_tail"))), lambda x: x["_tail"]).alias("_tails"))
+    before = Window.partitionBy(*entity).orderBy("_part").rowsBetween(-n, -1)
+    halo = tails.withColumn("_all", F.flatten(F.collect_list("_tails").over(before))).select(*entity, "_part", F.explode(F.when(F.size("_all") > n, F.slice("_all", -n, n)).otherwise(F.col("_all"))).alias("_t"))
+    halo = halo.select(*entity, "_part", *[F.col("_t._row")[c].alias(c) for c in columns])
+    return parts.withColumn("_halo", F.lit(False)).unionByName(halo.withColumn("_halo", F.lit(True)))
+
+
+def _framed(df: DataFrame, entity: Sequence[str], order: Sequence[str], n: int, split: bool) -> tuple[DataFrame, list[str]]:
+    """Rows to put windows of ``n`` earlier rows on, and what to partition these by."""
+    if not split:
+        return df.withColumn("_halo", F.lit(False)), [*entity]
+    return with_halo(ranged(df, entity, order), entity, order, n), [*entity, "_part"]
+
+
+def trailing_mean(df: DataFrame, columns: Sequence[str], entity: Sequence[str], order: Sequence[str], window: int, least: int, prefix: str = "roll_", split: bool = False) -> DataFrame:
+    """Mean of the last ``window`` earlier rows; null below ``least`` non-null values. One sort for all.
+
+    ``split`` is for few, long entities: they are cut into ranges of their order, each with the last
+    rows of the range before, so an entity is the work of many tasks. The order is then total.
+    """
+    framed, keys = _framed(df, entity, order, window, split)
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-window, -1)
+    means = {prefix + c: F.when(F.count(c).over(w) >= least, F.avg(c).over(w)) for c in columns}
+    return framed.withColumns(means).filter(~F.col("_halo")).select(*[c for c in df.columns if c not in means], *means)
 
 
 def prior_count(df: DataFrame, entity: Sequence[str], order: Sequence[str], into: str = "prior") -> DataFrame:
     return df.withColumn(into, (F.row_number().over(Window.partitionBy(*entity).orderBy(*order)) - 1).cast("long"))
 
 
-def trailing_mode(df: DataFrame, value: str, entity: Sequence[str], order: Sequence[str], window: int, into: str) -> DataFrame:
+def trailing_mode(df: DataFrame, value: str, entity: Sequence[str], order: Sequence[str], window: int, into: str, split: bool = False) -> DataFrame:
     """Most frequent value of the last ``window`` earlier rows.
 
     Of ties the value whose present stay in the window is the longest wins; a stay starts where
     the value was absent from the ``window`` rows before. Without earlier rows: the own value.
+    ``split`` as in ``trailing_mean``; positions, last occurrences and stays are carried over the
+    ranges by prefix sums and maxima of one row per range, entity and value.
     """
-    by_row = Window.partitionBy(*entity).orderBy(*order)
-    by_value = Window.partitionBy(*entity, value).orderBy("_i")
-    df = df.withColumn("_i", F.row_number().over(by_row))
-    last = F.lag("_i").over(by_value)
-    df = df.withColumn("_new", F.when(last.isNull() | (F.col("_i") - last > window), F.col("_i")))
-    df = df.withColumn("_stay", F.max("_new").over(by_value.rowsBetween(Window.unboundedPreceding, 0)))
-    frame = Window.partitionBy(*entity).orderBy("_i").rowsBetween(-window, -1)
-    df = df.withColumn("_seen", F.collect_list(F.struct(F.col(value).alias("v"), F.col("_stay").alias("s"))).over(frame))
+    parts = ranged(df, entity, order) if split else df
+    keys = [*entity, "_part"] if split else [*entity]
+
+    def carried(rows: DataFrame, by: Sequence[str], what, into: str) -> DataFrame:
+        """``rows`` with ``into``: what the earlier parts of the same ``by`` add up to."""
+        if not split:
+            return rows.withColumn(into, F.lit(None).cast("int"))
+        each = rows.groupBy(*by, "_part").agg(what(F).alias("_x"))
+        over = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        total = F.sum("_x") if into == "_base" else F.max("_x")
+        totals = each.select(*[F.col(c).alias(f"_k{k}") for k, c in enumerate((*by, "_part"))], total.over(over).alias(into))
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_k{k}")) for k, c in enumerate((*by, "_part"))])
+        return rows.join(totals, same, "left").drop(*[f"_k{k}" for k in range(len(by) + 1)])
+
+    df_columns = df.columns
+    by_row, by_value = Window.partitionBy(*keys).orderBy(*order), Window.partitionBy(*keys, value).orderBy("_i")
+    rows = carried(parts, entity, lambda f: f.count("*"), "_base")
+    rows = rows.withColumn("_i", F.row_number().over(by_row) + F.coalesce("_base", F.lit(0)))
+    rows = carried(rows, [*entity, value], lambda f: f.max("_i"), "_earlier")
+    last = F.coalesce(F.lag("_i").over(by_value), "_earlier")
+    rows = rows.withColumn("_last", last).withColumn("_new", F.when(F.col("_last").isNull() | (F.col("_i") - F.col("_last") > window), F.col("_i")))
+    rows = carried(rows, [*entity, value], lambda f: f.max("_new"), "_begun")
+    rows = rows.withColumn("_stay", F.greatest(F.max("_new").over(by_value.rowsBetween(Window.unboundedPreceding, 0)), "_begun"))
+    rows = rows.select(*df_columns, *(["_part"] if split else []), "_i", "_stay")
+    rows = with_halo(written(rows, "stays"), entity, ["_i"], window) if split else rows.withColumn("_halo", F.lit(False))
+    frame = Window.partitionBy(*keys).orderBy("_i").rowsBetween(-window, -1)
+    rows = rows.withColumn("_seen", F.collect_list(F.struct(F.col(value).alias("v"), F.col("_stay").alias("s"))).over(frame))
 
     def rank(v: Column) -> Column:
         own = F.filter("_seen", lambda x: x["v"] == v)
         return F.struct(-F.size(own), F.array_max(F.transform(own, lambda x: x["s"])), v.alias("v"))
 
     ranked = F.array_sort(F.transform(F.array_distinct(F.transform("_seen", lambda x: x["v"])), rank))
-    return df.withColumn(into, F.coalesce(F.get(ranked, 0)["v"], F.col(value))).drop("_i", "_new", "_stay", "_seen")
+    rows = rows.filter(~F.col("_halo"))
+    return rows.withColumn(into, F.coalesce(F.get(ranked, 0)["v"], F.col(value))).select(*[c for c in df_columns if c != into], into)
 
 
-def overlap_with_previous(df: DataFrame, members: Column, entity: Sequence[str], order: Sequence[str], into: str) -> DataFrame:
-    """Members shared with the entity's previous row; null on its first."""
-    now = F.array_distinct(members)
-    before = F.lag("_members").over(Window.partitionBy(*entity).orderBy(*order))
-    df = df.withColumn("_members", now).withColumn("_before", before)
-    return df.withColumn(into, F.when(F.col("_before").isNotNull(), F.size(F.array_intersect("_members", "_before")).cast("long"))).drop("_members", "_before")
+def overlap_with_previous(df: DataFrame, members: Column, entity: Sequence[str], order: Sequence[str], into: str, split: bool = False) -> DataFrame:
+    """Members shared with the entity's previous row; null on its first. ``split`` as in ``trailing_mean``."""
+    framed, keys = _framed(df.withColumn("_members", F.array_distinct(members)), entity, order, 1, split)
+    rows = framed.withColumn("_before", F.lag("_members").over(Window.partitionBy(*keys).orderBy(*order))).filter(~F.col("_halo"))
+    shared = F.when(F.col("_before").isNotNull(), F.size(F.array_intersect("_members", "_before")).cast("long"))
+    return rows.withColumn(into, shared).select(*[c for c in df.columns if c != into], into)
 
 
 def ordered_index(df: DataFrame, order: Sequence[str], into: str = "seq", groups: Sequence[str] = ()) -> DataFrame:
@@ -57,13 +118,6 @@ def ordered_index(df: DataFrame, order: Sequence[str], into: str = "seq", groups
     return running(df, order, {into: F.lit(1)}, "long", groups)
 
 
-def ranged(df: DataFrame, entity: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """``df`` range-partitioned by entity and order, with the number ``_part`` of the part; written
-    once, which fixes the parts. A long entity spans several parts that follow each other."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return written(df.repartitionByRange(n, *entity, *order).withColumn("_part", F.spark_partition_id()), "ranged")
-
-
 def running(df: DataFrame, order: Sequence[str], sums: dict[str, Column], kind: str = "double", groups: Sequence[str] = ()) -> DataFrame:
     """Running sums (the row included) in ``order``, over all rows or per group.
 

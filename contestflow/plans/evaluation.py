@@ -25,7 +25,9 @@ GRID = [R.Ladder(k=float(k), home=float(h)) for k in (12, 16, 20, 24, 28, 32, 40
 REGION_GRID = [R.Ladder(k=40.0, home=20.0, beta=b, k_region=float(k)) for b in (0.0, 0.25, 0.5, 0.75, 1.0, 1.25, 1.5) for k in (8, 16, 24, 32, 48)]
 #: Region parameters are chosen on games before this day.
 TUNED_BEFORE = "2000-01-01"
-REPLICATES, LEAST_GROUP = 200, 30
+REPLICATES, LEAST_GROUP = 2000, 30
+#: Seeds of the intervals of accuracy and log-loss, of models and of their differences.
+SEEDS = {"accuracy": 42, "log_loss": 43, "accuracy_difference": 44, "log_loss_difference": 45}
 
 
 def fold_sql(ladder: R.Ladder | SimpleNamespace, by_player: bool = False, name: str = "elo", points: str = "") -> str:
@@ -230,29 +232,65 @@ MCNEMAR_SQL = """SELECT bucket, only_p, only_q, round(CASE WHEN only_p + only_q
 FROM (SELECT bucket, count(*) FILTER ((p >= 0.5) = (target = 1) AND (q >= 0.5) <> (target = 1)) AS only_p, count(*) FILTER ((p >= 0.5) <> (target = 1) AND (q >= 0.5) = (target = 1)) AS only_q FROM scored GROUP BY bucket)"""
 
 
-def _numbered(s):
-    """Rows with their position from 0 in the order of their bucket."""
-    return T.ordered_index(s, ["date", "gameid"], "pos", ["bucket"]).withColumn("pos", F.col("pos") - 1)
+def _hit(p):
+    return ((F.col(p) >= 0.5) == (F.col("target") == 1)).cast("double")
 
 
-def _boot(value):
+def _boot(measures):
+    """Intervals per bucket; ``measures``: seed name -> {measure: column}, drawn together."""
+
     def query(spark, d):
-        s = _numbered(scored(spark, d)).withColumn("x", value)
-        b = metrics.bootstrap(s, "x", "pos", REPLICATES, 42, ["bucket"], LEAST_GROUP)
-        m = s.groupBy("bucket").agg(F.avg("x").alias("mean"))
-        out = m.join(b, "bucket").withColumn("significant", (F.col("lo") > 0) | (F.col("hi") < 0))
-        return _rounded(out)
+        columns = {m: c for group in measures.values() for m, c in group.items()}
+        s = written(scored(spark, d).select("bucket", "gameid", *[c.alias(m) for m, c in columns.items()]), "scored")
+        out = None
+        for name, group in measures.items():
+            b = metrics.bootstrap(s, list(group), "gameid", REPLICATES, SEEDS[name], ["bucket"], LEAST_GROUP)
+            out = b if out is None else out.union(b)
+        means = s.groupBy("bucket").agg(*[F.avg(m).alias(m) for m in columns]).unpivot("bucket", list(columns), "measure", "mean")
+        joined = means.join(out, ["bucket", "measure"]).withColumn("significant", (F.col("lo") > 0) | (F.col("hi") < 0))
+        return _rounded(joined.select("bucket", "measure", "mean", "lo", "hi", "replicates", "significant"))
 
     return query
 
 
-def _boot_sql(value):
+def _boot_sql(measures):
+    """The same by one row per game, hash and draw."""
+    draws, steps = metrics.DRAWS, metrics.poisson_steps()
+    times = "CASE " + " ".join(f"WHEN digits < '{x}' THEN {n}" for n, x in enumerate(steps)) + f" ELSE {len(steps)} END"
+    parts = []
+    for name, group in measures.items():
+        h = f"(SELECT *, md5('{SEEDS[name]}|' || r || '|' || gameid) AS h FROM sized, range({-(-REPLICATES // draws)}) t(r) WHERE n >= {LEAST_GROUP})"
+        w = f"(SELECT *, {times} AS w FROM (SELECT *, r * {draws} + k AS rep, substring(h, 8 * k + 1, 8) AS digits FROM {h}, range({draws}) u(k)))"
+        sums = f"(SELECT bucket, rep, " + ", ".join(f"sum(w * {m}) / nullif(sum(w), 0) AS {m}" for m in group) + f" FROM {w} WHERE rep < {REPLICATES} GROUP BY ALL)"
+        parts += [f"SELECT bucket, '{m}' AS measure, quantile_cont({m}, 0.025) AS lo, quantile_cont({m}, 0.975) AS hi, count(*) AS replicates FROM {sums} GROUP BY bucket" for m in group]
+    names = [m for group in measures.values() for m in group]
+    means = " UNION ALL ".join(f"SELECT bucket, '{m}' AS measure, avg({m}) AS mean FROM sized GROUP BY bucket" for m in names)
+    exprs = ", ".join(f"{_BOOT_SQL[m]} AS {m}" for m in names)
     return _sql(
-        "SELECT bucket, round(mean, 6) AS mean, round(quantile_cont(bm, 0.025), 6) AS lo, round(quantile_cont(bm, 0.975), 6) AS hi, count(*) AS replicates, quantile_cont(bm, 0.025) > 0 OR quantile_cont(bm, 0.975) < 0 AS significant FROM bmeans JOIN (SELECT bucket, avg(x) AS mean FROM numbered GROUP BY bucket) USING (bucket) GROUP BY bucket, mean",
-        f"numbered AS (SELECT *, {value} AS x, row_number() OVER (PARTITION BY bucket ORDER BY date, gameid) - 1 AS pos, count(*) OVER (PARTITION BY bucket) AS n FROM scored)",
-        f"draws AS (SELECT bucket, rep, ('0x' || substring(md5('42|' || rep || '|' || pos), 1, 13))::BIGINT % n AS at FROM numbered, range({REPLICATES}) r(rep) WHERE n >= {LEAST_GROUP})",
-        "bmeans AS (SELECT d.bucket, rep, avg(x) AS bm FROM draws d JOIN numbered b ON b.bucket = d.bucket AND b.pos = d.at GROUP BY d.bucket, rep)",
-    )
+        "SELECT bucket, measure, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, replicates, lo > 0 OR hi < 0 AS significant FROM boots JOIN means USING (bucket, measure)",
+        f"sized AS (SELECT bucket, gameid, {exprs}, count(*) OVER (PARTITION BY bucket) AS n FROM scored)", f"boots AS ({' UNION ALL '.join(parts)})", f"means AS ({means})",
+    )
+
+
+def _single():
+    return {
+        "accuracy": {"team_accuracy": _hit("p"), "player_accuracy": _hit("q")},
+        "log_loss": {"team_log_loss": X.log_loss(F.col("target"), F.col("p")), "player_log_loss": X.log_loss(F.col("target"), F.col("q"))},
+    }
+
+
+def _paired():
+    return {
+        "accuracy_difference": {"accuracy": _hit("p") - _hit("q")},
+        "log_loss_difference": {"log_loss": X.log_loss(F.col("target"), F.col("p")) - X.log_loss(F.col("target"), F.col("q"))},
+    }
+
+
+_HIT_SQL = "(CASE WHEN ({0} >= 0.5) = (target = 1) THEN 1.0 ELSE 0.0 END)::DOUBLE"
+_BOOT_SQL = {
+    "team_accuracy": _HIT_SQL.format("p"), "player_accuracy": _HIT_SQL.format("q"), "team_log_loss": _LOSS.format("p"), "player_log_loss": _LOSS.format("q"),
+    "accuracy": f"{_HIT_SQL.format('p')} - {_HIT_SQL.format('q')}", "log_loss": f"({_LOSS.format('p')}) - ({_LOSS.format('q')})",
+}
 
 
 def cumulative_accuracy(spark, d):
@@ -584,8 +622,8 @@ QUERIES = {
     "metrics_by_bucket": (metrics_by_bucket, _sql(f"SELECT slice, {_POINT} FROM (SELECT 'overall' AS slice, * FROM scored UNION ALL SELECT bucket, * FROM scored) GROUP BY slice")),
     "constant_baseline": (constant_baseline, _sql(f"SELECT {_POINT} FROM (SELECT target, (SELECT avg(target) FROM scored) AS p FROM scored)")),
     "auc_by_group": (auc_by_group, _sql(AUC_SQL)), "class_report": (class_report, _sql(CLASS_SQL)), "calibration_bins": (calibration_bins, _sql(CALIBRATION_SQL)), "mcnemar": (mcnemar, _sql(MCNEMAR_SQL)),
-    "bootstrap_ci": (lambda s, d: _boot(X.log_loss(F.col("target"), F.col("p")))(s, d), _boot_sql(_LOSS.format("p"))),
-    "paired_ci": (lambda s, d: _boot(X.log_loss(F.col("target"), F.col("p")) - X.log_loss(F.col("target"), F.col("q")))(s, d), _boot_sql(f"({_LOSS.format('p')}) - ({_LOSS.format('q')})")),
+    "bootstrap_ci": (lambda s, d: _boot(_single())(s, d), _boot_sql({"accuracy": ["team_accuracy", "player_accuracy"], "log_loss": ["team_log_loss", "player_log_loss"]})),
+    "paired_ci": (lambda s, d: _boot(_paired())(s, d), _boot_sql({"accuracy_difference": ["accuracy"], "log_loss_difference": ["log_loss"]})),
     "cumulative_accuracy": (cumulative_accuracy, _sql(CUMULATIVE_SQL)),
     "season_summary": (season_summary, _sql(f"SELECT {_POINT} FROM season", SEASON)),
     "season_by_league": (season_by_league, _sql(f"SELECT blue_league, {_POINT} FROM season GROUP BY 1 HAVING count(*) >= 10", SEASON)),

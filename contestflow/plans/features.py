@@ -179,7 +179,7 @@ def trailing_mean_player(spark, d):
 
 
 def trailing_mean_team(spark, d):
-    t = T.trailing_mean(M.teams(M.players(spark, d)), ["revenue", "avg_quantity", "avg_discount"], ["team"], ["date", "gameid", "side"], 10, 5)
+    t = T.trailing_mean(M.teams(M.players(spark, d)), ["revenue", "avg_quantity", "avg_discount"], ["team"], ["date", "gameid", "side"], 10, 5, split=True)
     return t.select("gameid", "side", "team", *[rounded(f"roll_{c}", 4).alias(f"roll_{c}") for c in ("revenue", "avg_quantity", "avg_discount")])
 
 
@@ -225,7 +225,7 @@ _TEAM_MODE = _mode_sql("teams", "team", "league", "date, gameid, side", "gameid,
 
 
 def trailing_mode_home(spark, d):
-    return T.trailing_mode(M.teams(M.players(spark, d)), "league", ["team"], ["date", "gameid", "side"], 20, "home").select("gameid", "side", "team", "home")
+    return T.trailing_mode(M.teams(M.players(spark, d)), "league", ["team"], ["date", "gameid", "side"], 20, "home", split=True).select("gameid", "side", "team", "home")
 
 
 def trailing_mode_events(spark, d):
@@ -293,7 +293,7 @@ def _roster_sql(where: str = "") -> str:
 
 def roster_continuity(spark, d):
     t = M.teams(M.players(spark, d))
-    return T.overlap_with_previous(t, F.col("lineup"), ["team"], ["date", "gameid", "side"], "continuity").select("gameid", "side", "team", "continuity")
+    return T.overlap_with_previous(t, F.col("lineup"), ["team"], ["date", "gameid", "side"], "continuity", split=True).select("gameid", "side", "team", "continuity")
 
 
 CONTINUITY = "cont AS (SELECT gameid, side, team, CASE WHEN before IS NOT NULL THEN len(list_intersect(lineup, before))::BIGINT END AS continuity FROM (SELECT *, lag(lineup) OVER (PARTITION BY team ORDER BY date, gameid, side) AS before FROM teams))"
