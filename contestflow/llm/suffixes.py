@@ -16,6 +16,7 @@ look repeated.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,12 @@ PIECE_STARTS = 4096
 RUN_ROWS, RUN_BYTES = 30_000, 12 << 20
 #: Bytes of suffixes in one range of the merge.
 RANGE_BYTES = 16 << 20
-#: Sampled suffix starts per range (2048 at least) that place the ranges; they balance the merge and never change results.
+#: Ranges that are told apart at once; where more are needed, each of these is cut again.
+COARSE = 2048
+#: Sampled suffixes per range (2048 in all at least) that place the ranges; they balance the merge and never change results.
 SAMPLE = 8
+#: Tasks that cut the blocks of one coarse range.
+SALTS = 16
 KEY = ["doc", "th"]
 
 
@@ -332,24 +337,90 @@ def decoded(block: bytes, n: int, index: int):
         yield before, shared, index, place
 
 
+def sampled(suffixes: DataFrame, most: int, rows: int) -> DataFrame:
+    """About ``most`` of the suffixes (all of them, if there are no more), the same ones every time."""
+    draw = F.pmod(F.xxhash64("body", *KEY, "p"), F.lit(1 << 30))
+    return suffixes.filter(draw < F.lit(int(min(1.0, most / max(rows, 1)) * (1 << 30))))
+
+
+def quantiles(ordered: list[bytes], ranges: int) -> list[bytes]:
+    """Strings that part a sorted sample into ``ranges``; they are as long as what makes a repeat, so
+    common starts are parted by what follows. Fewer where one string fills several ranges."""
+    return sorted({ordered[len(ordered) * k // ranges] for k in range(1, ranges)}) if ordered else []
+
+
+def cut_at(ordered: list[bytes], splits: list[bytes]) -> list[tuple[int, int, int]]:
+    """(range, from, to) of the ranges that a sorted run has strings in; only the splits between its
+    first and last string are looked at."""
+    if not ordered:
+        return []
+    first, last = bisect_right(splits, ordered[0]), bisect_right(splits, ordered[-1])
+    cuts = [0, *(bisect_left(ordered, x) for x in splits[first:last]), len(ordered)]
+    return [(first + k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+
+
+def refined(suffixes: DataFrame, coded: DataFrame, splits: list[bytes], finer: int, rows: int, length: int) -> DataFrame:
+    """The runs of ``coded`` cut again, each coarse range into about ``finer``.
+
+    The finer splits of a range are quantiles of its own part of a distributed sample, and reach
+    the tasks that cut its blocks as a row in front of these; no task and no closure holds those
+    of all ranges.
+    """
+
+    def coarse(batch):
+        body = batch.column("body").to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([bisect_right(splits, b) for b in body], pa.int64()), pa.array(body, pa.binary())], ["range", "body"])
+
+    drawn = map_rows(sampled(suffixes, SAMPLE * finer * (len(splits) + 1), rows).select("body"), coarse, "range long, body binary")
+    inner = drawn.groupBy("range").agg(F.sort_array(F.collect_list("body")).alias("drawn"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(finer - 1)), lambda k: F.floor(F.size("drawn") * k / finer).cast("int"))
+    inner = inner.select("range", F.array_distinct(F.transform(at, lambda k: F.get("drawn", k))).alias("splits"))
+    blocks = coded.filter("range >= 0").select("*", F.pmod(F.xxhash64("run"), F.lit(SALTS)).alias("salt"), F.lit(None).cast("array<binary>").alias("splits"))
+    head = inner.select("range", "splits", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    both = blocks.unionByName(head, allowMissingColumns=True).withColumn("block_row", F.col("run").isNotNull())
+    n = max(int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(splits) + 1)
+    dealt = both.repartition(n, "range", "salt").sortWithinPartitions("range", "salt", "block_row")
+    names = ["range", "run", "block", *KEY, "p", "last"]
+    kinds = [pa.int64(), pa.string(), pa.binary(), *[pa.list_(pa.int64())] * 4]
+
+    def cut(batches):
+        of, inside = None, []
+        for batch in batches:
+            for row in range(batch.num_rows):
+                r = {c: batch.column(c)[row].as_py() for c in (*names, "splits")}
+                if r["range"] != of:
+                    of, inside = r["range"], []
+                if r["run"] is None:
+                    inside = [bytes(x) for x in r["splits"]]
+                    continue
+                strings = [x[0] for x in decoded(r["block"], len(r["p"]), 0)]
+                for k, a, b in cut_at([x[:length] for x in strings], inside):
+                    out = (r["range"] * finer + k, r["run"], front_code(strings[a:b])[0], *(r[c][a:b] for c in (*KEY, "p", "last")))
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out, kinds, strict=True)], names)
+
+    lists = "doc array<long>, th array<long>, p array<long>, last array<long>"
+    again = dealt.select(*names, "splits").mapInArrow(cut, f"range long, run string, block binary, {lists}")
+    return again.union(coded.filter("range < 0").select(*names))
+
+
 def sorted_verdicts(suffixes: DataFrame, length: int) -> DataFrame:
     """(doc, th, p, last): starts p..last repeat, by the sorted order of the suffixes.
 
     In a local run equal suffixes decide each other and one of them goes on, so a string that
-    very many texts share costs one suffix a run. The number of ranges follows the bytes.
+    very many texts share costs one suffix a run. The number of ranges follows the bytes; what the
+    driver and the tasks hold of their limits does not, since beyond ``COARSE`` ranges each is cut
+    again by splits of its own. Suffixes that share ``length`` bytes meet in one range.
     """
-    total = suffixes.agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0
-    ranges = max(int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // RANGE_BYTES)
-    most = max(2048, SAMPLE * ranges)
-    prefix, draw = F.substring("body", 1, 64), F.xxhash64("body", *KEY, "p")
-    sample = [bytes(r[0]) for r in suffixes.select(prefix.alias("x"), draw.alias("o")).orderBy("o").limit(most).collect()]
-    sample.sort()
-    splits = sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
+    size = suffixes.agg(F.sum(F.octet_length("body").cast("long")).alias("bytes"), F.count("*").alias("rows")).first()
+    wanted = max(int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size.bytes or 0) // RANGE_BYTES)
+    ranges, finer = min(wanted, COARSE), -(-wanted // COARSE)
+    start = F.substring("body", 1, length)  # what shares this much meets in one range
+    drawn = [bytes(r[0]) for r in sampled(suffixes, max(2048, SAMPLE * ranges), size.rows).select(start).collect()]  # bounded by COARSE
+    splits = quantiles(sorted(drawn), ranges)
     names = ["range", "run", "block", *KEY, "p", "last"]
     kinds = [pa.int64(), pa.string(), pa.binary(), *[pa.list_(pa.int64())] * 4]
 
     def local(batches):
-        import bisect
         import uuid
 
         held, size = [], 0
@@ -368,11 +439,9 @@ def sorted_verdicts(suffixes: DataFrame, length: int) -> DataFrame:
                     kept.append(r)
             held.clear()
             name, out = uuid.uuid4().hex, []
-            cuts = [0, *(bisect.bisect_left(kept, s, key=lambda r: r[0][:64]) for s in splits), len(kept)]
-            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if a < b:
-                    block, _ = front_code([r[0] for r in kept[a:b]])
-                    out.append((k, name, block, *([r[i] for r in kept[a:b]] for i in (1, 2, 3)), [int(r[4]) for r in kept[a:b]]))
+            for k, a, b in cut_at([r[0][:length] for r in kept], splits):
+                block, _ = front_code([r[0] for r in kept[a:b]])
+                out.append((k, name, block, *([r[i] for r in kept[a:b]] for i in (1, 2, 3)), [int(r[4]) for r in kept[a:b]]))
             done = list(dict.fromkeys(done))
             for k in range(0, len(done), 5000):
                 out.append((-1, name, None, *map(list, zip(*done[k : k + 5000], strict=True))))
@@ -392,6 +461,9 @@ def sorted_verdicts(suffixes: DataFrame, length: int) -> DataFrame:
 
     lists = "doc array<long>, th array<long>, p array<long>, last array<long>"
     coded = materialize(suffixes.select("body", *KEY, "p", "judged").mapInArrow(local, f"range long, run string, block binary, {lists}"), "suffix-runs")
+    if finer > 1:
+        whole, coded = coded, materialize(refined(suffixes.withColumn("body", start), coded, splits, finer, size.rows, length), "suffix-runs")
+        discard(whole)
 
     def merge(group):
         block, ids = group.column("block").to_pylist(), [group.column(c).to_pylist() for c in (*KEY, "p", "last")]
