@@ -9,24 +9,30 @@ of any length that fits in a task; no stage looks at a prefix of it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contestflow.llm import minhash, mixing, packing, quality, suffixes
 from contestflow.llm.common import materialize, table, words_of
 
-#: Bytes of a passage that goes when it repeats: fifty words of four bytes, so that every passage
-#: of over fifty words is long enough, whatever its language.
+#: Bytes of a passage that goes when it repeats: fifty words of four bytes with their spaces. A
+#: passage of over fifty words that has fewer bytes (words of one or two letters) stays.
 PASSAGE_BYTES = 200
 
 
+def _rows(docs: DataFrame) -> Column:
+    """A row as one struct, so that no name of the work meets a column of the input."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep.
 
     Null, empty and short texts (under 50 words) fail the base rule and go, as do repetitive ones;
     a null source or lang plays no part. Repeated rows stay or go together. No tie can arise.
     """
-    return quality.judge(docs, prefix="_q_").filter("_q_kept").select(*docs.columns)
+    judged = quality.judge(docs.select(_rows(docs), "text"))
+    return judged.filter("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +43,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     the least key stays, and null doc_ids come last. Null and wordless texts resemble nothing and
     all stay. Copies are collapsed before they meet, so large groups cost a row each.
     """
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    keyed = rows.select(F.col("_row").alias("doc_id"), "text")
-    groups = minhash.near_duplicates(keyed).select(F.col("doc_id").alias("_row"), "component_id")
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    stay = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min(first)["_row"].alias("_row"))
-    return rows.join(stay.select("_row"), "_row", "left_semi").select(*docs.columns)
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("key"), _rows(docs)), "rows")
+    keyed = rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"))
+    groups = minhash.near_duplicates(keyed).select(F.col("doc_id").alias("key"), "component_id")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    stay = rows.select("key", F.col("row.doc_id").alias("doc_id")).join(groups, "key").groupBy("component_id").agg(F.min(first)["key"].alias("key"))
+    return rows.join(stay.select("key"), "key", "left_semi").select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,18 +71,17 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     source of its own, last in order. Equal hashes are told apart by doc_id and then by the row.
     A text cut at the budget's end is its first words with single spaces.
     """
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    taken = mixing.mix(rows, row="_row").filter("taken > 0").select("_row", "size", "taken")
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text", "lang", "source", "n_chars"), "rows")
+    taken = mixing.mix(rows, row="key").filter("taken > 0").select("key", "size", "taken")
     # A document of n words taken k times and r words more is given k times and cut to r words once.
     whole = F.array_repeat(F.col("size"), F.floor(F.col("taken") / F.col("size")).cast("int"))
     rest = F.col("taken") % F.col("size")
-    parts = F.explode(F.when(rest > 0, F.concat(whole, F.array(rest))).otherwise(whole)).alias("_words")
-    drawn = rows.join(taken.select("_row", "size", parts), "_row")
-    cut = F.array_join(F.slice(words_of(F.col("text")), F.lit(1), F.col("_words").cast("int")), " ")
-    text = F.when(F.col("_words") < F.col("size"), cut).otherwise(F.col("text"))
-    out = drawn.withColumn("_text", text)
-    chars = F.when(F.col("_words") < F.col("size"), F.char_length("_text").cast("long")).otherwise(F.col("n_chars"))
-    return out.select("doc_id", F.col("_text").alias("text"), "lang", "source", chars.alias("n_chars"))
+    parts = F.explode(F.when(rest > 0, F.concat(whole, F.array(rest))).otherwise(whole)).alias("words")
+    drawn = rows.join(taken.select("key", "size", parts), "key")
+    cut = F.array_join(F.slice(words_of(F.col("text")), F.lit(1), F.col("words").cast("int")), " ")
+    out = drawn.withColumn("part", F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text")))
+    chars = F.when(F.col("words") < F.col("size"), F.char_length("part").cast("long")).otherwise(F.col("n_chars"))
+    return out.select("doc_id", F.col("part").alias("text"), "lang", "source", chars.alias("n_chars"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
