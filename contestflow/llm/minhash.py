@@ -24,7 +24,7 @@ from .rolling import mix
 from .shingles import shingles
 
 REGISTERS, ROWS = 128, 4  # 32 bands of 4: a pair at 0.8 shares none with probability 5e-8
-#: Signature agreement below which a pair at 0.8 falls with probability 1e-8; it is not verified.
+#: Signature agreement below which a pair at 0.8 falls with probability 7.6e-8; it is not verified.
 LEAST_AGREEMENT = 77
 #: Members of one bucket that meet in a task; larger buckets meet in pairs of chunks.
 BUCKET_ROWS = 4096

@@ -84,3 +84,24 @@ def test_repeated_rows_and_rows_without_id(spark, prose):
             assert {(r.doc_id, t) for r in got for i, t in alone if i == r.doc_id and t.startswith(r.text)} == set(alone)
     starts = sorted((r.doc_id is None, r.doc_id) for r in got)
     assert {i for _, i in starts} == {7, 9, 11, None}
+
+
+#: Names that stages and operators use inside, and those of their results.
+INSIDE = "row key size taken words part rest _row _words _m _q_kept kept base_failed n_words _text doc th h1 h2 body p last spans component_id hash served mixed rank target source_size kept_text n_removed n_bytes whole at place ids width run block step _part _local _base rows stay first".split()
+
+
+def test_no_stage_meets_a_column_of_the_input(spark, prose):
+    def text(seed):
+        return "\n".join(" ".join(f"the {w}" for w in prose(seed + k, 9).split()) + "." for k in range(12))
+
+    rows = [(k, text(100 * (k % 8)), "en", ["web", "books", None][k % 3], 5) for k in range(12)] + [(50, "short", "en", "web", 5), (51, None, None, None, None)]
+    plainly = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(2)
+    extra = plainly.withColumns({c: pipeline.F.lit(f"own {c}") for c in INSIDE})
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        want, got = materialize(stage(spark, plainly, ""), "stage"), materialize(stage(spark, extra, ""), "stage")
+        columns = plainly.columns if k < 4 else want.columns
+        assert sorted(map(str, want.select(columns).collect())) == sorted(map(str, got.select(columns).collect()))
+        if k < 2:  # later stages rewrite texts and give the columns of documents alone
+            assert all(r[c] == f"own {c}" for r in got.collect() for c in INSIDE)
+        if k < 3:
+            plainly, extra = want, want.withColumns({c: pipeline.F.lit(f"own {c}") for c in INSIDE})
