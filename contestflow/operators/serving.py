@@ -6,7 +6,7 @@ import difflib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -22,25 +22,54 @@ def check_request(blue: str, red: str, window: int) -> None:
         raise RequestError("a team cannot meet itself")
 
 
-#: Asked names that are broadcast; more of them are joined like any table.
-FEW = 10_000
+def _characters(df: DataFrame, name: str, seen: Column) -> DataFrame:
+    """``name``, its length ``_len`` and its characters ``_all``, numbered where they repeat."""
+    letters = F.regexp_extract_all(seen, F.lit("(?s)."), F.lit(0))
+    numbered = F.transform(letters, lambda x, i: F.concat(x, F.lit("\x1f"), F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+    return df.select(name, F.size(letters).alias("_len"), numbered.alias("_all"))
 
 
-def _asked(requests: DataFrame, name: str) -> DataFrame:
-    """Distinct asked names, broadcast if their number has been seen to be small."""
-    asked = requests.select(F.trim(name).alias("asked")).distinct()
-    return F.broadcast(asked) if asked.limit(FEW + 1).count() <= FEW else asked
+def _candidates(asked: DataFrame, names: DataFrame, keep, fits, short: int, seen=lambda c: c) -> DataFrame:
+    """Pairs (asked, n) that may be alike, by an equi-join on characters.
+
+    Two names that are alike share a number of characters, counted with repeats. With all characters
+    in one order, rarest first, such a pair shares one among the first ``keep(length)`` of each name,
+    so only these are joined on. ``fits(asked length, length, shared)`` is then checked in full. Names
+    of at most ``short`` characters may be alike without sharing any and meet through a mark of their own.
+    """
+    left, right = _characters(asked, "asked", seen(F.col("asked"))), _characters(names, "n", seen(F.col("n")))
+    rare = right.select(F.explode("_all").alias("_token")).groupBy("_token").agg(F.count("*").alias("_freq"))
+
+    def first(df: DataFrame, name: str) -> DataFrame:
+        each = df.select(name, "_len", "_all", F.explode("_all").alias("_token")).join(rare, "_token", "left")
+        ordered = each.groupBy(name).agg(F.first("_len").alias("_len"), F.first("_all").alias("_all"), F.array_sort(F.collect_list(F.struct(F.coalesce("_freq", F.lit(0)).alias("f"), F.col("_token").alias("t")))).alias("_by"))
+        kept = ordered.select(name, "_len", "_all", F.explode(F.slice("_by", F.lit(1), keep(F.col("_len")))).alias("_k")).select(name, "_len", "_all", F.col("_k.t").alias("_token"))
+        marked = df.filter(F.col("_len") <= short).select(name, "_len", "_all", F.lit("").alias("_token"))
+        return kept.union(marked)
+
+    a, b = first(left, "asked"), first(right, "n").withColumnsRenamed({"_len": "_len_n", "_all": "_all_n"})
+    met = a.join(b, "_token").filter(fits(F.col("_len"), F.col("_len_n"), F.least("_len", "_len_n")))
+    full = met.filter(fits(F.col("_len"), F.col("_len_n"), F.size(F.array_intersect("_all", "_all_n"))))
+    return full.select("asked", "n").distinct()
 
 
 def resolve(requests: DataFrame, catalog: DataFrame, known: DataFrame, name: str = "name", close: int = 5) -> DataFrame:
     """How each asked name is understood: exact, else ignoring case, else unsupported (known but
     not in the catalogue), else the nearest catalogue names by edit distance within ``close``.
 
-    The catalogue has one row per served entity; requests are the broadcast side while few.
+    The catalogue has one row per served entity. Names within ``close`` edits share all but that many
+    characters of the longer one, so pairs come from an equi-join on characters, whatever the
+    numbers of names and requests.
     """
-    asked = _asked(requests, name)
-    pairs = catalog.select(F.col(name).alias("n")).join(asked, F.levenshtein(F.lower("n"), F.lower("asked")) <= close)
+    asked = requests.select(F.trim(name).alias("asked")).filter("asked IS NOT NULL").distinct()
+    names = catalog.select(F.col(name).alias("n")).filter("n IS NOT NULL").distinct()
+
+    def fits(a: Column, b: Column, shared: Column) -> Column:
+        return shared >= F.greatest(a, b) - close
+
+    pairs = _candidates(asked, names, lambda n: F.lit(close + 1), fits, close, F.lower)
     distance = F.levenshtein(F.lower("n"), F.lower("asked"))
+    pairs = pairs.filter(distance <= close)
     best = pairs.groupBy("asked").agg(
         F.max(F.when(F.col("n") == F.col("asked"), F.col("n"))).alias("exact"), F.min(F.when(F.lower("n") == F.lower("asked"), F.col("n"))).alias("any_case"),
         F.min_by("n", F.struct(distance, F.col("n"))).alias("nearest"),
@@ -63,12 +92,22 @@ def suggest(requests: DataFrame, catalog: DataFrame, name: str = "name", most: i
     """asked, suggestions: up to ``most`` catalogue names that are alike by ``least`` or more, best
     first (ties: the greater name), for asked names that the catalogue lacks in any case.
 
-    Every name is compared with every request, a stated query set; names are null-free.
+    The ratio is at most twice the shared characters over all, which bounds lengths and says how
+    many characters alike names share; only pairs that can reach ``least`` are compared.
     """
-    asked = _asked(requests, name)
-    pairs = catalog.select(F.col(name).alias("n")).distinct().join(asked, F.col("n").isNotNull() & F.col("asked").isNotNull()).withColumn("_ratio", _alike("n", "asked"))
+    asked = requests.select(F.trim(name).alias("asked")).filter("asked IS NOT NULL").distinct()
+    names = catalog.select(F.col(name).alias("n")).filter("n IS NOT NULL").distinct()
+    slack = 1e-9
+
+    def keep(n: Column) -> Column:
+        return (n - F.ceil(n * (least / (2 - least)) - slack) + 1).cast("int")
+
+    def fits(a: Column, b: Column, shared: Column) -> Column:
+        return 2.0 * shared >= least * (a + b) - slack
+
+    pairs = _candidates(asked, names, keep, fits, 0).withColumn("_ratio", _alike("n", "asked"))
     ranked = pairs.filter(F.col("_ratio") >= least).groupBy("asked").agg(F.slice(F.sort_array(F.collect_list(F.struct("_ratio", "n")), asc=False), 1, most).alias("best"))
-    served = pairs.filter(F.lower("n") == F.lower("asked")).select("asked").distinct()
+    served = names.join(asked, F.lower("n") == F.lower("asked")).select("asked").distinct()
     missing = requests.select(F.trim(name).alias("asked")).distinct().join(served, "asked", "left_anti")
     return missing.join(ranked, "asked", "left").select("asked", F.coalesce(F.array_join(F.transform("best", lambda x: x["n"]), ", "), F.lit("")).alias("suggestions"))
 

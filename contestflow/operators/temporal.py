@@ -123,8 +123,8 @@ def running(df: DataFrame, order: Sequence[str], sums: dict[str, Column], kind:
 
     Rows are range-partitioned by group and order and written once, which fixes the parts; each
     part has its own running sums, and prefix sums over the parts' totals (one row per part and
-    group) are added. Parts follow the data, so neither a long group nor a busy month meets in
-    one task. Groups hold no nulls; values of nulls add nothing.
+    group) are added. The bounds of the parts follow the data and their number is that of the shuffle
+    partitions, so neither a long group nor a busy month meets in one task. Groups hold no nulls; values of nulls add nothing.
     """
     parts = ranged(df.withColumns({f"_v_{k}": F.coalesce(v, F.lit(0)) for k, v in sums.items()}), groups, order)
     keys = [*groups, "_part"]

@@ -489,7 +489,7 @@ def matchup_rows(spark, d, pairs=MATCHUPS, changes=(), window: int = 10):
     Form and price are means of a player's last ``window`` rows, ratings those after the last game
     (unseen: the base), continuity is that of a full lineup. ``changes`` are (team, position,
     player) that replace the roster's; an unknown player has no form and 0 games. Names that are
-    not served, equal names and a window out of bounds raise an error; incomplete rosters give no row.
+    not served, equal names, a window out of bounds and incomplete rosters raise an error.
     """
     teams = Q.modal_home_region(spark, d).select(F.col("team").alias("name"))
     for blue, red in pairs:
@@ -502,6 +502,9 @@ def matchup_rows(spark, d, pairs=MATCHUPS, changes=(), window: int = 10):
     roster = Q.latest_roster(spark, d).select("team", "position", F.col("player").cast("string").alias("player"))
     if changes:
         roster = serving.override(roster, spark.createDataFrame(list(changes), "team string, position string, player string"))
+    held = sides.select("team").distinct().join(roster, "team", "left")
+    if lost := [r.team for r in serving.completeness(held, M.ROLES).filter("not complete").orderBy("team").collect()]:  # at most the asked teams
+        raise serving.RequestError(f"incomplete rosters: {', '.join(lost)}")
     p = M.players(spark, d)
     form = T.recent_form(p, ["player"], ["date", "gameid", "side", "position"], window, ["quantity", "price"]).withColumn("player", F.col("player").cast("string"))
     g = written(M.stream(spark, d), "games")
@@ -522,7 +525,6 @@ def matchup_rows(spark, d, pairs=MATCHUPS, changes=(), window: int = 10):
     each = each.withColumns({"relo": F.col("relo") + REGION.beta * (F.col("at_relo") - REGION.base), "pelo_ra": F.col("pelo_ra") + PLAYER_RA.beta * (F.col("at_pelo_ra") - PLAYER_RA.base)})
     columns = ["roll_revenue", "roll_avg_quantity", *[f"{r}_{n}" for r in M.ROLES for n in ("roll_quantity", "roll_price", "career")]]
     both = each.filter("side = 'blue'").select("match", *[F.col(c).alias(f"b_{c}") for c in ("team", "n_roles", *columns, *RATINGS)]).join(each.filter("side = 'red'").select("match", *[F.col(c).alias(f"r_{c}") for c in ("team", "n_roles", *columns, *RATINGS)]), "match")
-    both = both.filter((F.col("b_n_roles") == len(M.ROLES)) & (F.col("r_n_roles") == len(M.ROLES)))  # complete rosters
     diffs = [(F.col(f"b_{c}") - F.col(f"r_{c}")).alias(c if c in RATINGS else f"diff_{c}") for c in (*columns, *RATINGS)]
     return both.select("match", F.col("b_team").alias("blue"), F.col("r_team").alias("red"), F.lit(len(M.ROLES)).cast("long").alias("min_continuity"), *diffs)
 
@@ -536,6 +538,51 @@ def predict_matchup(spark, d):
     return p.select("match", "blue", "red", F.round("elo", 1).alias("elo_diff"), F.round("pelo", 1).alias("pelo_diff"), F.col("p").alias("p_blue"), (1 - F.col("p")).alias("p_red"), winner.alias("winner"), F.greatest("p", 1 - F.col("p")).alias("confidence"))
 
 
+def prediction_json(spark, d):
+    """The answer to each asked matchup as one nested JSON text."""
+    side = lambda c: F.struct(F.col(c).alias("team"), F.col(f"p_{c}").alias("p"))
+    p = predict_matchup(spark, d)
+    return p.select("match", F.to_json(F.struct(side("blue").alias("blue"), side("red").alias("red"), F.struct("elo_diff", "pelo_diff").alias("ratings"), "winner", "confidence")).alias("json"))
+
+
+def season_json(spark, d):
+    """The season's report as nested JSON texts, a row per section and key: the summary, each league,
+    and each day with its games in order, so that no text grows with the season."""
+    s = written(_season(spark, d), "season")
+    point = [F.round(c, 4).alias(c) for c in ("accuracy", "log_loss")]
+    n = s.agg(*metrics.point_metrics(F.col("target"), F.col("p"))).select(F.lit("summary").alias("section"), F.lit("").alias("key"), F.to_json(F.struct("n", F.struct(*point).alias("model"))).alias("json"))
+    leagues = s.groupBy("blue_league").agg(*metrics.point_metrics(F.col("target"), F.col("p"))).select(F.lit("league").alias("section"), F.col("blue_league").alias("key"), F.to_json(F.struct(F.col("blue_league").alias("league"), F.struct("n", *point).alias("model"))).alias("json"))
+    game = F.struct("gameid", F.array("blue_team", "red_team").alias("teams"), F.round("p", 4).alias("p"), ((F.col("p") >= 0.5) == (F.col("target") == 1)).alias("correct"))
+    days = s.groupBy(F.date_format("date", "yyyy-MM-dd").alias("key")).agg(F.array_sort(F.collect_list(game)).alias("games"))
+    return n.union(leagues).union(days.select(F.lit("day").alias("section"), "key", F.to_json(F.struct(F.col("key").alias("day"), "games")).alias("json")))
+
+
+_MODEL = f"round(avg(CASE WHEN (p >= 0.5) = (target = 1) THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS accuracy, round(avg({_LOSS.format('p')}), 4) AS log_loss"
+SEASON_JSON_SQL = f"""SELECT 'summary' AS section, '' AS key, to_json({{'n': n, 'model': {{'accuracy': accuracy, 'log_loss': log_loss}}}})::VARCHAR AS json FROM (SELECT count(*) AS n, {_MODEL} FROM season)
+UNION ALL SELECT 'league', blue_league, to_json({{'league': blue_league, 'model': {{'n': n, 'accuracy': accuracy, 'log_loss': log_loss}}}})::VARCHAR FROM (SELECT blue_league, count(*) AS n, {_MODEL} FROM season GROUP BY 1)
+UNION ALL SELECT 'day', day, to_json({{'day': day, 'games': games}})::VARCHAR FROM (
+  SELECT strftime(date, '%Y-%m-%d') AS day, list({{'gameid': gameid, 'teams': [blue_team, red_team], 'p': round(p, 4), 'correct': (p >= 0.5) = (target = 1)}} ORDER BY gameid) AS games FROM season GROUP BY 1)"""
+
+
+def rosters_overridden(spark, d):
+    """Latest rosters in which each team's players of an earlier day take their roles again: the
+    wishes are texts ``team:role=player``, made of that day's rosters, parsed and applied."""
+    old = Q.latest_roster_asof(spark, d)
+    wishes = old.select(F.concat_ws("", "team", F.lit(": "), F.lower("position"), F.lit(" = "), F.col("player").cast("string")).alias("item"))
+    changes = serving.parse_overrides(wishes, M.ROLES).filter("refused IS NULL")
+    return serving.override(Q.latest_roster(spark, d).withColumn("player", F.col("player").cast("string")), changes)
+
+
+def _old_rosters(where: str) -> str:
+    return f"SELECT team, position, player::VARCHAR AS player FROM (SELECT t.team, p.position, p.player, row_number() OVER (PARTITION BY t.team, p.position ORDER BY p.date DESC, p.gameid DESC, p.side DESC) AS rn FROM players p JOIN teams t USING (gameid, side) {where}) WHERE rn = 1"
+
+
+OVERRIDDEN_SQL = M.sql(
+    "SELECT team, position, coalesce(o.player, n.player) AS player FROM latest n FULL JOIN earlier o USING (team, position)",
+    f"latest AS ({_old_rosters('')})", f"earlier AS ({_old_rosters("WHERE p.date < '1997-07-01'")})",
+)
+
+
 def name_suggest(spark, d):
     """Up to five served teams whose names are like an asked one that is not served."""
     h = Q.modal_home_region(spark, d).withColumnRenamed("team", "name")
@@ -632,6 +679,7 @@ QUERIES = {
     "teams_by_region": (teams_by_region, M.sql("SELECT home, string_agg(team, ',' ORDER BY team) AS teams FROM homes GROUP BY home")),
     "team_counts": (team_counts, M.sql("SELECT team, count(*) AS games FROM (SELECT blue_team AS team FROM games UNION ALL SELECT red_team FROM games) GROUP BY team")),
     "name_resolve": (name_resolve, RESOLVE_SQL), "matchup_features": (matchup_features, MATCHUP_SQL),
+    "prediction_json": (prediction_json, None), "season_json": (season_json, _sql(SEASON_JSON_SQL, SEASON)), "rosters_overridden": (rosters_overridden, OVERRIDDEN_SQL),
     "name_suggest": (name_suggest, None), "roster_overrides": (roster_overrides, OVERRIDE_SQL), "roster_complete": (roster_complete, ROSTER_COMPLETE_SQL), "meta_counts": (meta_counts, META_SQL), "meta_json": (meta_json, META_JSON_SQL),
     "share_of_set": (share_of_set, SHARE_SQL), "season_lift": (season_lift, _sql(f"SELECT blue_league, n, round(accuracy - baseline + 1e-9, 4) AS lift FROM (SELECT blue_league, {_POINT} FROM season GROUP BY 1 HAVING count(*) >= 10)", SEASON)),
     "split_counts": (split_counts, SPLIT_COUNTS_SQL), "refit_model": (M.over_history(refit_model), None), "predict_matchup": (predict_matchup, None),

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import exprs as X
 from ..operators import pairing as P
 from ..operators import temporal as T
-from ..sources.tables import union_all
+from ..sources.tables import RAW_SCHEMA, folder, read_raw, read_years, union_all, write_by_year
 from . import matchmodel as M
 
 def rounded(c, n):
@@ -56,6 +57,35 @@ def union_years(spark, d):
 UNION_SQL = "SELECT year(o_orderdate)::BIGINT AS year, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders WHERE year(o_orderdate) IN (1996, 1997, 1998) GROUP BY 1"
 
 
+#: The years that the file queries read of those they write.
+READ_YEARS = (1996, 1997)
+
+
+def csv_years(spark, d):
+    """Yearly CSV files, written from the tables, read again for two years: a declared schema, a
+    column subset, lenient dates and numbers."""
+    p = M.players(spark, d).withColumn("year", F.year("date"))
+    raw = {"gameid": F.col("gameid").cast("string"), "date": F.date_format("date", "yyyy-MM-dd HH:mm:ss"), "league": F.col("league"), "patch": F.concat(F.substring("event", 1, 1), F.lit(".5")), "side": F.col("side"), "position": F.col("position"), "playername": F.col("player").cast("string"), "teamname": F.col("brand"), "kills": F.col("quantity")}
+    names = [f.name for f in StructType.fromDDL(RAW_SCHEMA)]
+    path = folder(spark, "csv")
+    p.select("year", *[raw.get(c, F.lit(None).cast("string")).alias(c) for c in names]).write.partitionBy("year").option("header", True).csv(path)
+    years = read_raw(spark, [f"{path}/year={y}" for y in READ_YEARS], ["date", "league", "patch", "playername", "kills", "deaths"])
+    return years.groupBy(F.year("date").cast("long").alias("year"), "league").agg(F.count("*").alias("n"), F.countDistinct("playername").alias("players"), F.round(F.sum("kills"), 2).alias("kills"), F.round(F.avg("patch"), 6).alias("patch"), F.count("deaths").alias("deaths"))
+
+
+CSV_SQL = M.sql(f"SELECT year(date)::BIGINT AS year, league, count(*) AS n, count(DISTINCT player) AS players, round(sum(quantity), 2) AS kills, round(avg(substring(event, 1, 1)::INT + 0.5), 6) AS patch, 0::BIGINT AS deaths FROM players WHERE year(date) IN {READ_YEARS} GROUP BY ALL")
+
+
+def partitioned_years(spark, d):
+    """A dataset partitioned by year, read for two years: the filter prunes folders."""
+    path = folder(spark, "years")
+    write_by_year(M.players(spark, d).select("gameid", "date", "side", "league", "revenue"), path)
+    return read_years(spark, path, READ_YEARS).groupBy(F.col("year").cast("long").alias("year"), "side").agg(F.count("*").alias("n"), F.countDistinct("gameid").alias("games"))
+
+
+YEARS_SQL = M.sql(f"SELECT year(date)::BIGINT AS year, side, count(*) AS n, count(DISTINCT gameid) AS games FROM players WHERE year(date) IN {READ_YEARS} GROUP BY ALL")
+
+
 def policy_filter_coverage(spark, d):
     p = M.players(spark, d)
     full = P.with_distinct_values(p, ["gameid", "side"], "position", 3)
@@ -385,7 +415,7 @@ def average_rank(spark, d):
 QUERIES = {
     "scan_clean_rows": (scan_clean_rows, SCAN_SQL),
     "null_policies": (null_dropping_range, NULL_SQL),
-    "union_years": (union_years, UNION_SQL),
+    "union_years": (union_years, UNION_SQL), "csv_years": (csv_years, CSV_SQL), "partitioned_years": (partitioned_years, YEARS_SQL),
     "policy_filter_coverage": (policy_filter_coverage, POLICY_SQL),
     "two_sided_games": (two_sided_games, M.sql("SELECT gameid, count(*) AS rows FROM players GROUP BY gameid HAVING count(DISTINCT side) = 2")),
     "full_lineups": (full_lineups, M.sql("SELECT gameid, side, position, player FROM players SEMI JOIN (SELECT gameid, side FROM teams WHERE n_roles = 3) f USING (gameid, side)")),
