@@ -22,7 +22,9 @@ def targets(sizes: DataFrame, weights: Sequence[int], share: float, epochs: int)
 
     Sources in order of code points, null last, take the weights in turn. A target stops at
     ``epochs`` times its source's size and the excess goes to the others by weight: with sources
-    sorted by limit per weight, those below the common level are the ones that stop.
+    sorted by limit per weight, those below the common level are the ones that stop. These windows
+    see one row of some hundred bytes per source in one task, which spills: made for up to some
+    millions of sources; documents never meet there.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("rank", F.row_number().over(order).cast("long"))

@@ -12,7 +12,7 @@ and a spanning forest. Equal vectors collapse into one with a multiplicity befor
 
 from __future__ import annotations
 
-import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ from .graph import components
 #: Rows of one cell that meet in a task, as coordinates and as vectors; a larger cell is split
 #: into chunks that meet pairwise.
 SPREAD_ROWS, CELL_ROWS = 8192, 2048
+#: Vectors of one label for which cells use four coordinates of a block; more use more of them.
+GRID_VECTORS = 40_000
 #: Slack for rounding to 32 bits, relative to the squared distance.
 SLACK = 1e-5
 
@@ -46,15 +48,30 @@ def usable(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
 
 
 def _cells(y: np.ndarray, width: float, radius: float):
-    """(row, cell, visits) of one block: home cells, then greater neighbours within the radius."""
-    home = np.floor(y / width).astype(np.int64)
-    gap = {-1: (y - home * width) ** 2, 0: np.zeros_like(y), 1: ((home + 1) * width - y) ** 2}
-    yield np.arange(len(y)), home, False
-    for step in itertools.product((-1, 0, 1), repeat=y.shape[1]):
-        if step > (0,) * y.shape[1]:
-            rows = np.flatnonzero(sum(gap[s][:, k] for k, s in enumerate(step)) <= radius**2 * (1 + 1e-9))
-            if rows.size:
-                yield rows, home[rows] + np.array(step), True
+    """(row, cell, visits) of one block: home cells, then greater neighbours within the radius.
+
+    Neighbours grow coordinate by coordinate, and those beyond the radius go at once, so the work
+    follows what is given out. A neighbour is greater if the first step off the home cell is up.
+    """
+    home, limit = np.floor(y / width).astype(np.int64), radius**2 * (1 + 1e-9)
+    down, up = (y - home * width) ** 2, ((home + 1) * width - y) ** 2
+    rows, far, left, cell = np.arange(len(y)), np.zeros(len(y)), np.zeros(len(y), bool), np.empty((len(y), 0), np.int64)
+    for k in range(y.shape[1]):
+        grown = []
+        for step, more in ((0, np.zeros(rows.size)), (1, up[rows, k]), (-1, down[rows, k])):
+            pick = np.flatnonzero((far + more <= limit) & (left if step < 0 else True))
+            grown.append((rows[pick], far[pick] + more[pick], left[pick] | (step > 0), np.column_stack([cell[pick], home[rows[pick], k] + step])))
+        rows, far, left, cell = (np.concatenate(x) for x in zip(*grown, strict=True))
+    for visits in (False, True):
+        pick = np.flatnonzero(left == visits)
+        if pick.size:
+            yield rows[pick], cell[pick], visits
+
+
+def grid_of(vectors: int, block: int = 8) -> int:
+    """Coordinates of a block that its cells use, for the vectors of one label: each further one
+    parts cells by some two and a half and adds half as many visits, so cells keep their size."""
+    return min(block, 4 + max(0, math.ceil(math.log(max(vectors, 1) / GRID_VECTORS, 2.5))))
 
 
 def _chunked(rows: DataFrame, cell: list[str], most: int) -> DataFrame:
@@ -66,14 +83,15 @@ def _chunked(rows: DataFrame, cell: list[str], most: int) -> DataFrame:
     return chunked.select("*", other).withColumns({"left": F.least("own", "other"), "right": F.greatest("own", "other")}).drop("chunks", "other")
 
 
-def link(prepared: DataFrame, cosine: float = 0.98, block: int = 8, grid: int = 4) -> DataFrame:
+def link(prepared: DataFrame, cosine: float = 0.98, block: int = 8, grid: int | None = None) -> DataFrame:
     """(id, n, root): per task and linked vector the number of its links (multiplicities counted)
     and the least id linked.
 
     ``prepared`` has id (unique), label, dim, x (components as bytes), many. Vectors of different
     length or label never meet. ``block`` is the least number of coordinates in a block, ``grid``
-    how many of them the cells use.
+    how many of them the cells use; by default it follows the largest label. It never changes results.
     """
+    grid = grid or grid_of(prepared.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0, block)
     budget = 2 - 2 * cosine
 
     def blocks(dim: int) -> list[np.ndarray]:
