@@ -589,21 +589,24 @@ def name_suggest(spark, d):
     return serving.suggest(spark.createDataFrame([(a,) for a in ASKED], "name string"), h.filter(F.col("home") != "ASIA"))
 
 
-OVERRIDES = ("Brand#11: A = 77", "Brand#11:n=12", "Brand#12:top=5", "Brand#12 no role", "Brand#13:R=", "Brand#13:R=4=5")
-
-
 def roster_overrides(spark, d):
-    """What each ``team:role=player`` asks for, or why it is refused."""
-    return serving.parse_overrides(spark.createDataFrame([(a,) for a in OVERRIDES], "item string"), M.ROLES)
-
-
-OVERRIDE_SQL = f"""
-SELECT item, CASE WHEN ok THEN team END AS team, CASE WHEN ok THEN role END AS position, CASE WHEN ok THEN player END AS player,
-       CASE WHEN eq = 0 THEN 'no role=player' WHEN role NOT IN ({", ".join(f"'{r}'" for r in M.ROLES)}) THEN 'unknown role' END AS refused
-FROM (SELECT *, eq > 0 AND role IN ({", ".join(f"'{r}'" for r in M.ROLES)}) AS ok FROM (
+    """What texts ``team:role=player`` ask for, or why they are refused: each player of a latest roster
+    is asked for twice, then in an unknown role and without any."""
+    r = Q.latest_roster(spark, d)
+    texts = (F.concat("team", F.lit(": "), "position", F.lit(" = "), "player"), F.concat("team", F.lit(":"), F.lower("position"), F.lit("="), "player", F.lit("=x:y ")), F.concat("team", F.lit(":top="), "player"), F.concat("team", F.lit(" no role "), "player"))
+    return serving.parse_overrides(r.select(F.explode(F.array(*texts)).alias("item")), M.ROLES)
+
+
+_ROLE_LIST = ", ".join(f"'{r}'" for r in M.ROLES)
+OVERRIDE_SQL = M.sql(
+    f"""SELECT item, CASE WHEN ok THEN team END AS team, CASE WHEN ok THEN role END AS position, CASE WHEN ok THEN player END AS player,
+       CASE WHEN eq = 0 THEN 'no role=player' WHEN role NOT IN ({_ROLE_LIST}) THEN 'unknown role' END AS refused
+FROM (SELECT *, eq > 0 AND role IN ({_ROLE_LIST}) AS ok FROM (
   SELECT item, strpos(rest, '=') AS eq, trim(team) AS team, upper(trim(substring(rest, 1, strpos(rest, '=') - 1))) AS role, trim(substring(rest, strpos(rest, '=') + 1)) AS player
-  FROM (SELECT item, split_part(item, ':', 1) AS team, CASE WHEN strpos(item, ':') > 0 THEN substring(item, strpos(item, ':') + 1) ELSE item END AS rest
-    FROM (VALUES {", ".join(f"('{o}')" for o in OVERRIDES)}) v(item))))"""
+  FROM (SELECT item, split_part(item, ':', 1) AS team, CASE WHEN strpos(item, ':') > 0 THEN substring(item, strpos(item, ':') + 1) ELSE item END AS rest FROM items)))""",
+    f"latest AS ({_old_rosters('')})",
+    "items AS (SELECT unnest([team || ': ' || position || ' = ' || player, team || ':' || lower(position) || '=' || player || '=x:y ', team || ':top=' || player, team || ' no role ' || player]) AS item FROM latest)",
+)
 
 
 def roster_complete(spark, d):
