@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows, table, text_chunks, whole_groups
-from .tokens import ENCODE_BYTES, WORD_BPE, encoder, vocabulary
+from .tokens import ENCODE_BYTES, WORD_BPE, _byte_letters, encoder, vocabulary
 
 #: Characters beyond which a text is cut, and letters of a part.
 SPLIT, LEAF = 1 << 15, 1 << 13
@@ -90,40 +90,31 @@ def cuts(text: str, leaf: int) -> Iterator[str]:
 
 
 class Codec:
-    """Whole-text encoding, in parts, and decoding, as the tokenizers library does with a vocabulary."""
+    """Whole-text encoding, in parts, as the tokenizers library does with a vocabulary."""
 
     def __init__(self, name: str):
-        from tokenizers import models
-
-        self.encoder = encoder(name)
-        tokenizer = self.encoder.tokenizer
-        known = json.loads(tokenizer.to_str())
-        added = tokenizer.get_added_tokens_decoder()
+        self.path, self.encoder = name, encoder(name)
+        added = self.encoder.tokenizer.get_added_tokens_decoder()
         self.added = {t.content: i for i, t in added.items()}
         usual = not any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values())
         longest = sorted(self.added, key=len, reverse=True)
         self.find_added = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if added else None
         self.splits_added = usual and bool(added)
         self.byte_level = self.encoder.alone
-        model = tokenizer.model
-        suffix = model.end_of_word_suffix or ""
         self.words: dict[str, list[int]] = {}
-        if self.byte_level:
-            vocab, merges = known["model"]["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in known["model"]["merges"]]
-            inner = models.BPE(vocab=vocab, merges=merges) if suffix else model
-            letters = {i: t.removesuffix(suffix) if suffix else t for t, i in vocab.items()}
-            self.joiner = Joiner(lambda x: [t.id for t in inner.tokenize(x)], lambda x: [t.id for t in model.tokenize(x)], letters)
-        self.decoder = known["decoder"] and known["decoder"]["type"]
-        size = max([*tokenizer.get_vocab(with_added_tokens=True).values()]) + 1
-        self.tokens = [tokenizer.id_to_token(i) for i in range(size)]
-        self.decimal = [str(i) for i in range(size)]
-        self.bytes = [] if self.decoder != "ByteLevel" else self._token_bytes()
 
-    def _token_bytes(self) -> list[bytes]:
-        from .tokens import _byte_letters
+    @functools.cached_property
+    def joiner(self) -> Joiner:
+        """Built when a long word comes: a model without the end of words beside the vocabulary's own."""
+        from tokenizers import models
 
-        byte = {c: b for b, c in enumerate(_byte_letters())}
-        return [b"" if t is None else bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t in self.tokens]
+        model = self.encoder.tokenizer.model
+        suffix = model.end_of_word_suffix or ""
+        with open(self.path) as f:
+            known = json.load(f)["model"]
+        inner = models.BPE(vocab=known["vocab"], merges=[tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in known["merges"]]) if suffix else model
+        letters = {i: t.removesuffix(suffix) if suffix else t for t, i in known["vocab"].items()}
+        return Joiner(lambda x: [t.id for t in inner.tokenize(x)], lambda x: [t.id for t in model.tokenize(x)], letters)
 
     def plain(self, texts: list[str]) -> list[bytes]:
         """Ids (little-endian unsigned, of the encoder's width) of texts without added tokens."""
@@ -214,13 +205,31 @@ class Codec:
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.encoder.dtype).tobytes()
 
+
+class Decoder:
+    """Texts of ids, as the library's decode gives them with special tokens kept."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+        self.tokens = [self.tokenizer.id_to_token(i) for i in range(size)]
+        self.decimal = [str(i) for i in range(size)]
+        self.kind = type(self.tokenizer.decoder).__name__ if self.tokenizer.decoder else None
+        self.bytes = self._token_bytes() if self.kind == "ByteLevel" else []
+
+    def _token_bytes(self) -> list[bytes]:
+        byte = {c: b for b, c in enumerate(_byte_letters())}
+        return [b"" if t is None else bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t in self.tokens]
+
     def decode(self, ids: list[int]) -> str:
-        """As the library's decode with special tokens kept; ids beyond the vocabulary say nothing."""
-        if self.decoder is None:
+        """The text; ids of the vocabulary's range that name no token say nothing."""
+        if self.kind is None:
             return " ".join(t for t in map(self.tokens.__getitem__, ids) if t is not None)
         if self.bytes:
             return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
-        return self.encoder.tokenizer.decode(ids, skip_special_tokens=False)
+        return self.tokenizer.decode(ids, skip_special_tokens=False)
 
     def decimals(self, ids: list[int]) -> str:
         return " ".join(map(self.decimal.__getitem__, ids))
@@ -232,6 +241,11 @@ def codec(name: str) -> Codec:
     return Codec(vocabulary(name))
 
 
+@functools.cache
+def decoder(name: str) -> Decoder:
+    return Decoder(vocabulary(name))
+
+
 ENCODED = "doc_id long, n_tokens long, ids binary"
 
 
@@ -297,7 +311,7 @@ def decode(encoded: DataFrame, vocabulary: str = WORD_BPE) -> DataFrame:
     decodes with special tokens kept. A null list of ids is an empty one; other columns are ignored."""
 
     def run(batch):
-        c = codec(vocabulary)
+        c = decoder(vocabulary)
         for start, stop in text_chunks(batch, "ids", ENCODE_BYTES):
             b = batch.slice(start, stop - start)
             lists = [np.frombuffer(x or b"", "<u4").tolist() for x in b.column("ids").to_pylist()]
