@@ -9,21 +9,26 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.util import DefaultParamsReader
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def known(c: str) -> Column:
+    """The column as a double, null where it is not a number."""
+    return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+
+
 def prepare(train: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float, float]]:
-    """Median, mean and population deviation of each column after imputing; columns without values go."""
-    med = train.agg(*[F.median(c).cast("double").alias(c) for c in columns]).first()
+    """Median, mean and population deviation of each column after imputing; NaN is imputed as null is, columns without values go."""
+    med = train.agg(*[F.median(known(c)).alias(c) for c in columns]).first()
     used = [c for c in columns if med[c] is not None]
-    filled = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(med[c])).alias(c) for c in used])
+    filled = train.select(*[F.coalesce(known(c), F.lit(med[c])).alias(c) for c in used])
     row = filled.agg(*[F.avg(c).alias(f"m_{c}") for c in used], *[F.stddev_pop(c).alias(f"s_{c}") for c in used]).first()
     return {c: (med[c], row[f"m_{c}"], row[f"s_{c}"] or 1.0) for c in used}
 
 
 def scaled(df: DataFrame, figures: dict[str, tuple[float, float, float]]) -> DataFrame:
-    z = {f"_z_{c}": (F.coalesce(F.col(c).cast("double"), F.lit(median)) - mean) / deviation for c, (median, mean, deviation) in figures.items()}
+    z = {f"_z_{c}": (F.coalesce(known(c), F.lit(median)) - mean) / deviation for c, (median, mean, deviation) in figures.items()}
     return VectorAssembler(inputCols=list(z), outputCol="_features").transform(df.withColumns(z))
 
 

@@ -8,7 +8,7 @@ from types import SimpleNamespace
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import learn, metrics, serving
+from ..operators import boosting, learn, metrics, serving
 from ..operators import ratings as R
 from ..operators import temporal as T
 from ..operators.snapshots import RatingStore
@@ -432,6 +432,18 @@ def gbt_holdout(spark, d):
     return _points(learn.fit(train, FEATURES, learn.boosted(ROUNDS)).score(test))
 
 
+def boosted_holdout(spark, d):
+    """The holdout scored by 400 rounds of second-order trees, beside the library's trees."""
+    train, test = _holdout(spark, d)
+    plans = {"second order": boosting.Boosting(key="gameid"), "library": learn.boosted(ROUNDS)}
+    parts = []
+    for name, plan in plans.items():
+        scored = learn.fit(train, FEATURES, plan).score(test).withColumn("model", F.lit(name))
+        point, auc = _points(scored).select(F.lit(name).alias("model"), "*"), _rounded(metrics.auc(scored, "target", "p", ["model"]))
+        parts.append(point.join(auc, "model"))
+    return parts[0].unionByName(parts[1])
+
+
 def feature_importance(spark, d):
     train, _ = _holdout(spark, d)
     return spark.createDataFrame(learn.fit(train, FEATURES, learn.boosted(ROUNDS)).weights(), "feature string, importance double")
@@ -686,7 +698,7 @@ QUERIES = {
     "name_suggest": (name_suggest, None), "roster_overrides": (roster_overrides, OVERRIDE_SQL), "roster_complete": (roster_complete, ROSTER_COMPLETE_SQL), "meta_counts": (meta_counts, META_SQL), "meta_json": (meta_json, META_JSON_SQL),
     "share_of_set": (share_of_set, SHARE_SQL), "season_lift": (season_lift, _sql(f"SELECT blue_league, n, round(accuracy - baseline + 1e-9, 4) AS lift FROM (SELECT blue_league, {_POINT} FROM season GROUP BY 1 HAVING count(*) >= 10)", SEASON)),
     "split_counts": (split_counts, SPLIT_COUNTS_SQL), "refit_model": (M.over_history(refit_model), None), "predict_matchup": (predict_matchup, None),
-    "logreg_holdout": (M.over_history(logreg_holdout), None), "gbt_holdout": (M.over_history(gbt_holdout), None), "feature_importance": (M.over_history(feature_importance), None), "walk_forward": (M.over_history(walk_forward), None),
+    "logreg_holdout": (M.over_history(logreg_holdout), None), "gbt_holdout": (M.over_history(gbt_holdout), None), "boosted_holdout": (M.over_history(boosted_holdout), None), "feature_importance": (M.over_history(feature_importance), None), "walk_forward": (M.over_history(walk_forward), None),
 }
 #: Registered as NAME_history as well, with ratings that are carried through all games.
 CARRIED = (
