@@ -46,3 +46,22 @@ def test_pieces_found_again_are_kept():
     assert [known.ids[known.id_ends[s] : known.id_ends[s + 1]].tolist() for s in slots[[1, 4]]] == [[1] * 2, [4] * 5]
     known.trim(1)
     assert not known.keys.size and not known.ids.size
+
+
+def test_byte_words_go_to_the_model_together(monkeypatch):
+    class Counting:
+        calls = 0
+
+        def __init__(self, model):
+            self.model = model
+
+        def tokenize(self, text):
+            Counting.calls += 1
+            return self.model.tokenize(text)
+
+    enc = tokens.Encoder(tokens.vocabulary(tokens.BYTE_BPE))
+    monkeypatch.setattr(enc, "model", Counting(enc.model))
+    text = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}{'.' * (k % 2)} \xe9t\xe9{chr(97 + k % 26)}" for k in range(600))
+    (got,) = enc.encode([text], 0)
+    assert Counting.calls == 0
+    assert np.frombuffer(got, enc.dtype).tolist() == [*enc.tokenizer.encode(text, add_special_tokens=False).ids, 0]
