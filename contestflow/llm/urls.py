@@ -107,10 +107,11 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def ngrams(host: Column, path: Column, sizes=(3, 4, 5)) -> Column:
-    """Character n-grams of ``^host`` and of ``/path$``, each marked with its part."""
+    """Character n-grams of ``^host`` and of ``/path$``, each marked with its part; one pass over the string for each size."""
     def grams(mark: str, s: Column, n: int) -> Column:
-        at = F.sequence(F.lit(1), F.char_length(s) - (n - 1))
-        return F.when(F.char_length(s) >= n, F.transform(at, lambda i: F.concat(F.lit(mark), s.substr(i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+        # a substring by position, inside a lambda, would build the string and walk it again for every n-gram
+        found = F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
+        return F.coalesce(F.transform(found, lambda g: F.concat(F.lit(mark), g)), F.array().cast("array<string>"))
 
     h, p = F.concat(F.lit("^"), host, F.lit("$")), F.concat(path, F.lit("$"))
     p = F.regexp_replace(p, "[0-9]+", "0")

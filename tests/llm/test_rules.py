@@ -1,8 +1,11 @@
 """Quality rules, URL filters and chat formatting against plain recounts."""
 
 import re
+import time
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from contestflow.llm import chat, quality, urls
 
 
@@ -94,6 +97,18 @@ def test_url_model_on_odd_urls(spark):
     assert len(out) == 3 and {(r._features, r._probability) for r in out} == {("x", 1.0), ("y", 2.0)} and len({r.verdict for r in out if r.page_id == 2}) == 1
 
 
+def test_ngrams_equal_brute_force_and_are_linear(spark):
+    odd = ["", "a", "ab", "é\U0001f600x\U0001f600", "\U0001f600", "a\nb\r\nc", "/b1234/c", None]
+    df = spark.createDataFrame([(h, p) for h in odd for p in odd], "host string, path string")
+    for r in df.select("host", "path", urls.ngrams(F.col("host"), F.col("path")).alias("g")).collect():
+        parts = [("h", "" if r.host is None else f"^{r.host}$"), ("p", "" if r.path is None else re.sub("[0-9]+", "0", r.path) + "$")]
+        assert r.g == [m + s[i : i + n] for m, s in parts for n in (3, 4, 5) for i in range(len(s) - n + 1)]
+    long = spark.createDataFrame([("casino.net", "/" + "b" * 40000)], "host string, path string").coalesce(1)
+    began = time.monotonic()
+    assert long.select(F.size(urls.ngrams(F.col("host"), F.col("path")))).first()[0] == 10 + 9 + 8 + 40000 + 39999 + 39998
+    assert time.monotonic() - began < 30  # 0.6 s; in the square of the length, over a minute
+
+
 def test_chat_equals_brute_force(spark):
     talk = [("user", f"question {k}") if k % 2 == 0 else ("assistant", f"answer {k}") for k in range(12)]
     held = {10 + n: talk[:n] for n in range(1, 9)} | {30: talk[:8], 31: [*talk[:3], ("assistant", "other")], 40: [("user", None)], 41: [(None, "x")], 42: [("user", "")], 50: talk[1:4]}
