@@ -52,3 +52,31 @@ def test_ranges_cut_twice_equal_brute_force(documents, prose, monkeypatch, lengt
     rows = paired(prose, 60, "h" * 70 + " ") + [(900 + k, prose(1, 80)) for k in range(6)] + [(950, "ab" * 400), (951, None)]
     assert sorted(map(tuple, suffixes.remove_repeats(documents(rows), length).collect()), key=str) == removed(rows, length)
     assert calls and calls[0] > 1
+
+
+def test_joins_on_a_common_segment_can_be_split(spark, documents, prose, monkeypatch):
+    """Spark splits a key's rows over tasks only where both sides of the join are plain sorted shuffles."""
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    materialize, sides = suffixes.materialize, {}
+
+    def watched(df, what):
+        out = materialize(df, what)
+        if what in ("hits", "typed", "spans"):
+            df.collect()
+            lines = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+            sides[what] = sum("Sort [h1" in a and ("ShuffleQueryStage" in b or "AQEShuffleRead" in b) for a, b in zip(lines[:-1], lines[1:], strict=True))
+        return out
+
+    monkeypatch.setattr(suffixes, "materialize", watched)
+    passage = prose(1, 60)[:300]
+    rows = [(k, prose(2 + k, 3) + passage + prose(1000 + k, 3)) for k in range(100)] + [(2000 + k, prose(3000 + k // 2, 40)) for k in range(8)]
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        out = suffixes.remove_repeats(documents(rows), 256).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted(map(tuple, out), key=str) == removed(rows, 256)
+    assert sides == {"hits": 2, "typed": 2, "spans": 2}
