@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_engine import SF
 from test_ratings import ANCHORED, SCHEMA, league, plain, rated
 
-from contestflow.operators import metrics, pairing
+from contestflow.operators import learn, metrics, pairing
 from contestflow.operators import ratings as R
 from contestflow.plans import matchmodel as M
 
@@ -90,3 +90,12 @@ def test_bootstrap_shuffles_sums_not_draws(spark):
     out = metrics.bootstrap(df, "x", "k", 400, 7, ["g"])
     assert "md5" not in out._jdf.queryExecution().optimizedPlan().toString()  # a row and text for each digest before
     assert {(r.g, r.replicates) for r in out.collect()} == {(True, 400), (False, 400)}
+
+
+def test_medians_hold_no_column_in_a_task(spark):
+    df = spark.range(3001).select(
+        F.rand(1).alias("a"), (F.col("id") % 3).cast("int").alias("ties"), F.when(F.col("id") % 2 == 0, F.randn(2)).alias("b"), F.lit(None).cast("double").alias("none"),
+        F.when(F.col("id") == 5, F.lit(float("nan"))).otherwise(F.rand(4)).alias("nan"), F.when(F.col("id") < 2, F.col("id") * 2.0).alias("two"), F.lit(7.0).alias("same")).localCheckpoint()
+    want = df.agg(*[F.median(learn.known(c)).alias(c) for c in df.columns]).first().asDict()
+    assert learn.medians(df, df.columns) == want
+    assert learn.medians(df, df.columns, 0.0) == want  # bounds that miss the middle are widened
